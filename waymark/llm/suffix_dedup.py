@@ -47,15 +47,23 @@ class SuffixParams:
 # ---------------------------------------------------------------- positions of one block
 
 
-def _least_places(names: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost place of the least name in each window of ``width`` names, by doubling."""
-    value, place, span = names, np.arange(len(names), dtype=np.int32), 1
+def _least_places(data: np.ndarray, seed: int, width: int) -> np.ndarray:
+    """Leftmost place of the least name of ``seed`` bytes in each window of ``width`` places, by doubling. Names are
+    compared by 32 bits; the place in the low half breaks ties to the left."""
+    sums = _a.sums(data)
+    n = len(data) - seed + 1
+    key = sums[seed:] - sums[:n]
+    key *= _a.inverses[:n]
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(n, dtype=np.uint64)
+    span = 1
     while span < width:
         step = min(span, width - span)
-        n = len(value) - step
-        later = value[step:] < value[:n]
-        value, place, span = np.where(later, value[step:], value[:n]), np.where(later, place[step:], place[:n]), span + step
-    return place
+        key = np.minimum(key[step:], key[: len(key) - step])
+        span += step
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
 @dataclass
@@ -69,7 +77,7 @@ class Runs:
     around: np.ndarray
 
 
-def _pieces(batch: pa.RecordBatch, column: str, length: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batch: pa.RecordBatch, column: str, length: int, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of the rows: bytes, offsets, row numbers and where in the row each part begins. Long rows are cut so that
     each window lies in exactly one part."""
     for first, end, data, offsets in text_blocks(batch, column, limit):
@@ -87,22 +95,21 @@ def runs_of(batch: pa.RecordBatch, column: str, params: SuffixParams) -> Runs:
     for data, offsets, rows, begins in _pieces(batch, column, length):
         if len(data) < length:
             continue
-        sums = _a.sums(data)
-        at = np.arange(len(data) - params.seed + 1)
-        names = _a.spans(sums, at, at + params.seed)
-        place = _least_places(names, width)
-        row = np.repeat(np.arange(len(rows)), np.diff(offsets))[: len(place)]
-        inside = np.arange(len(place)) + length <= offsets[row + 1]
-        start = np.flatnonzero(inside)
-        if not len(start):
+        place = _least_places(data, params.seed, width)
+        sizes = np.diff(offsets)
+        final = np.repeat(offsets[1:] - length, sizes)[: len(place)]  # last window start of the row
+        new = np.ones(len(place), bool)
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        new[offsets[:-1][offsets[:-1] < len(place)]] = True
+        first = np.flatnonzero(new & (np.arange(len(place)) <= final))
+        if not len(first):
             continue
-        change = np.ones(len(start), bool)
-        change[1:] = (place[start[1:]] != place[start[:-1]]) | (row[start[1:]] != row[start[:-1]])
-        first = start[change]
-        last = np.append(start[np.flatnonzero(change)[1:] - 1], start[-1])
-        row = row[first]
-        around = _b.spans(_b.sums(data), first, last + length)
-        out.append((rows[row], first - offsets[row] + begins[row], last - offsets[row] + begins[row], names[place[first]], around))
+        row = np.searchsorted(offsets, first, side="right") - 1
+        last = final[first]
+        last[:-1] = np.minimum(last[:-1], first[1:] - 1)
+        at = place[first]
+        sums_a, sums_b = _a.sums(data), _b.sums(data)
+        out.append((rows[row], first - offsets[row] + begins[row], last - offsets[row] + begins[row], _a.spans(sums_a, at, at + params.seed), _b.spans(sums_b, first, last + length)))
     empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     return Runs(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else Runs(*empty)
 
@@ -122,11 +129,16 @@ def _windows(batch: pa.RecordBatch, column: str, runs: Runs, which: np.ndarray,
     run = np.repeat(which, count)
     start = np.repeat(runs.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     names = np.empty(len(run), np.uint64)
-    place = offsets[runs.row[run]] + start
-    for a in range(0, len(run), 1 << 15):  # by explicit bytes: chosen runs lie far apart
-        grid = data[place[a : a + (1 << 15), None] + np.arange(length)]
-        _b._grow(length + 1)
-        names[a : a + (1 << 15)] = mix64((_b.values[grid] * _b.powers[:length]).sum(axis=1, dtype=np.uint64))
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(which):  # the chosen runs' bytes side by side, a bounded number at a time
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 14))))
+        size = count[begin:end] + length - 1
+        shift = np.cumsum(size) - size
+        near = data[np.repeat(offsets[runs.row[which[begin:end]]] + runs.first[which[begin:end]] - shift, size) + np.arange(size.sum())]
+        at = np.repeat(shift - (np.cumsum(count[begin:end]) - count[begin:end]), count[begin:end]) + np.arange(count[begin:end].sum())
+        names[ends[begin] - count[begin] : ends[end - 1]] = _b.spans(_b.sums(near), at, at + length)
+        begin = end
     return run, start, names
 
 
