@@ -34,8 +34,8 @@ class LmParams:
 
     order: int = 2
     mass: float = 2000.0
-    bits: int = 12
-    probes: int = 6
+    bits: int = 10
+    probes: int = 5
     shard_mb: int = 16
     max_broadcast_mb: int = 192
 
@@ -158,7 +158,7 @@ def _shard_builder(shards: int, params: LmParams):
                 h, q = h[q >= level], q[q >= level]
                 for probe in range(params.probes):
                     bits[_bit_at(h, level, probe, np.uint64(size))] = True
-        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [uni_c.tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 16 + size // 8], "shard_bits": [bits_of_shard]})
+        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [np.minimum(uni_c, 2**32 - 1).astype("<u4").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 12 + size // 8], "shard_bits": [bits_of_shard]})
 
     return run
 
@@ -182,9 +182,9 @@ class Model:
 
     def __init__(self, rows: list, shards: int, params: LmParams):
         self.shift, self.params = np.uint64(64 - max(1, shards.bit_length() - 1)), params
-        rows = sorted(rows, key=lambda r: r["shard"])
+        rows.sort(key=lambda r: r["shard"])
         self.uni_h = np.concatenate([np.frombuffer(r["uni_h"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], "<u4") for r in rows] or [np.zeros(0, "<u4")])
         sizes = np.zeros(shards, np.int64)
         starts = np.zeros(shards, np.int64)
         at = 0
@@ -198,7 +198,7 @@ class Model:
         if not len(self.uni_h):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.uni_h, h), len(self.uni_h) - 1)
-        return np.where(self.uni_h[at] == h, self.uni_c[at], 0)
+        return np.where(self.uni_h[at] == h, self.uni_c[at].astype(np.int64), 0)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts: the highest level up to which every level's probes are all set."""
@@ -267,7 +267,7 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
         return pa.RecordBatch.from_arrays([ids[0].cast(pa.int64()), ids[1], pa.array(found["n_tokens"], pa.int64()), pa.array(found["n_known"].astype(np.int64)), pa.array(np.full(end - first, trained, np.int64)), pa.array(found["base_score"]), pa.array(found["score"])], names=names)
 
     if totals["bytes"] <= params.max_broadcast_mb << 20:
-        model = spark.sparkContext.broadcast(Model(built.collect(), shards, params))
+        model = spark.sparkContext.broadcast(Model(list(built.toLocalIterator()), shards, params))  # shard by shard, to keep the driver small
 
         def run(batches):
             for batch in batches:
@@ -296,32 +296,37 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
             yield batch, first, end, tok, bounds, {1: tok} | {k: ngrams(tok, bounds, k) for k in range(2, params.order + 1)}
 
     def ask(key, frame):
-        held = {k: [] for k in range(1, params.order + 1)}
+        sent = []
+        for k, h in asked_by(frame).items():
+            sent += [(int(key[0]), k, i, h[a:b].tobytes()) for i, (a, b) in enumerate(cuts(h)) if a < b]
+        return pd.DataFrame(sent, columns=["block", "kind", "shard", "hashes"])
+
+    def asked_by(frame):
+        """Sorted distinct probes of a block, by order of the n-gram."""
+        held = {k: [np.zeros(0, np.uint64)] for k in range(1, params.order + 1)}
         for *_, kinds in parts(frame):
             for k, h in kinds.items():
                 held[k].append(np.unique(h))
-        sent = []
-        for k, hs in held.items():
-            h = np.unique(np.concatenate(hs)) if hs else np.zeros(0, np.uint64)
-            cut = np.searchsorted(h >> shift, np.arange(shards + 1).astype(np.uint64))
-            sent += [(int(key[0]), k, i, h[a:b].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        return pd.DataFrame(sent, columns=["block", "kind", "shard", "hashes"])
+        return {k: np.unique(np.concatenate(hs)) for k, hs in held.items()}
+
+    def cuts(h):
+        cut = np.searchsorted(h >> shift, np.arange(shards + 1).astype(np.uint64))
+        return list(zip(cut[:-1], cut[1:], strict=True))
 
     def answer(key, asked, shard):
         model = Model(shard.to_dict("records"), shards, params)
         found = []
-        for _, r in asked.iterrows():
-            h = np.frombuffer(r["hashes"], np.uint64)
-            found.append((model.unigrams(h) if r["kind"] == 1 else model.levels(h).astype(np.int64)).astype(np.int64).tobytes())
-        return asked.assign(found=found)
+        for k, raw in zip(asked["kind"], asked["hashes"], strict=True):
+            h = np.frombuffer(raw, np.uint64)
+            found.append((model.unigrams(h).astype("<u4") if k == 1 else model.levels(h)).tobytes())
+        return asked[["block", "kind", "shard"]].assign(found=found)
 
     def finish(key, frame, answers):
+        told = {(k, i): raw for k, i, raw in zip(answers["kind"], answers["shard"], answers["found"], strict=True)}
         tables = {}
-        for k, part in answers.groupby("kind"):
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["hashes"]])
-            v = np.concatenate([np.frombuffer(x, np.int64) for x in part["found"]])
-            by = np.argsort(h)
-            tables[k] = h[by], v[by]
+        for k, h in asked_by(frame).items():
+            value = [np.frombuffer(told[k, i], "<u4" if k == 1 else np.uint8) for i, (a, b) in enumerate(cuts(h)) if a < b]
+            tables[k] = h, np.concatenate(value).astype(np.int64)
         done = []
         for batch, first, end, tok, bounds, kinds in parts(frame):
             value = {k: tables[k][1][np.searchsorted(tables[k][0], h)] for k, h in kinds.items()}
@@ -329,5 +334,5 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
         return pd.concat(done) if done else pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
 
     asked = placed.groupBy("block").applyInPandas(ask, "block long, kind int, shard int, hashes binary")
-    answers = asked.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(answer, "block long, kind int, shard int, hashes binary, found binary")
+    answers = asked.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(answer, "block long, kind int, shard int, found binary")
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, out)
