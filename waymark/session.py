@@ -10,8 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Long texts must not fill an executor's memory: rows go to Python in batches of about this size.
+BATCH = "8m"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors once a session, through Spark's own file server."""
+    """Ship this package to the executors once a session, through Spark's own file server, and bound Arrow batches by bytes
+    unless the session already does."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str(2**63 - 1), str(2**31 - 1), str(256 << 20)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if spark.conf.get("spark.waymark.attached", "") != spark.sparkContext.applicationId:
         root = Path(__file__).resolve().parent
         made = Path(tempfile.mkdtemp(prefix="waymark-")) / "waymark.zip"
