@@ -1,0 +1,18 @@
+"""Visits of a stream of sightings, split by silence.
+
+An extension: the batch operator is the reference for results. A session by (person, path) does not see other paths
+between two sightings, so P2 .. P3 .. P2 within the gap is one session of P2 here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def sessions(sightings: DataFrame, gap: str = "300 seconds", late: str = "10 minutes") -> DataFrame:
+    """person_id, path_id, enter_time, exit_time (of the last sighting), n_obs; sightings (person_id, path_id, time) more
+    than ``late`` behind the newest are dropped, which bounds the state."""
+    kept = sightings.withWatermark("time", late)
+    found = kept.groupBy("person_id", "path_id", F.session_window("time", gap).alias("_w")).agg(F.min("time").alias("enter_time"), F.max("time").alias("exit_time"), F.count("*").alias("n_obs"))
+    return found.drop("_w")
