@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity, url_filter
+from waymark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, sentencepiece_codec, simhash_dedup, sql, suffix_dedup, toxicity, url_filter
 from waymark.llm.common import in_fold
 from waymark.session import attach
 
@@ -84,4 +84,4 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_lm_scoring, op4_sentencepiece, op5_language_id, op6_suffix_dedup, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": sql.url_filter(), "op6_suffix_dedup": sql.suffix_dedup(), "op9_embedding_dedup": sql.embedding_dedup()}
