@@ -26,31 +26,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group, and of rows that share that id one."""
+    """Keeps one document of each near-duplicate group: the one with the smallest id, a missing id counting as the largest.
+
+    Of rows that share that id, the one whose text hashes lowest stays; of rows that share id and text, any one.
+    """
     attach(spark)
-    found = simhash_dedup.components_of(docs)
-    first = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    kept = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
-    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    single = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
-    several = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"])
+    found = simhash_dedup.components_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), carry=["text_hash"])
+    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    one = lead.groupBy("component").agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("lead"))
+    kept = stored(one.select(F.col("lead.doc_id").alias("_id"), F.col("lead.text_hash").alias("_hash"), F.col("lead.rows").alias("_rows")), "kept")
+    mine = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
+    single = docs.join(kept.where("_rows = 1"), mine, "left_semi")
+    several = docs.join(kept.where("_rows > 1"), mine, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(several)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; documents of which nothing is left go, empty ones stay."""
     attach(spark)
-    had = F.coalesce(F.octet_length("text") > 0, F.lit(False))
-    cut = suffix_dedup.without_repeats(docs.withColumn("_had", had))
-    cut = cut.where(~F.col("_had") | (F.octet_length("text") > 0)).drop("_had")
+    had = "had" + "_" * max(map(len, docs.columns))  # a name that no column has
+    cut = suffix_dedup.without_repeats(docs.withColumn(had, F.coalesce(F.octet_length("text") > 0, F.lit(False))))
+    cut = cut.where(~F.col(had) | (F.octet_length("text") > 0)).drop(had)
     return cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in cut.columns else cut
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
-    bad = stored(found.select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
+    """Drops documents that hold a benchmark item; of rows that share an id, only those whose own text does."""
+    found = decontamination.leaks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), table(spark, sf_dir, "benchmark"), carry=["text_hash"])
+    bad = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,11 @@ from waymark.llm.words import WordBlock, pieces
 @dataclass(frozen=True)
 class LeakParams:
     """share: errors for each character of an item. shortest: items of fewer characters are not looked for (a few common
-    words are no leak). part_mb: benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
+    words are no leak). part: bytes of benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
 
     share: float = 0.1
     shortest: int = 24
-    part_mb: int = 8
+    part: int = 8 << 20
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -42,7 +42,8 @@ def myers(eq: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int]:
     """Least edit distance of the pattern to a substring of text and the end of the first such; (limit + 1, -1) if none is
     within the limit."""
     full, high = (1 << m) - 1, 1 << m - 1
-    plus, minus, score, best, end = full, 0, m, limit + 1, -1
+    plus, minus, score = full, 0, m
+    best, end = (m, 0) if m <= limit else (limit + 1, -1)
     for i, c in enumerate(text):
         e = eq.get(c, 0)
         vertical = e | minus
@@ -144,18 +145,20 @@ def _shared(grams: dict[str, int], window: str) -> int:
     return sum(min(n, other[g]) for g, n in grams.items() if g in other)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None) -> DataFrame:
     """One row for each row of docs and benchmark item found in its whole text: doc_id, item_id, edits, similarity, start,
-    end (in characters of the normalised text).
+    end (in characters of the normalised text), then the ``carry`` columns.
 
     Null texts and items, and items shorter than ``shortest``, match nothing. Repeated items are each reported, repeated
     rows of docs too. Ids pass through, null ones included; extra columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, carry or []
+    kinds = dict(docs.dtypes)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (params.part_mb << 20)))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    parts = max(1, -(-size // params.part))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *carry)
+    schema = ", ".join(["doc_id long, item_id long, edits int, similarity double, start long, end long", *(f"`{c}` {kinds[c]}" for c in carry)])
     out = None
     for part in range(parts):
         share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
@@ -164,17 +167,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, params)
             for batch in batches:
-                rows = []
-                ids = batch.column(0).to_pylist()
+                rows, at = [], []
                 for first, end, data, offsets in text_blocks(batch, "text"):
                     block = WordBlock(data, offsets)
                     for i in range(end - first):
-                        rows += [(ids[first + i], k, e, a, b) for k, e, a, b in matcher.hits(block.row_text(i).decode())]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                sizes = [(b - a) for a, b in zip(cols[3], cols[4], strict=True)]
-                similar = [1 - e / max(1, n) for e, n in zip(cols[2], sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(similar, pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "edits", "similarity", "start", "end"])
-
-        found = texts.mapInArrow(run, "doc_id long, item_id long, edits int, similarity double, start long, end long")
+                        found = matcher.hits(block.row_text(i).decode())
+                        rows += found
+                        at += [first + i] * len(found)
+                item, edits, begin, end_ = zip(*rows, strict=True) if rows else [()] * 4
+                similar = [max(0.0, 1 - e / max(1, b - a)) for e, a, b in zip(edits, begin, end_, strict=True)]
+                there = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(there), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(similar, pa.float64()), pa.array(begin, pa.int64()), pa.array(end_, pa.int64()), *(c.take(there) for c in batch.columns[2:])], names=["doc_id", "item_id", "edits", "similarity", "start", "end", *carry])
+
+        found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out

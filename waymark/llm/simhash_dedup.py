@@ -56,15 +56,19 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
     return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(starts)).tolist()))
 
 
-def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """(doc_id, fp) of every row's whole text; fp holds the 64 bits as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams(), carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp, carried columns) of every row's whole text; fp holds the 64 bits as a signed long. A null text has no
+    words."""
+    carry = carry or []
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t or b"", params.words, params.seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long, fp long", *(f"`{c}` {types[c]}" for c in carry)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *carry).mapInArrow(run, schema)
 
 
 @dataclass
@@ -162,18 +166,19 @@ def links(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     return each_block(members, "cell", "home", params.block, compare, "a long, b long", "fp").distinct()
 
 
-def components_of(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links, itself included.
+def components_of(docs: DataFrame, params: SimHashParams = SimHashParams(), carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, component, carried columns) of every row: component_id is the smallest doc_id reachable by
+    links, itself included; component the smallest fingerprint there.
 
     Equal fingerprints are linked, whatever the texts; texts without words share fingerprint zero. Repeated rows get equal
     results. A null id belongs to its component but names none: where only null ids are, component_id is null. Columns
-    other than doc_id and text are ignored.
+    other than doc_id, text and the carried ones are ignored.
     """
-    fps = stored(fingerprints(docs, params), "fingerprints")
+    fps = stored(fingerprints(docs, params, carry), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(fps, params))
     named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.join(smallest, "component").select("fp", "component_id"), "by-fp")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = stored(named.join(smallest, "component").select("fp", "component_id", "component"), "by-fp")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component", *(carry or []))

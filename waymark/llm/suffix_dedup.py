@@ -35,13 +35,13 @@ _a, _b = ByteHash(31), ByteHash(37)
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """length: bytes of a match. seed: bytes of the first round's names. block_mb: text in a block; shard_mb: text that one
-    shard of the names stands for."""
+    """length: bytes of a match. seed: bytes of the first round's names. block: bytes of text in a block; shard: bytes of
+    text that one shard of the names stands for."""
 
     length: int = 50
     seed: int = 20
-    block_mb: int = 4
-    shard_mb: int = 8
+    block: int = 4 << 20
+    shard: int = 8 << 20
 
 
 # ---------------------------------------------------------------- positions of one block
@@ -149,8 +149,8 @@ def _packed(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, int, str]
     """A bucketed table of blocks: (block, rows: an Arrow stream of whole input rows in order of doc_id)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (params.block_mb << 20)))
-    limit = params.block_mb << 20
+    blocks = max(1, -(-size // params.block))
+    limit = params.block
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, held, held_bytes = TaskContext.get().partitionId(), 0, [], 0
@@ -184,7 +184,7 @@ def _packed(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, int, str]
     table = f"waymark_blocks_{uuid.uuid4().hex}"
     ordered = docs.repartitionByRange(max(1, int(blocks) // 2), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(pack, "block long, rows binary").write.bucketBy(max(1, int(blocks)), "block").format("parquet").saveAsTable(table)
-    return spark.table(table), 1 << max(3, int(size // (params.shard_mb << 20)).bit_length()), table
+    return spark.table(table), 1 << max(3, int(size // params.shard).bit_length()), table
 
 
 def _unpacked(raw: bytes) -> pa.RecordBatch:
