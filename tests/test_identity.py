@@ -1,0 +1,89 @@
+"""Identities, evaluation and the simulator, end to end."""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tests.test_timelines import EDGES, LENGTHS, SITE
+from waymark.evaluation import truth
+from waymark.operators import candidates as cand
+from waymark.operators import identity, routes, visits
+from waymark.sources import simulator
+from waymark.sources.graph import graph_of
+
+
+def test_assignment_is_least_cost():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
+        cost = np.round(rng.random((n, m)), 1) if rng.random() < 0.5 else rng.random((n, m))
+        found = identity.assignment(cost)
+        assert len(set(found.tolist())) == n
+        best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert cost[np.arange(n), found].sum() == pytest.approx(best)
+
+
+def tracks_of(rows):
+    return pd.DataFrame(rows, columns=["site", "track_id", "camera_id", "start_time", "end_time", "emb"])
+
+
+def test_matching_follows_looks_and_topology():
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = tracks_of([("s", 1, "C1", 0.0, 10.0, a), ("s", 2, "C1", 1.0, 11.0, b), ("s", 3, "C2", 60.0, 70.0, b), ("s", 4, "C2", 61.0, 71.0, a), ("s", 5, "C2", 5000.0, 5001.0, a)])
+    allowed = {("C1", "C2"): [(30.0, 100.0)]}
+    found = dict(zip(*identity.match_site(rows, allowed, 100.0, 0.35, 5.0, 900.0, 2.0)[["track_id", "global_id"]].to_numpy().T, strict=True))
+    assert found[1] == found[4] and found[2] == found[3] and found[1] != found[2] and found[5] not in (found[1], found[2])
+    none = identity.match_site(rows, {}, 0.0, 0.35, 5.0, 900.0, 2.0)
+    assert none["global_id"].nunique() == 5
+    free = identity.match_site(rows, None, 0.0, 0.35, 5.0, 900.0, 2.0)
+    assert free["global_id"].nunique() == 3
+
+
+def test_matching_by_site(spark):
+    rows = [(s, k, "C1", float(k * 100), float(k * 100 + 1), [1.0, 0.0]) for s in ("x", "y") for k in range(3)]
+    df = spark.createDataFrame(rows, "site string, track_id long, camera_id string, start_time double, end_time double, emb array<double>")
+    found = identity.match_tracks(df, None).collect()
+    assert len(found) == 6 and {r["global_id"] for r in found} == {0}
+
+
+def test_identity_map_takes_the_majority(spark):
+    line = spark.createDataFrame([(1, "C1", k) for k in range(4)] + [(2, "C1", k) for k in range(4, 6)] + [(3, "C1", 6)], "global_person_id int, camera_id string, track_id int")
+    known = spark.createDataFrame([("C1", 0, "Person_7"), ("C1", 1, "Person_7"), ("C1", 2, "Person_3"), ("C1", 4, "Person_9"), ("C1", 5, "Person_8")], "camera_id string, track_id int, person_id string")
+    found = {r["global_person_id"]: (r["true_id"], r["purity"], r["n_labelled"], r["n_tracks"]) for r in identity.identity_map(line, known).collect()}
+    assert found == {1: (7, pytest.approx(2 / 3), 3, 4), 2: (8, 0.5, 2, 2), 3: (None, None, None, 1)}
+    with pytest.raises(PySparkException):
+        identity.identity_map(line, known.withColumn("person_id", F.lit("nobody"))).collect()
+
+
+def test_pairwise_counts(spark):
+    rows = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (2, "c")]
+    r = truth.pairwise(spark.createDataFrame(rows, "global_id int, true_id string")).first()
+    assert (r["precision"], r["recall"], r["f1"], r["fragmented"], r["merged"]) == (pytest.approx(1 / 3), 0.5, 0.4, 1, 1)
+
+
+def test_simulation_end_to_end(spark):
+    """At least 97% of the occupants stay possible, and nobody inside was too fast."""
+    params = simulator.SimParams("easy", 300, incidents=10)
+    simulator.check_transitions(EDGES)
+    g = graph_of(spark, LENGTHS, EDGES, SITE)
+    seen, stays, incidents = simulator.observations(spark, params).cache(), simulator.segments(spark, params), simulator.incidents(spark, params)
+    found = cand.incident_candidates(incidents, seen, routes.build_route_times(g), g.edges, SITE)
+    table = {r["status"]: r["truly_inside"] for r in truth.feasibility(found, truth.labels(incidents, seen, stays, SITE.hidden, 900.0)).collect()}
+    inside = sum(table.values())
+    assert inside > 0 and table.get("possible", 0) >= 0.97 * inside and table.get("impossible: reached too fast", 0) == 0
+    recall = truth.visit_recall(stays, visits.build_visits(seen), g.path_table()).collect()
+    assert all(r["pct_found"] > 97 for r in recall) and len(recall) == 6
+
+
+def test_simulation_does_not_depend_on_partitions(spark):
+    params = simulator.SimParams("hard", 50)
+    one = sorted(map(tuple, simulator.observations(spark, params).collect()))
+    assert one == sorted(map(tuple, simulator.observations(spark, params).repartition(3).collect()))
+    with pytest.raises(ValueError):
+        simulator.check_transitions([])
