@@ -61,6 +61,13 @@ def test_identity_map_takes_the_majority(spark):
         identity.identity_map(line, known.withColumn("person_id", F.lit("nobody"))).collect()
 
 
+def test_halves_of_tracks(spark):
+    """Second halves look like their own first halves, but for one track that changes its looks."""
+    rows = [(1, k, [1.0, 0.1 * k]) for k in range(4)] + [(2, k, [0.1 * k, 1.0]) for k in range(4)] + [(3, 0, [-1.0, 0.0]), (3, 1, [1.0, 0.2]), (4, 0, [1.0, 1.0])]
+    found = {r["track_id"]: (r["nearest"], r["is_self"]) for r in identity.half_match(spark.createDataFrame(rows, "track_id int, seq int, emb array<double>")).collect()}
+    assert found == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
 def test_pairwise_counts(spark):
     rows = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (2, "c")]
     r = truth.pairwise(spark.createDataFrame(rows, "global_id int, true_id string")).first()

@@ -234,11 +234,37 @@ def match_tracks(spark, sf):
     return identity.match_tracks(sites, routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
 
 
+def nearest_tracks(spark, sf):
+    """Each vector's nearest among those whose id is divisible by 100."""
+    rows = Site(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    stated = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("ref_id"), F.col("embedding").alias("emb"))
+    return tracks.nearest_other(rows.withColumnRenamed("embedding", "emb"), stated).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
+
+
+def risk_levels(spark, sf):
+    """Events' values, scaled, as probabilities."""
+    p = F.col("value") / 100
+    return Site(spark, sf).table("events").select("event_id", scalar.risk_level(F.when(p < 1, p)).alias("level"))
+
+
+def label_rate(spark, sf):
+    return truth.label_rate(Site(spark, sf).labels())
+
+
+def synthetic_identities(spark, sf):
+    """Pairwise quality of matching with topology on the tracks of the table, whose labels are the truth."""
+    s = Site(spark, sf)
+    line = s.tracks().withColumn("site", F.date_format(F.timestamp_seconds("start_time"), "yyyy-MM-dd"))
+    found = identity.match_tracks(line, routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
+    known = found.join(line.select("track_id", "true_id"), "track_id")
+    return truth.pairwise(known.select(F.concat_ws("/", "site", "global_id").alias("global_id"), "true_id"))
+
+
 def simulate(spark, sf):
     return simulator.observations(attach(spark), simulator.SimParams("hard", 400))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, match_tracks, simulate]
+_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, risk_levels, label_rate, match_tracks, synthetic_identities, simulate]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -330,5 +356,8 @@ ORACLE_SQL: dict[str, str] = {
     "timeline_repeat_check": _with(_V5) + f"SELECT person_id, visit_idx, path_id FROM (SELECT *, lead(path_id) OVER w AS np, lead(enter_ts) OVER w - exit_ts AS gap FROM visits WINDOW w AS (PARTITION BY person_id ORDER BY visit_idx)) WHERE np = path_id AND gap <= {VISITS.split_gap}",
     "full_outer_diff": _with(_visits_sql(0, "a"), _visits_sql(VISITS.rounds, "b")) + "SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'left' AS side FROM a WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM b) UNION ALL SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'right' FROM b WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM a)",
     "run_visits": _with("m AS (SELECT *, CASE WHEN path_id IS DISTINCT FROM lag(path_id) OVER w OR lag(id) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM obs WINDOW w AS (PARTITION BY person_id ORDER BY ts, id))", "n AS (SELECT *, sum(s) OVER (PARTITION BY person_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS no FROM m)") + "SELECT person_id, CAST(no AS BIGINT) AS visit_no, min(path_id) AS path_id, min(ts) AS start_time, max(ts) AS end_time FROM n GROUP BY person_id, no",
+    "nearest_tracks": "WITH p AS (SELECT v.vec_id AS id, r.vec_id AS ref_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS s FROM embeddings v JOIN embeddings r ON r.vec_id % 100 = 0 AND r.vec_id <> v.vec_id) SELECT id, ref_id, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, ref_id) = 1",
+    "risk_levels": "SELECT event_id, CASE WHEN NOT value / 100 < 1 OR value IS NULL THEN 'PENDING' WHEN value / 100 >= 0.8 THEN 'HIGH' WHEN value / 100 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events",
+    "label_rate": _with(_LABELS) + "SELECT count(*) AS incidents, CAST(sum(rows) AS BIGINT) AS rows, avg(n) AS mean_inside FROM (SELECT incident_id, sum(in_hidden) AS n, count(*) AS rows FROM labels_ GROUP BY incident_id)",
     "person_labels": _with() + "SELECT DISTINCT person_id, printf('Person_%04d', person_id + 1) AS label, person_id + 1 AS number FROM obs",
 }
