@@ -50,7 +50,7 @@ def test_query(spark, tables, seed):
 
 def test_many_blocks_and_shards(spark, tables, documents):
     """Blocks and shards of a few kilobytes give the same result."""
-    docs = [*documents, *corpus(3)]
+    docs = [*documents, *corpus(3), *((None, f"{k} {documents[k][1]}") for k in range(60))]
     folder = tables(documents=docs)
     found = repeats(spark.read.parquet(f"{folder}/documents.parquet"), SuffixParams(block=40_000, shard=20_000)).drop("spans")
     assert sorted(map(tuple, found.collect()), key=repr) == by_hand(docs)

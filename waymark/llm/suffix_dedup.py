@@ -169,7 +169,7 @@ def _packed(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, int, str]
             ends = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(lengths) + 1]
             begin = 0
             for i in range(len(ids)):
-                new = i and ids[i] != ids[i - 1] or not i and held and held[-1].column(held[-1].schema.get_field_index("doc_id"))[-1].as_py() != ids[0]
+                new = ids[i] is None or i and ids[i] != ids[i - 1] or not i and held and held[-1].column(held[-1].schema.get_field_index("doc_id"))[-1].as_py() != ids[0]
                 if new and held_bytes + ends[i] - ends[begin] >= limit:
                     if i > begin:
                         held.append(batch.slice(begin, i - begin))
@@ -182,7 +182,8 @@ def _packed(docs: DataFrame, params: SuffixParams) -> tuple[DataFrame, int, str]
             yield packet()
 
     table = f"waymark_blocks_{uuid.uuid4().hex}"
-    ordered = docs.repartitionByRange(max(1, int(blocks) // 2), "doc_id").sortWithinPartitions("doc_id")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id may lie anywhere
+    ordered = docs.repartitionByRange(max(1, int(blocks) // 2), F.col("doc_id"), spread).sortWithinPartitions("doc_id")
     ordered.mapInArrow(pack, "block long, rows binary").write.bucketBy(max(1, int(blocks)), "block").format("parquet").saveAsTable(table)
     return spark.table(table), 1 << max(3, int(size // params.shard).bit_length()), table
 
