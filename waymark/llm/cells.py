@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from waymark.llm.common import chunked_pairs
 
 
-def each_block(members: DataFrame, cell: str, home: str, size: int, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, salt: str) -> DataFrame:
+def each_block(members: DataFrame, cell: str, home: str, size: int, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, salt: str, cells: int | None = None) -> DataFrame:
     """``compare(home rows, member rows)`` for every block of every cell with a home row and another row.
 
     Cells above ``size`` rows are cut in chunks, so that every pair of a home row and a member meets in exactly one block.
-    Blocks are dealt to tasks by hash.
+    Blocks are dealt to tasks by hash. ``cells``: how many there are, if that is known; a small table of them is broadcast.
     """
-    blocks = chunked_pairs(members, cell, home, size, F.xxhash64(F.col(salt), F.lit(17)))
+    blocks = chunked_pairs(members, cell, home, size, F.xxhash64(F.col(salt), F.lit(17)), cells)
     columns = blocks.columns
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:

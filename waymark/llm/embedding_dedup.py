@@ -23,13 +23,13 @@ from waymark.llm.common import components, stored, union_find
 
 @dataclass(frozen=True)
 class EmbeddingParams:
-    """cosine: least of a link. cell: distinct vectors aimed at in a cell. pivots: most cells. block: rows of a side of a
-    block."""
+    """cosine: least of a link. cell: distinct vectors aimed at in a cell, as long as there are no more cells than the square
+    root of the vectors. block: rows of a side of a block; tile: rows of a home side that are compared at once."""
 
     cosine: float = 0.95
-    cell: int = 1500
-    pivots: int = 512
-    block: int = 1000
+    cell: int = 4096
+    block: int = 4096
+    tile: int = 512
 
 
 def unit(rows: list | np.ndarray) -> np.ndarray:
@@ -40,19 +40,26 @@ def unit(rows: list | np.ndarray) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vector, pivot, is its home) of every cell that each unit vector goes to."""
-    square = np.maximum(2 - 2 * x @ pivots.T, 0)
-    home = square.argmin(axis=1)
-    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    at = np.arange(len(x))
-    near = square[at, home]
-    slack = 1e-7
-    triangle = np.sqrt(square) - np.sqrt(near)[:, None] <= 2 * radius + slack
-    plane = square - near[:, None] <= 2 * radius * between[home] + slack
-    go = triangle & plane
-    go[at, home] = True
-    vector, pivot = np.nonzero(go)
-    return vector, pivot, home[vector] == pivot
+    """(vector, pivot, is its home) of every cell that each unit vector goes to: its home, and of the cells in reach those
+    that are to get this home's boundary vectors."""
+    found, step = [], max(1, (1 << 22) // len(pivots))
+    every = np.arange(len(pivots))
+    for begin in range(0, len(x), step):
+        part = x[begin : begin + step]
+        square = np.maximum(2 - 2 * part @ pivots.T, 0)
+        home = square.argmin(axis=1)
+        between = np.sqrt(np.maximum(2 - 2 * pivots[home] @ pivots.T, 0))
+        at = np.arange(len(part))
+        near = square[at, home][:, None]
+        slack = 1e-7
+        triangle = np.sqrt(square) - np.sqrt(near) <= 2 * radius + slack
+        plane = square - near <= 2 * radius * between + slack
+        turn = (every[None] < home[:, None]) == ((every[None] + home[:, None]) % 2 == 0)
+        go = triangle & plane & turn
+        go[at, home] = True
+        vector, pivot = np.nonzero(go)
+        found.append((vector + begin, pivot, home[vector] == pivot))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def linked(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> DataFrame:
@@ -63,7 +70,8 @@ def linked(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> D
     is the same vector and gets the same result; a null id has no links and a null component. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("k1", F.when(usable, F.xxhash64("embedding"))).withColumn("k2", F.when(usable, F.xxhash64(F.lit(1), F.size("embedding"), "embedding")))
@@ -90,32 +98,44 @@ def _of_length(distinct: DataFrame, params: EmbeddingParams) -> DataFrame:
     """Counts (rep, n) of each vector's links and spanning links (rep, rep2), for vectors of one length."""
     spark = distinct.sparkSession
     n = distinct.count()
-    k = max(1, min(params.pivots, n // params.cell))
+    k = max(1, min(int(np.sqrt(n)), n // params.cell))
     picked = distinct.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(k).collect()
     pivots = spark.sparkContext.broadcast(unit([r["embedding"] for r in picked]))
     radius = float(np.sqrt(2 - 2 * params.cosine))
-    least = params.cosine
+    least, tile = params.cosine, params.tile
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("embedding"))
             x = unit(column.flatten().to_numpy().reshape(batch.num_rows, -1))
             vector, pivot, home = cells_of(x, pivots.value, radius)
-            take = pa.array(vector)
-            yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take), column.take(take), pa.array(home)], names=["cell", "rep", "copies", "embedding", "home"])
+            for begin in range(0, len(vector), 1 << 14):
+                part = slice(begin, begin + (1 << 14))
+                take = pa.array(vector[part])
+                yield pa.RecordBatch.from_arrays([pa.array(pivot[part].astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take), column.take(take), pa.array(home[part])], names=["cell", "rep", "copies", "embedding", "home"])
 
     def compare(home: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block's home rows with its members. The cell's own pairs are met in both orders and counted for the
+        home row, a visitor's only here and counted for both."""
         a, b = home["rep"].to_numpy(), member["rep"].to_numpy()
-        near = unit(np.stack(home["embedding"].to_numpy())) @ unit(np.stack(member["embedding"].to_numpy())).T >= least
-        near &= a[:, None] != b[None]
-        count = near @ member["copies"].to_numpy()
+        x, y = (unit(np.stack(f["embedding"].to_numpy())) for f in (home, member))
+        visits = ~member["home"].to_numpy()
+        found = []
+        for begin in range(0, len(a), tile):
+            near = x[begin : begin + tile] @ y.T >= least
+            near &= a[begin : begin + tile, None] != b[None]
+            i, j = np.nonzero(near)
+            found.append((i + begin, j))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        here = np.bincount(i, member["copies"].to_numpy()[j], len(a)).astype(np.int64)
+        there = np.bincount(j, home["copies"].to_numpy()[i], len(b)).astype(np.int64) * visits
         names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = np.nonzero(near)
-        root = union_find(len(names), at[: len(a)][x], at[len(a) :][y])
+        root = union_find(len(names), at[: len(a)][i], at[len(a) :][j])
         apart = root != np.arange(len(names))
-        some = count > 0
+        reps, counts = np.concatenate([a[here > 0], b[there > 0]]), np.concatenate([here[here > 0], there[there > 0]])
         none = lambda k: pd.array([None] * k, dtype="Int64")
-        return pd.concat([pd.DataFrame({"rep": a[some], "rep2": none(int(some.sum())), "n": pd.array(count[some], dtype="Int64")}), pd.DataFrame({"rep": names[apart], "rep2": pd.array(names[root[apart]], dtype="Int64"), "n": none(int(apart.sum()))})])
+        return pd.concat([pd.DataFrame({"rep": reps, "rep2": none(len(reps)), "n": pd.array(counts, dtype="Int64")}), pd.DataFrame({"rep": names[apart], "rep2": pd.array(names[root[apart]], dtype="Int64"), "n": none(int(apart.sum()))})])
 
-    members = distinct.select("rep", "copies", "embedding").mapInArrow(dealt, "cell long, rep long, copies long, embedding array<double>, home boolean")
-    return each_block(members, "cell", "home", params.block, compare, "rep long, rep2 long, n long", "rep")
+    kind = dict(distinct.dtypes)["embedding"]
+    members = distinct.select("rep", "copies", "embedding").mapInArrow(dealt, f"cell long, rep long, copies long, embedding {kind}, home boolean")
+    return each_block(members, "cell", "home", params.block, compare, "rep long, rep2 long, n long", "rep", cells=k)
