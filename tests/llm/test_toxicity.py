@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.conftest import as_rows
 from waymark.llm.queries import op8_toxicity
-from waymark.llm.toxicity import BlockMaxIndex
+from waymark.llm.toxicity import BlockMaxIndex, ToxicParams, learn, score
 
 held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
 
@@ -59,6 +60,12 @@ def test_labels_of_held_out_rows_are_not_used(spark, tables, documents, sf_dir):
     assert as_rows(names, op8_toxicity(spark, folder).collect()) == first
 
 
+def test_shuffled_labels_teach_the_same(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = (sorted(map(tuple, score(docs, learn(docs, labels, F.lit(True), ToxicParams(broadcast=n))).collect())) for n in (1 << 20, 0))
+    assert one == other
+
+
 def test_without_labels(spark, tables):
     rows = op8_toxicity(spark, tables(documents=[(1, "some text"), (2, None)])).collect()
     assert [(r["score"], r["predicted"]) for r in rows] == [(0.0, 0)] * 2

@@ -26,7 +26,8 @@ _hash = ByteHash(23)
 @dataclass(frozen=True)
 class ToxicParams:
     """bits: log2 of hashed features. features: how many of them span the space. examples: most indexed rows of each class.
-    least: fewest training rows that a feature must occur in. k: neighbours. block: examples in a block."""
+    least: fewest training rows that a feature must occur in. k: neighbours. block: examples in a block. broadcast: most
+    labels that are sent to the texts (12 bytes each, a hash table of about 30 MB); beyond, the texts are shuffled to them."""
 
     bits: int = 20
     features: int = 512
@@ -35,6 +36,7 @@ class ToxicParams:
     k: int = 15
     block: int = 64
     start: int = 5
+    broadcast: int = 1 << 20
 
 
 def row_features(data: np.ndarray, offsets: np.ndarray, params: ToxicParams) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, params: ToxicPar
     text or a 0/1 label teach nothing; an id labelled twice counts with its larger label."""
     spark = docs.sparkSession
     marks = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = F.broadcast(marks) if marks.count() <= params.broadcast else marks
     labelled = docs.where(training & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).join(marks, "doc_id")
     n, df = frequencies(labelled, params)
     space = Space(chosen_features(n, df, params), n, df, params)
