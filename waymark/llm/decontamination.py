@@ -8,6 +8,7 @@ algorithm gives the edit distance of the item to the best substring there.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,12 +75,12 @@ def distance(pattern: str, text: str, limit: int) -> tuple[int, int, int]:
     return edits, end - back, end
 
 
-def _grams(text: str, q: int = 3) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i in range(len(text) - q + 1):
-        g = text[i : i + q]
-        out[g] = out.get(g, 0) + 1
-    return out
+#: Length of the grams that a window must share with an item before the distance is computed.
+Q = 5
+
+
+def _grams(text: str) -> set[str]:
+    return {text[i : i + Q] for i in range(len(text) - Q + 1)}
 
 
 class Matcher:
@@ -94,6 +95,8 @@ class Matcher:
             self.items.append((item_id, words, errors, _grams(words)))
             for at, piece in pieces(words, errors):
                 found.setdefault(piece, []).append((len(self.items) - 1, at))
+        held = Counter(g for *_, grams in self.items for g in grams)
+        self.items = [(*item, sorted(grams, key=lambda g: (held[g], g))) for *item, grams in self.items]  # rare ones first
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -112,11 +115,10 @@ class Matcher:
         for k, starts in begins.items():
             item_id, words, errors, grams = self.items[k]
             best = errors + 1, -1, -1
-            need = len(words) - 2 - 3 * errors
             for a, b in _merged(sorted(set(starts)), errors):
                 low, high = max(0, a - errors), min(len(text), b + len(words) + errors)
                 window = text[low:high]
-                if high - low < len(words) - errors or need > 0 and _shared(grams, window) < need:
+                if high - low < len(words) - errors or _lacks(grams, window, Q * errors):
                     continue
                 edits, begin, end = distance(words, window, best[0] - 1)
                 if edits < best[0]:
@@ -139,10 +141,15 @@ def _merged(starts: list[int], errors: int) -> list[tuple[int, int]]:
     return out
 
 
-def _shared(grams: dict[str, int], window: str) -> int:
-    """Upper bound of the q-grams that the item and the window have in common."""
-    other = _grams(window)
-    return sum(min(n, other[g]) for g, n in grams.items() if g in other)
+def _lacks(grams: list[str], window: str, most: int) -> bool:
+    """Whether more than ``most`` of the item's distinct grams are not in the window; an edit takes away Q at most."""
+    missing = 0
+    for g in grams:
+        if g not in window:
+            missing += 1
+            if missing > most:
+                return True
+    return False
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None) -> DataFrame:
