@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.test_timelines import EDGES, LENGTHS, SITE
 from waymark.evaluation import truth
 from waymark.operators import candidates as cand
-from waymark.operators import identity, routes, visits
+from waymark.operators import identity, routes, tracks, visits
 from waymark.sources import simulator
 from waymark.sources.graph import graph_of
 
@@ -68,6 +68,21 @@ def test_halves_of_tracks(spark):
     assert found == {1: (1, True), 2: (2, True), 3: (1, False)}
 
 
+def test_nearest_of_more_references_than_are_broadcast(spark):
+    """Blocks of two give what one broadcast gives, ties included, also for the halves of tracks."""
+    rng = np.random.default_rng(3)
+    emb = rng.normal(size=(23, 4))
+    emb[11] = emb[3]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(emb / np.linalg.norm(emb, axis=1, keepdims=True))], "id int, emb array<double>")
+    refs = df.withColumnRenamed("id", "ref_id")
+    for itself in (False, True):
+        one, blocks = (sorted(map(tuple, tracks.nearest_other(df, refs, most, itself).collect())) for most in (100, 2))
+        assert blocks == one and len(one) == 23
+    rows = [(t, k, [float(t), 1.0 + 0.01 * k]) for t in range(5) for k in range(4)]
+    found = identity.half_match(spark.createDataFrame(rows, "track_id int, seq int, emb array<double>"), most=2).collect()
+    assert len(found) == 5 and all(r["is_self"] for r in found)
+
+
 def test_pairwise_counts(spark):
     rows = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (2, "c")]
     r = truth.pairwise(spark.createDataFrame(rows, "global_id int, true_id string")).first()

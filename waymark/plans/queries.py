@@ -241,6 +241,12 @@ def nearest_tracks(spark, sf):
     return tracks.nearest_other(rows.withColumnRenamed("embedding", "emb"), stated).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
 
 
+def half_match(spark, sf):
+    """Each label's vectors, in order of their ids, as the crops of one track."""
+    crops = Site(spark, sf).table("embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("emb"))
+    return identity.half_match(crops.dropna(subset=["track_id"]))
+
+
 def risk_levels(spark, sf):
     """Events' values, scaled, as probabilities."""
     p = F.col("value") / 100
@@ -264,7 +270,7 @@ def simulate(spark, sf):
     return simulator.observations(attach(spark), simulator.SimParams("hard", 400))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, risk_levels, label_rate, match_tracks, synthetic_identities, simulate]
+_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, synthetic_identities, simulate]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
