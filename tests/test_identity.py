@@ -14,6 +14,7 @@ from tests.test_timelines import EDGES, LENGTHS, SITE
 from waymark.evaluation import truth
 from waymark.operators import candidates as cand
 from waymark.operators import identity, routes, tracks, visits
+from waymark.plans.queries import QUERIES
 from waymark.sources import simulator
 from waymark.sources.graph import graph_of
 
@@ -52,6 +53,31 @@ def test_matching_by_site(spark):
     assert len(found) == 6 and {r["global_id"] for r in found} == {0}
 
 
+def test_matching_in_stretches_equals_one_sequence(spark):
+    """Parts between silences hold the links of the whole sequence, over midnight too."""
+    rng = np.random.default_rng(6)
+    at = np.cumsum(np.where(rng.random(300) < 0.04, 2500.0, 60.0)) + 80_000.0
+    emb = rng.normal(size=(9, 4))[rng.integers(0, 9, 300)] + 0.05 * rng.normal(size=(300, 4))
+    emb /= np.linalg.norm(emb, axis=1, keepdims=True)
+    rows = [("s", i, f"C{i % 3}", float(t), float(t + (3000.0 if i % 50 == 0 else 5.0)), [float(x) for x in v]) for i, (t, v) in enumerate(zip(at, emb, strict=True))]
+    gaps = [("C0", "C1", 0.0, 700.0), ("C1", "C2", 0.0, 300.0), ("C1", "C2", 500.0, 900.0), ("C2", "C0", 0.0, 900.0), ("C2", "C2", 0.0, 900.0)]
+    allowed: dict = {}
+    for a, b, lo, hi in gaps:
+        allowed.setdefault((a, b), []).append((lo, hi))
+    whole = identity.match_site(tracks_of(rows), allowed, 900.0, 0.35, 50.0, 900.0, 2.0)
+    df = spark.createDataFrame(rows, "site string, track_id long, camera_id string, start_time double, end_time double, emb array<double>")
+    found = identity.match_tracks(df, spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double"), batch_s=50.0).collect()
+    assert identity.stretches(df, 901.0).agg(F.max("_stretch")).first()[0] > 3
+    first = lambda pairs: {t: min(u for u, j in pairs if j == k) for t, k in pairs}
+    assert first([(r["track_id"], r["global_id"]) for r in found]) == first(list(whole[["track_id", "global_id"]].itertuples(index=False, name=None)))
+    assert whole["match_dist"].notna().sum() > 100
+
+
+def test_identities_of_the_table_cross_midnight(spark, sf_dir):
+    found = QUERIES["match_tracks"](spark, sf_dir).withColumn("day", F.floor(F.col("start_time") / 86400))
+    assert found.groupBy("site", "global_id").agg(F.count_distinct("day").alias("days")).where("days > 1").count() > 0
+
+
 def test_identity_map_takes_the_majority(spark):
     line = spark.createDataFrame([(1, "C1", k) for k in range(4)] + [(2, "C1", k) for k in range(4, 6)] + [(3, "C1", 6)], "global_person_id int, camera_id string, track_id int")
     known = spark.createDataFrame([("C1", 0, "Person_7"), ("C1", 1, "Person_7"), ("C1", 2, "Person_3"), ("C1", 4, "Person_9"), ("C1", 5, "Person_8")], "camera_id string, track_id int, person_id string")

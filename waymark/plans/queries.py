@@ -230,8 +230,7 @@ def person_labels(spark, sf):
 
 def match_tracks(spark, sf):
     s = Site(spark, sf)
-    sites = s.tracks().withColumn("site", F.date_format(F.timestamp_seconds("start_time"), "yyyy-MM-dd"))
-    return identity.match_tracks(sites, routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
+    return identity.match_tracks(s.tracks().withColumn("site", F.lit("all")), routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
 
 
 def nearest_tracks(spark, sf):
@@ -260,7 +259,7 @@ def label_rate(spark, sf):
 def synthetic_identities(spark, sf):
     """Pairwise quality of matching with topology on the tracks of the table, whose labels are the truth."""
     s = Site(spark, sf)
-    line = s.tracks().withColumn("site", F.date_format(F.timestamp_seconds("start_time"), "yyyy-MM-dd"))
+    line = s.tracks().withColumn("site", F.lit("all"))
     found = identity.match_tracks(line, routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
     known = found.join(line.select("track_id", "true_id"), "track_id")
     return truth.pairwise(known.select(F.concat_ws("/", "site", "global_id").alias("global_id"), "true_id"))
