@@ -14,7 +14,7 @@ from tests.test_timelines import EDGES, LENGTHS, SITE
 from waymark.evaluation import truth
 from waymark.operators import candidates as cand
 from waymark.operators import identity, routes, tracks, visits
-from waymark.plans.queries import QUERIES
+from waymark.plans.queries import QUERIES, Site
 from waymark.sources import simulator
 from waymark.sources.graph import graph_of
 
@@ -78,6 +78,19 @@ def test_identities_of_the_table_cross_midnight(spark, sf_dir):
     assert found.groupBy("site", "global_id").agg(F.count_distinct("day").alias("days")).where("days > 1").count() > 0
 
 
+def test_gate_keeps_the_longest_gaps_allowed(spark, sf_dir):
+    """Against each pair of tracks and each interval, in plain Python."""
+    site = Site(spark, sf_dir)
+    rows = [(r["track_id"], r["camera_id"], r["start_time"]) for r in site.tracks().collect()]
+    allowed: dict = {}
+    for r in routes.topology_intervals(site.graph()).collect():
+        allowed.setdefault((r["cam_a"], r["cam_b"]), []).append((r["lo"], r["hi"]))
+    wanted = {(a, b) for a, x, s in rows for b, y, t in rows if a != b and any(lo <= t - s <= hi for lo, hi in allowed.get((x, y), ()))}
+    found = QUERIES["track_pair_gate"](spark, sf_dir).collect()
+    assert {(r["track_a"], r["track_b"]) for r in found} == wanted and len(found) == len(wanted)
+    assert max(r["gap"] for r in found) > 129600
+
+
 def test_identity_map_takes_the_majority(spark):
     line = spark.createDataFrame([(1, "C1", k) for k in range(4)] + [(2, "C1", k) for k in range(4, 6)] + [(3, "C1", 6)], "global_person_id int, camera_id string, track_id int")
     known = spark.createDataFrame([("C1", 0, "Person_7"), ("C1", 1, "Person_7"), ("C1", 2, "Person_3"), ("C1", 4, "Person_9"), ("C1", 5, "Person_8")], "camera_id string, track_id int, person_id string")

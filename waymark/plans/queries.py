@@ -172,7 +172,8 @@ def topology_horizon(spark, sf):
 
 def track_pair_gate(spark, sf):
     s = Site(spark, sf)
-    found = tracks.allowed_pairs(s.tracks(), routes.topology_intervals(s.graph()), 129600.0)
+    intervals = routes.topology_intervals(s.graph())
+    found = tracks.allowed_pairs(s.tracks(), intervals, routes.horizon(intervals).first()["max_gap"])
     return found.select("track_a", "track_b", "gap", F.col("distance").cast("decimal(18,6)").cast("double").alias("distance"))
 
 
