@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from waymark.llm.decontamination import LeakParams, distance, leaks
-from waymark.llm.queries import op2_decontamination
+from waymark.llm.queries import op2_decontamination, op2_short_items
 
 
 def normal(text):
@@ -72,3 +72,15 @@ def test_parts_of_a_large_benchmark_add_up(spark, tables):
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     one, parts = (sorted(map(tuple, leaks(docs, bench, LeakParams(part=n)).collect())) for n in (8 << 20, 400))
     assert one == parts and {(k, k) for k, _ in items} <= {r[:2] for r in one}
+
+
+def test_short_items_are_found_word_for_word(spark, tables):
+    """Whole words only, but in scripts without spaces anywhere; together with the other query no item is left out."""
+    items = [(1, "What is 7 times 8?"), (2, "水的沸点是多少？"), (3, "of"), (4, "..."), (5, None), (6, "what is 7 times 8"), (7, "an item that is long enough for edits")]
+    docs = [(1, "He asked: what is 7  TIMES 8"), (2, "what is 7 times 80"), (3, "请问水的沸点是多少？谢谢"), (4, "office of"), (5, "soft offer"), (6, None), (7, "here: an item that is long enough for edits"), (8, "what is 7 times 80, what is 7 times 8")]
+    folder = tables(True, documents=docs, benchmark=items)
+    rows = op2_short_items(spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (1, 6), (3, 2), (4, 3), (8, 1), (8, 6)} and len(rows) == 6
+    assert all(r["edits"] == 0 and r["similarity"] == 1.0 for r in rows)
+    assert all(normal(docs[r["doc_id"] - 1][1])[r["start"] : r["end"]] == normal(items[r["item_id"] - 1][1]) for r in rows)
+    assert {(r["doc_id"], r["item_id"]) for r in op2_decontamination(spark, folder).collect()} == {(7, 7)}

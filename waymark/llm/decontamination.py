@@ -8,6 +8,7 @@ algorithm gives the edit distance of the item to the best substring there.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from waymark.llm.words import WordBlock, pieces
 @dataclass(frozen=True)
 class LeakParams:
     """share: errors for each character of an item. shortest: items of fewer characters are not looked for (a few common
-    words are no leak). part: bytes of benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
+    words are no leak to drop a text for; ``leaks(short=True)`` looks for them alone). part: bytes of benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
 
     share: float = 0.1
     shortest: int = 24
@@ -83,12 +84,50 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + Q] for i in range(len(text) - Q + 1)}
 
 
+def _words(text: str) -> str:
+    data = text.encode()
+    return WordBlock(np.frombuffer(data, np.uint8), np.array([0, len(data)])).row_text(0).decode().strip()
+
+
+#: Scripts written without spaces (Thai to Burmese, Khmer, East Asian): their characters are no part of a longer word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef\U00020000-\U0003ffff]")
+
+
+def _one_word(text: str, at: int) -> bool:
+    """Whether the characters before and at a place belong to one word."""
+    return 0 < at < len(text) and all(c.isalnum() and not _UNSPACED.match(c) for c in text[at - 1 : at + 1])
+
+
+class Exact:
+    """Items below ``shortest``, as whole words without an error."""
+
+    def __init__(self, items: list[tuple[int, str]], params: LeakParams):
+        found: dict[str, list[int]] = {}
+        for item_id, text in items:
+            if 0 < len(words := _words(text)) < params.shortest:
+                found.setdefault(words, []).append(item_id)
+        self.automaton = ahocorasick.Automaton()
+        for words, ids in found.items():
+            self.automaton.add_word(words, (words, ids))
+        self.any = bool(found)
+        if found:
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item id, 0, start, end) of each item found in a normalised text, at its first place."""
+        first: dict[str, tuple[list[int], int, int]] = {}
+        for last, (words, ids) in self.automaton.iter(text) if self.any else ():
+            begin, end = last + 1 - len(words), last + 1
+            if words not in first and not _one_word(text, begin) and not _one_word(text, end):
+                first[words] = ids, begin, end
+        return [(i, 0, begin, end) for ids, begin, end in first.values() for i in ids]
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], params: LeakParams):
         self.items, found = [], {}
         for item_id, text in items:
-            block = WordBlock(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
-            words = block.row_text(0).decode().strip()
+            words = _words(text)
             if len(words) < params.shortest:
                 continue
             errors = int(len(words) * params.share)
@@ -152,11 +191,12 @@ def _lacks(grams: list[str], window: str, most: int) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None, short: bool = False) -> DataFrame:
     """One row for each row of docs and benchmark item found in its whole text: doc_id, item_id, edits, similarity, start,
     end (in characters of the normalised text), then the ``carry`` columns.
 
-    Null texts and items, and items shorter than ``shortest``, match nothing. Repeated items are each reported, repeated
+    Items shorter than ``shortest`` are found with ``short`` only, and only they: as whole words without an error. Null texts
+    and items, and items without a word, match nothing. Repeated items are each reported, repeated
     rows of docs too. Ids pass through, null ones included; extra columns are ignored.
     """
     spark, carry = docs.sparkSession, carry or []
@@ -172,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
         shared = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in share.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, params)
+            matcher = (Exact if short else Matcher)(shared.value, params)
             for batch in batches:
                 rows, at = [], []
                 for first, end, data, offsets in text_blocks(batch, "text"):

@@ -32,6 +32,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the items too short for edits stand word for word; op2_decontamination has the others."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm_scoring.score(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 10, 0))
@@ -83,5 +88,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_lm_scoring, op4_sentencepiece, op5_language_id, op6_suffix_dedup, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op2_short_items, op3_lm_scoring, op4_sentencepiece, op5_language_id, op6_suffix_dedup, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": sql.url_filter(), "op6_suffix_dedup": sql.suffix_dedup(), "op9_embedding_dedup": sql.embedding_dedup()}
