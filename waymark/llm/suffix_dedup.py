@@ -1,4 +1,4 @@
-"""Removal of repeated passages by distributed prefix doubling.
+"""Removal of repeated passages by three rounds of hashes of growing length (not prefix doubling: no ranks are built).
 
 Every position of the corpus begins a suffix. Documents are packed in blocks of ascending ids; in rounds of growing length
 the blocks send names (hashes) of what stands at their positions to shards, Spark brings equal names together, the shards
