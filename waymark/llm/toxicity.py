@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-Words and word beginnings are hashed; document frequencies by class come from all labelled training rows, and the
-features that tell the classes apart best (chi-squared) span the TF-IDF space. A bounded sample of labelled rows is
-indexed in blocks; for each feature and block the largest weight is kept, so that blocks whose bound cannot reach the k-th
-best cosine are skipped and the neighbours found are exact. Votes are weighted by cosine and by how many rows an example
-stands for, then calibrated.
+Words and word beginnings are hashed; document frequencies by class come from all labelled training rows. Every feature
+spans the TF-IDF space; how much it leans to the toxic class (log-odds) only weighs it. A bounded sample of labelled rows
+is indexed in blocks of like examples; for each feature and block the largest weight is kept, so that blocks whose bound
+cannot reach the k-th best cosine are skipped and the neighbours found are exact. Queries are answered a batch at a time:
+one sparse product bounds all blocks, then the best blocks' postings are added up until no bound is left. Votes are weighted
+by cosine and by how many rows an example stands for, then calibrated.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import ByteHash, mix64, text_blocks
@@ -25,18 +26,21 @@ _hash = ByteHash(23)
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """bits: log2 of hashed features. features: how many of them span the space. examples: most indexed rows of each class.
-    least: fewest training rows that a feature must occur in. k: neighbours. block: examples in a block. broadcast: most
-    labels that are sent to the texts (12 bytes each, a hash table of about 30 MB); beyond, the texts are shuffled to them."""
+    """bits: log2 of hashed features. examples: most indexed rows of each class. k: neighbours. block: examples in a block.
+    start: letters of a word's beginning. floor, shrink: weights of features. dense: features that the index keeps as a matrix.
+    broadcast: most labels that are sent to the texts (12 bytes each, a hash table of about 30 MB); beyond, the texts are
+    shuffled to them. batch: postings that are added up at once."""
 
     bits: int = 20
-    features: int = 512
     examples: int = 2000
-    least: int = 5
     k: int = 15
     block: int = 64
     start: int = 5
+    floor: float = 0.3
+    shrink: float = 10.0
+    dense: int = 2048
     broadcast: int = 1 << 20
+    batch: int = 1 << 21
 
 
 def row_features(data: np.ndarray, offsets: np.ndarray, params: ToxicParams) -> tuple[np.ndarray, np.ndarray]:
@@ -53,206 +57,339 @@ def row_features(data: np.ndarray, offsets: np.ndarray, params: ToxicParams) ->
 
 def frequencies(labelled: DataFrame, params: ToxicParams) -> tuple[np.ndarray, np.ndarray]:
     """Rows of each class (0, 1) and the rows of each class that hold each feature, over all of ``labelled``."""
-    size, parts = 1 << params.bits, 64
+    size = 1 << params.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+        df = np.zeros((2, size), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy().astype(np.int64)
             for first, end, data, offsets in text_blocks(batch, "text"):
                 feature, row = row_features(data, offsets, params)
-                once = np.unique(row * size + feature)
-                label = labels[first:end][once // size]
+                once = np.unique(row << params.bits | feature)
+                label = labels[first:end][once >> params.bits]
                 for c in (0, 1):
-                    np.add.at(df[c], once[label == c] % size, 1)
-                    n[c] += (labels[first:end] == c).sum()
-        if n.any():
-            cut = df.reshape(2, parts, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n.tolist()] * parts, pa.list_(pa.int64())), pa.array([np.ascontiguousarray(cut[:, i]).astype("<i8").tobytes() for i in range(parts)], pa.binary())], names=["part", "n", "df"])
-
-    def summed(key, frame):
-        total = sum(np.frombuffer(x, "<i8") for x in frame["df"])
-        return frame[:1].assign(n=[np.sum(frame["n"].tolist(), axis=0)], df=[total.astype("<i8").tobytes()])
-
-    schema = "part int, n array<long>, df binary"
-    counted = labelled.select("text", "toxic").mapInArrow(count, schema).groupBy("part").applyInPandas(summed, schema)
-    rows = sorted(counted.collect(), key=lambda r: r["part"])  # 2 x 8 x 2**bits bytes, whatever the input
-    if not rows:
-        return np.zeros(2, np.int64), np.zeros((2, size), np.int64)
-    return np.array(rows[0]["n"]), np.concatenate([np.frombuffer(r["df"], "<i8").reshape(2, -1) for r in rows], axis=1)
-
-
-def chosen_features(n: np.ndarray, df: np.ndarray, params: ToxicParams) -> np.ndarray:
-    """Features with the largest chi-squared statistic that are more frequent among toxic rows."""
+                    df[c] += np.bincount(once[label == c] & (size - 1), minlength=size)
+        at = np.flatnonzero(df.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[0, at]), pa.array(df[1, at])], names=["feature", "clean", "toxic"])
+
+    held = labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    counted = labelled.select("text", "toxic").mapInArrow(count, "feature long, clean long, toxic long")
+    found = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # 2**bits rows at most
+    n, df = np.zeros(2, np.int64), np.zeros((2, size), np.int64)
+    for r in held:
+        n[r["toxic"]] = r["n"]
+    for c, name in enumerate(("clean", "toxic")):
+        df[c, found.column("feature").to_numpy()] = found.column(name).to_numpy()
+    return n, df
+
+
+def feature_weights(n: np.ndarray, df: np.ndarray, params: ToxicParams) -> np.ndarray:
+    """Inverse document frequency of every feature times ``floor`` and the log-odds by which its rows are toxic more often
+    than all, as if ``shrink`` more rows were as toxic as all. None weighs nothing."""
     total, here = n.sum(), df.sum(axis=0)
+    idf = np.log((1 + total) / (1 + here)) + 1
     if not n.all():
-        return np.zeros(0, np.int64)
-    a, b = df[1], df[0]
-    c, d = n[1] - a, n[0] - b
-    below = np.maximum((a + c) * (b + d) * (a + b) * (c + d).astype(np.float64), 1)
-    chi = np.where((here >= params.least) & (a * n[0] > b * n[1]), total * (a * d - b * c).astype(np.float64) ** 2 / below, 0)
-    best = np.argsort(-chi, kind="stable")[: params.features]
-    return np.sort(best[chi[best] > 3.84])
-
-
-class Space:
-    """The TF-IDF space of the chosen features."""
-
-    def __init__(self, chosen: np.ndarray, n: np.ndarray, df: np.ndarray, params: ToxicParams):
-        self.params, self.size = params, len(chosen)
-        self.place = np.full(1 << params.bits, -1, np.int32)
-        self.place[chosen] = np.arange(len(chosen))
-        self.idf = np.log((1 + n.sum()) / (1 + df.sum(axis=0)[chosen])) + 1
-
-    def vectors(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit vectors of the rows as (features, weights); a row without a chosen feature is empty."""
-        feature, row = row_features(data, offsets, self.params)
-        place = self.place[feature]
-        at, count = np.unique(row[place >= 0] * np.int64(max(1, self.size)) + place[place >= 0], return_counts=True)
-        row, place = np.divmod(at, max(1, self.size))
-        weight = (1 + np.log(count)) * self.idf[place]
-        cut = np.searchsorted(row, np.arange(len(offsets)))
-        out = []
-        for a, b in zip(cut, cut[1:], strict=False):
-            w = weight[a:b]
-            out.append((place[a:b], w / np.sqrt(w @ w) if a < b else w))
-        return out
+        return idf
+    rate = n[1] / total
+    toxic = (df[1] + params.shrink * rate) / (here + params.shrink)
+    return idf * (params.floor + np.maximum(0, np.log(toxic / (1 - toxic)) - np.log(rate / (1 - rate))))
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """Unit vectors of n rows: entries (row, feature, weight) in order of row and feature; a row without words has none."""
+
+    n: int
+    row: np.ndarray
+    feature: np.ndarray
+    weight: np.ndarray
+
+    def some(self, first: int, end: int) -> Vectors:
+        cut = slice(*np.searchsorted(self.row, [first, end]))
+        return Vectors(end - first, self.row[cut] - first, self.feature[cut], self.weight[cut])
+
+
+def unit_vectors(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, params: ToxicParams) -> Vectors:
+    feature, row = row_features(data, offsets, params)
+    n = len(offsets) - 1
+    at, count = np.unique(row << params.bits | feature, return_counts=True)
+    row, feature = at >> params.bits, at & ((1 << params.bits) - 1)
+    weight = (1 + np.log(count)) * weights[feature]
+    return Vectors(n, row, feature, weight / np.sqrt(np.bincount(row, weight * weight, n))[row])
+
+
+def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (many[0] numbers), then the same from first[1], and so on."""
+    kind = np.int32 if len(first) and int(first.max()) + int(many.sum()) < 1 << 31 else np.int64
+    return np.repeat((first - np.cumsum(many) + many).astype(kind), many) + np.arange(many.sum(), dtype=kind)
+
+
+def like_order(vectors: Vectors, size: int, width: int = 512) -> np.ndarray:
+    """An order of the rows in which like ones are neighbours: random signs fold the features to ``width`` numbers, then
+    halves are split across the direction in which they vary most until they have ``size`` rows."""
+    rng = np.random.default_rng(size)
+    signs = rng.integers(0, 2**63, 1 << 16)
+    folded = np.zeros((vectors.n, width))
+    code = signs[vectors.feature & 0xFFFF] ^ (vectors.feature >> 16)
+    np.add.at(folded, (vectors.row, code % width), np.where(code >> 40 & 1, vectors.weight, -vectors.weight))
+    out, todo = [], [np.arange(vectors.n)]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        x = folded[rows] - folded[rows].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        rows = rows[np.argsort(along, kind="stable")]
+        half = -(-len(rows) // (2 * size)) * size
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class BlockMaxIndex:
-    """Postings by block with each feature's largest weight there; exact nearest examples by cosine."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, block: int):
-        self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block)
-        self.most = np.zeros((size, blocks))
-        posted: dict[tuple[int, int], tuple[list, list]] = {}
-        for i, (at, weight) in enumerate(vectors):
-            b = i // block
-            for f, w in zip(at.tolist(), weight.tolist(), strict=True):
-                rows, ws = posted.setdefault((b, f), ([], []))
-                rows.append(i - b * block)
-                ws.append(w)
-                self.most[f, b] = max(self.most[f, b], w)
-        self.postings = {key: (np.array(rows), np.array(ws)) for key, (rows, ws) in posted.items()}
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k largest positive cosines, ties to the smaller number; also counts the blocks visited."""
-        bound = weight @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        ids, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+    """Postings of examples by feature and block, with each feature's largest weight there; exact nearest examples by cosine.
+
+    The ``dense`` features that most examples hold are kept as a matrix (their postings are nearly full), others as lists.
+    """
+
+    def __init__(self, vectors: Vectors, features: int, block: int, dense: int = 2048):
+        self.n, self.block = vectors.n, block
+        self.blocks = max(1, -(-self.n // block))
+        found, at, held = np.unique(vectors.feature, return_inverse=True, return_counts=True)
+        common = np.sort(np.lexsort((found, -held))[:dense])
+        self.common = np.full(features, -1, np.int32)
+        self.common[found[common]] = np.arange(len(common))
+        self.full = np.zeros((self.blocks, len(common), block))
+        spot = self.common[vectors.feature]
+        rare = spot < 0
+        self.full[vectors.row[~rare] // block, spot[~rare], vectors.row[~rare] % block] = vectors.weight[~rare]
+        self.full_most = self.full.max(axis=2, initial=0.0).T.copy()
+        key = at[rare] * self.blocks + vectors.row[rare] // block
+        order = np.argsort(key, kind="stable")
+        self.local, self.weight = (vectors.row[rare][order] % block).astype(np.int32), vectors.weight[rare][order]
+        keys, self.begin, self.size = np.unique(key[order], return_index=True, return_counts=True)
+        self.most = np.maximum.reduceat(self.weight, self.begin) if len(keys) else np.zeros(0)
+        self.block_of = (keys % self.blocks).astype(np.int32)
+        which, self.first, self.many = np.unique(keys // self.blocks, return_index=True, return_counts=True)
+        self.held = held[which]  # postings of a feature
+        self.place = np.full(features, -1, np.int32)
+        self.place[found[which]] = np.arange(len(which))
         self.visited = 0
-        terms = list(zip(at.tolist(), weight.tolist(), strict=True))
-        for b in order.tolist():
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < least - 1e-12:
+
+    def nearest(self, queries: Vectors, k: int, batch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of the k largest positive cosines of each query, ties (to 12 digits) to the smaller number; where
+        there are fewer, the rest is (-1, 0)."""
+        ids, cosines = np.full((queries.n, k), -1), np.zeros((queries.n, k))
+        place = self.place[queries.feature]
+        listed = place >= 0
+        work = np.cumsum(np.bincount(queries.row[listed], self.held[place[listed]], queries.n) + self.full.shape[1])
+        first = 0
+        while first < queries.n and self.n:
+            end = max(first + 1, int(np.searchsorted(work, (work[first - 1] if first else 0) + batch, side="right")))
+            ids[first:end], cosines[first:end] = self._nearest(queries.some(first, end), k)
+            first = end
+        return ids, cosines
+
+    def _nearest(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, blocks, block = queries.n, self.blocks, self.block
+        spot, place = self.common[queries.feature], self.place[queries.feature]
+        dense = np.zeros((n, self.full.shape[1]))
+        dense[queries.row[spot >= 0], spot[spot >= 0]] = queries.weight[spot >= 0]
+        known = place >= 0
+        place, many = place[known], self.many[place[known]]
+        entry = ranges(self.first[place], many)
+        force = np.repeat(queries.weight[known], many)
+        pair = np.repeat(queries.row[known], many) * blocks + self.block_of[entry]
+        bound = np.bincount(pair, force * self.most[entry], n * blocks).reshape(n, blocks) + dense @ self.full_most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        turns = np.array([0, *(1 << np.arange(blocks.bit_length()))])  # blocks visited before each turn: 0, 1, 2, 4, ...
+        turns = np.append(turns[turns < blocks], blocks)
+        turn_of = np.empty((n, blocks), np.uint8)
+        np.put_along_axis(turn_of, order, np.repeat(np.arange(len(turns) - 1), np.diff(turns)).astype(np.uint8)[None], axis=1)
+        turn = turn_of.ravel()[pair]
+        by_turn = np.argsort(turn, kind="stable")
+        cut = np.searchsorted(turn[by_turn], np.arange(len(turns)))
+        doc, ids, cosines, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(n)
+        for t in range(len(turns) - 1):
+            live = bound > np.maximum(least - 1e-9, 0)[:, None]
+            if not (live & (turn_of >= t)).any():
                 break
-            self.visited += 1
-            sums = np.zeros(self.block)
-            for f, w in terms:
-                found = self.postings.get((b, f))
-                if found:
-                    sums[found[0]] += w * found[1]
-            there = np.flatnonzero(sums > 0)
-            ids, cosines = np.concatenate([ids, there + b * self.block]), np.concatenate([cosines, sums[there]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-                ids, cosines = ids[best], cosines[best]
-            least = cosines.min() if len(ids) >= k else 0.0
-        best = np.lexsort((ids, -np.round(cosines, 12)))
-        return ids[best], cosines[best]
+            live = (live & (turn_of == t)).ravel()
+            at = np.flatnonzero(live)  # the pairs (query, block) of this turn
+            self.visited += len(at)
+            e = by_turn[cut[t] : cut[t + 1]]
+            e = e[live[pair[e]]]
+            size = self.size[entry[e]]
+            posting = ranges(self.begin[entry[e]], size)
+            target = np.repeat(((np.cumsum(live, dtype=np.int32) - 1) * np.int32(block))[pair[e]], size) + self.local[posting]
+            sums = np.bincount(target, np.repeat(force[e], size) * self.weight[posting], len(at) * block).astype(np.float64, copy=False).reshape(-1, block)
+            by_block = np.argsort(at % blocks, kind="stable")
+            ends = np.searchsorted((at % blocks)[by_block], np.arange(blocks + 1))
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                these = by_block[ends[b] : ends[b + 1]]
+                sums[these] += dense[at[these] // blocks] @ self.full[b]
+            pairs, local = np.nonzero(sums > np.maximum(least[at // blocks] - 1e-9, 1e-300)[:, None])
+            doc, ids, cosines = np.concatenate([doc, at[pairs] // blocks]), np.concatenate([ids, at[pairs] % blocks * block + local]), np.concatenate([cosines, sums[pairs, local]])
+            best = np.lexsort((ids, -np.round(cosines, 12), doc))
+            doc, ids, cosines = doc[best], ids[best], cosines[best]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            doc, ids, cosines = doc[rank < k], ids[rank < k], cosines[rank < k]
+            full = np.bincount(doc, minlength=n) >= k
+            last = np.searchsorted(doc, np.arange(n), side="right") - 1
+            least = np.where(full, cosines[np.maximum(last, 0)] if len(cosines) else 0, 0)
+        out, near = np.full((n, k), -1), np.zeros((n, k))
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        out[doc, rank], near[doc, rank] = ids, cosines
+        return out, near
+
+
+@dataclass(frozen=True)
+class Examples:
+    """The indexed rows in the index's order: labels, how many rows each stands for (1 on average), ids. blank: score of a
+    row without words; everyone: of one that shares no feature with an example."""
+
+    index: BlockMaxIndex
+    weights: np.ndarray
+    labels: np.ndarray
+    stands: np.ndarray
+    doc_ids: np.ndarray
+    blank: float
+    everyone: float
+    params: ToxicParams
+
+    def votes(self, queries: Vectors, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(toxic share, neighbours, cosines) of each query; ``without`` names an example that each may not use."""
+        k = self.params.k
+        ids, cosines = self.index.nearest(queries, k + (without is not None), self.params.batch)
+        if without is not None:
+            own = ids == without[:, None]
+            own[~own.any(axis=1), k] = True
+            ids, cosines = ids[~own].reshape(-1, k), cosines[~own].reshape(-1, k)
+        force = np.where(ids >= 0, cosines * self.stands[ids], 0.0) if len(self.stands) else cosines
+        toxic = (force * self.labels[ids]).sum(axis=1) if len(self.labels) else force.sum(axis=1)
+        share = (toxic + 0.5 * self.everyone) / (force.sum(axis=1) + 0.5)
+        return np.clip(share, 1e-4, 1 - 1e-4), ids, cosines
 
 
+@dataclass(frozen=True)
 class Judge:
-    """Index, votes and calibration."""
-
-    def __init__(self, space: Space, vectors, labels: np.ndarray, stands: np.ndarray, doc_ids: list[int]):
-        self.space = space
-        full = [i for i, (at, _) in enumerate(vectors) if len(at)]
-        empty = [i for i, (at, _) in enumerate(vectors) if not len(at)]
-        full.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), doc_ids[i]))  # like examples share blocks
-        self.labels, self.stands = labels[full], stands[full]
-        self.doc_ids = [doc_ids[i] for i in full]
-        self.index = BlockMaxIndex([vectors[i] for i in full], space.size, space.params.block)
-        weight = stands[empty].sum() if empty else 0.0
-        everyone = (stands @ labels + 0.5) / (stands.sum() + 1) if len(labels) else 0.0
-        self.blank = float((stands[empty] @ labels[empty] + everyone) / (weight + 1)) if empty else float(everyone)
-        self.a, self.b = self._calibrate([vectors[i] for i in full])
-
-    def votes(self, at, weight, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        k = self.space.params.k
-        ids, cosines = self.index.nearest(at, weight, k + (without >= 0))
-        if without >= 0:
-            other = ids != without
-            ids, cosines = ids[other][:k], cosines[other][:k]
-        force = cosines * self.stands[ids]
-        share = (force @ self.labels[ids] + 0.5 * self.blank) / (force.sum() + 0.5) if len(ids) else self.blank
-        return float(np.clip(share, 1e-4, 1 - 1e-4)), ids, cosines
-
-    def _calibrate(self, vectors) -> tuple[float, float]:
-        """Logistic map of the votes' log-odds, fitted on each example without itself, by damped Newton steps."""
-        if len(set(self.labels.tolist())) < 2:
-            return 1.0, 0.0
-        share = np.array([self.votes(at, w, i)[0] for i, (at, w) in enumerate(vectors)])
-        x = np.log(share / (1 - share))
-        design = np.stack([x, np.ones_like(x)], axis=1)
-        theta, weight = np.array([1.0, 0.0]), self.stands / self.stands.mean()
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-            slope = design.T @ (weight * (p - self.labels)) + 1e-2 * (theta - [1, 0])
-            curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-            theta = theta - np.clip(np.linalg.solve(curve, slope), -1, 1)
-        return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
-
-    def score(self, at, weight) -> tuple[float, list[int]]:
-        """Calibrated score and the nearest examples' ids."""
-        if not len(at):
-            return self.blank, []
-        share, ids, _ = self.votes(at, weight)
-        if not len(ids):
-            return self.blank, []
-        z = self.a * np.log(share / (1 - share)) + self.b
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), [self.doc_ids[i] for i in ids[:3].tolist()]
+    """Examples and the logistic map of their votes' log-odds."""
+
+    examples: Examples
+    a: float = 1.0
+    b: float = 0.0
+
+
+def calibrated(share: np.ndarray, a: float, b: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(a * np.log(share / (1 - share)) + b, -30, 30)))
+
+
+def calibration(share: np.ndarray, labels: np.ndarray, stands: np.ndarray) -> tuple[float, float]:
+    """Logistic map from the votes of each example without itself to its label, by damped Newton steps."""
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    x = np.log(share / (1 - share))
+    design = np.stack([x, np.ones_like(x)], axis=1)
+    theta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+        slope = design.T @ (stands * (p - labels)) + 1e-2 * (theta - [1, 0])
+        curve = (design * (stands * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        theta = theta - np.clip(np.linalg.solve(curve, slope), -1, 1)
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+
+
+def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, weights: np.ndarray, params: ToxicParams) -> tuple[Examples, Vectors]:
+    """Index of (doc_id, toxic, copies, features, weights) rows, and the indexed vectors in the index's order."""
+    rows = sorted(rows, key=lambda r: (r[0], r[3], r[4]))
+    labels, copies = np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.float64)
+    got = np.array([max(1.0, copies[labels == c].sum()) for c in (0, 1)])
+    stands = copies * np.array([n[r[1]] / got[r[1]] for r in rows]) if rows else copies
+    stands = stands / max(1e-12, stands.mean() if rows else 1.0)
+    sizes = np.array([len(r[3]) // 4 for r in rows], np.int64)
+    empty = sizes == 0
+    everyone = float((stands @ labels + 0.5) / (stands.sum() + 1)) if rows else 0.0
+    blank = float((stands[empty] @ labels[empty] + everyone) / (stands[empty].sum() + 1)) if rows else 0.0
+    full = np.flatnonzero(~empty)
+    feature = np.frombuffer(b"".join(rows[i][3] for i in full), "<i4").astype(np.int64)
+    weight = np.frombuffer(b"".join(rows[i][4] for i in full), "<f8")
+    order = like_order(Vectors(len(full), np.repeat(np.arange(len(full)), sizes[full]), feature, weight), params.block)
+    start = np.cumsum(sizes[full]) - sizes[full]
+    take, sizes = ranges(start[order], sizes[full][order]), sizes[full][order]
+    vectors = Vectors(len(full), np.repeat(np.arange(len(full)), sizes), feature[take], weight[take])
+    full = full[order]
+    ids = np.array([rows[i][0] for i in full], np.int64)
+    return Examples(BlockMaxIndex(vectors, 1 << params.bits, params.block, params.dense), weights, labels[full], stands[full], ids, blank, everyone, params), vectors
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, params: ToxicParams = ToxicParams()) -> Judge:
     """docs needs doc_id and text, labels doc_id and toxic; ``training`` is a condition on doc_id. Rows of labels without a
-    text or a 0/1 label teach nothing; an id labelled twice counts with its larger label."""
+    text or a 0/1 label teach nothing; an id labelled twice counts with its larger label. At most ``examples`` distinct rows
+    of each class are indexed; a repeated row is one example that stands for all its copies."""
     spark = docs.sparkSession
     marks = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = F.broadcast(marks) if marks.count() <= params.broadcast else marks
     labelled = docs.where(training & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).join(marks, "doc_id")
     n, df = frequencies(labelled, params)
-    space = Space(chosen_features(n, df, params), n, df, params)
+    weights = feature_weights(n, df, params)
 
-    picks = [labelled.where(F.col("toxic") == c).select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_by")).dropDuplicates(["doc_id"]).orderBy("_by", "doc_id").limit(params.examples).select("doc_id").collect() for c in (0, 1)]
-    picked = spark.createDataFrame([r for p in picks for r in p], "doc_id " + dict(labelled.dtypes)["doc_id"])
-    shared = spark.sparkContext.broadcast(space)
+    labelled = labelled.withColumn("_by", F.xxhash64("doc_id", "text", F.lit(5)))
+    counted = labelled.groupBy("toxic", "_by").agg(F.count("*").alias("copies"))
+    picked = counted.where("toxic = 0").orderBy("_by").limit(params.examples).unionByName(counted.where("toxic = 1").orderBy("_by").limit(params.examples))
+    picked = spark.createDataFrame(picked.collect(), "toxic int, _by long, copies long")
+    shared = spark.sparkContext.broadcast(weights)
 
     def vectors(batches):
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch, "text"):
-                found = shared.value.vectors(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).cast(pa.int64()), batch.column(1).slice(first, end - first), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([w.astype("<f8").tobytes() for _, w in found], pa.binary())], names=["doc_id", "toxic", "at", "weight"])
+                found = unit_vectors(data, offsets, shared.value, params)
+                cut = np.searchsorted(found.row, np.arange(found.n + 1))
+                parts = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                columns = [batch.column(i).slice(first, end - first) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:], pa.array([found.feature[p].astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([found.weight[p].astype("<f8").tobytes() for p in parts], pa.binary())], names=["doc_id", "toxic", "copies", "at", "weight"])
+
+    chosen = labelled.join(F.broadcast(picked), ["toxic", "_by"]).dropDuplicates(["toxic", "_by"])
+    rows = chosen.select("doc_id", "toxic", "copies", "text").mapInArrow(vectors, "doc_id long, toxic int, copies long, at binary, weight binary").collect()
+    examples, indexed = examples_of([tuple(r) for r in rows], n, weights, params)
+    return Judge(examples, *_own_votes(spark, examples, indexed))
+
+
+def _own_votes(spark: SparkSession, examples: Examples, indexed: Vectors, size: int = 128) -> tuple[float, float]:
+    """Calibration on the votes of every example without itself, computed by tasks of ``size`` examples."""
+    if not indexed.n:
+        return 1.0, 0.0
+    shared = spark.sparkContext.broadcast((examples, indexed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vectors = shared.value
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                first, end = part * size, min(vectors.n, (part + 1) * size)
+                share = known.votes(vectors.some(first, end), np.arange(first, end))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([share.tolist()], pa.list_(pa.float64()))], names=["part", "share"])
 
-    rows = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at binary, weight binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["at"], r["weight"]))
-    marks_of = np.array([r["toxic"] for r in rows], np.float64)
-    got = np.array([max(1, (marks_of == c).sum()) for c in (0, 1)], np.float64)
-    stands = np.array([n[r["toxic"]] / got[r["toxic"]] for r in rows])
-    pairs = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f8")) for r in rows]
-    return Judge(space, pairs, marks_of, stands, [r["doc_id"] for r in rows])
+    parts = -(-indexed.n // size)
+    found = spark.range(0, parts, 1, parts).mapInArrow(run, "part long, share array<double>").collect()
+    share = np.concatenate([r["share"] for r in sorted(found, key=lambda r: r["part"])])
+    shared.unpersist()
+    return calibration(share, examples.labels, examples.stands)
 
 
 def score(docs: DataFrame, judge: Judge) -> DataFrame:
     """doc_id, score (0 to 1) and evidence (up to three nearest labelled ids) for every row's whole text. Null and empty
-    texts, and texts without a telling feature, get the rate among labelled rows of that kind."""
+    texts, and texts without a word, get the smoothed rate among labelled rows of that kind; texts that share no feature
+    with an example the rate among all."""
     shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, a, b = shared.value.examples, shared.value.a, shared.value.b
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch, "text"):
-                found = [known.score(at, w) for at, w in known.space.vectors(data, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+                queries = unit_vectors(data, offsets, known.weights, known.params)
+                share, ids, _ = known.votes(queries)
+                words = np.bincount(queries.row, minlength=queries.n) > 0
+                found = np.where(words, np.where(ids[:, 0] >= 0, calibrated(share, a, b), known.everyone), known.blank)
+                evidence = [[int(known.doc_ids[i]) for i in near if i >= 0] for near in ids[:, :3].tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
