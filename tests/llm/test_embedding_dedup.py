@@ -56,3 +56,36 @@ def test_replication_reaches_every_partner():
     assert all(homes[i] in cells[j] or homes[j] in cells[i] for i, j in zip(*np.nonzero(near), strict=True))
     assert all(sum((homes[i] in cells[j], homes[j] in cells[i])) == 1 for i, j in zip(*np.nonzero(near), strict=True) if homes[i] != homes[j])
     assert sum(map(len, cells)) < 300 * 20
+
+
+def by_ids(rows, least=0.95):
+    """As above where an id may have several vectors."""
+    good = [(i, unit([v])[0]) for i, v in rows]
+    ids = sorted({i for i, _ in good})
+    link = {i: set() for i in ids}
+    for i, v in good:
+        for j, w in good:
+            if i != j and len(v) == len(w) and v @ w >= least:
+                link[i].add(j)
+    out = {}
+    for i in ids:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in link[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = len(link[i]), min(seen)
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ids_with_several_vectors(spark, tables, seed):
+    probe = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (5, [0.0, 1.0]), (7, [0.0, 1.0]), (7, [1.0, 0.0])]
+    rng = np.random.default_rng(seed)
+    many = [(int(i) if rng.random() < 0.6 else 7, v) for i, v in rows_of(seed, 300) if v and len(v) == 6 and np.isfinite(v).all() and any(v)]
+    many = [(i % 40 if rng.random() < 0.3 else i, v) for i, v in many]
+    for rows in (probe, many):
+        folder = tables(embeddings=[(i, v, 0) for i, v in rows])
+        found = linked(spark.read.parquet(f"{folder}/embeddings.parquet"), EmbeddingParams(cell=30, block=50)).collect()
+        assert len(found) == len(rows)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == by_ids(rows)

@@ -187,16 +187,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 SMALL_TABLE = 100_000
 
 
-def chunked_pairs(df: DataFrame, cell: str, home: str, size: int, salt: Column, cells: int | None = None) -> DataFrame:
-    """Deal a cell's rows out to blocks (cell, i, j): home rows of chunk i meet member rows of chunk j.
+def chunked_pairs(df: DataFrame, cell: str, home: str, size: int, salt: Column, cells: int | None = None) -> tuple[DataFrame, int]:
+    """Deal a cell's rows out to blocks (cell, i, j): home rows of chunk i meet member rows of chunk j. Also how many rows
+    are dealt in all.
 
     Chunk counts follow the cell's own sizes, so no block holds more than about ``size`` home and ``size`` member rows,
     however large the cell is. Home rows are members too. Adds columns _i, _j and _left (the row is on the home side).
     ``cells``: a bound on the number of cells, if there is one; up to ``SMALL_TABLE`` their sizes are broadcast.
     """
-    sizes = df.groupBy(cell).agg(F.ceil(F.sum(F.col(home).cast("int")) / size).alias("_ni"), F.ceil(F.count("*") / size).alias("_nj"))
+    counts = df.groupBy(cell).agg(F.sum(F.col(home).cast("int")).alias("_h"), F.count("*").alias("_n")).where("_h > 0 and _n > 1")
+    sizes = stored(counts.select(cell, F.ceil(F.col("_h") / size).alias("_ni"), F.ceil(F.col("_n") / size).alias("_nj"), "_h", "_n"), "cells")
+    total = sizes.agg(F.sum(F.col("_h") * F.col("_nj") + F.col("_n") * F.col("_ni"))).first()[0] or 0
+    sizes = sizes.drop("_h", "_n")
     sizes = F.broadcast(sizes) if cells is not None and cells <= SMALL_TABLE else sizes
-    dealt = df.join(sizes, cell).where("_ni > 0").withColumn("_salt", salt)
+    dealt = df.join(sizes, cell).withColumn("_salt", salt)
     left = dealt.where(F.col(home)).withColumn("_i", F.pmod("_salt", "_ni")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nj") - 1)))
     right = dealt.withColumn("_j", F.pmod("_salt", "_nj")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ni") - 1)))
-    return left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False))).drop("_ni", "_nj", "_salt")
+    return left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False))).drop("_ni", "_nj", "_salt"), int(total)
