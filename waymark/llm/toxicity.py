@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,7 +166,7 @@ class BlockMaxIndex:
         rare = spot < 0
         self.full[vectors.row[~rare] // block, spot[~rare], vectors.row[~rare] % block] = vectors.weight[~rare]
         self.full_most = self.full.max(axis=2, initial=0.0).T.copy()
-        key = at[rare] * self.blocks + vectors.row[rare] // block
+        key = at[rare].astype(np.int64) * self.blocks + vectors.row[rare] // block
         order = np.argsort(key, kind="stable")
         self.local, self.weight = (vectors.row[rare][order] % block).astype(np.int32), vectors.weight[rare][order]
         keys, self.begin, self.size = np.unique(key[order], return_index=True, return_counts=True)
@@ -199,7 +201,7 @@ class BlockMaxIndex:
         place, many = place[known], self.many[place[known]]
         entry = ranges(self.first[place], many)
         force = np.repeat(queries.weight[known], many)
-        pair = np.repeat(queries.row[known], many) * blocks + self.block_of[entry]
+        pair = np.repeat(queries.row[known].astype(np.int32) * np.int32(blocks), many) + self.block_of[entry]
         bound = np.bincount(pair, force * self.most[entry], n * blocks).reshape(n, blocks) + dense @ self.full_most
         order = np.argsort(-bound, axis=1, kind="stable")
         turns = np.array([0, *(1 << np.arange(blocks.bit_length()))])  # blocks visited before each turn: 0, 1, 2, 4, ...
@@ -245,10 +247,11 @@ class BlockMaxIndex:
 
 @dataclass(frozen=True)
 class Examples:
-    """The indexed rows in the index's order: labels, how many rows each stands for (1 on average), ids. blank: score of a
-    row without words; everyone: of one that shares no feature with an example."""
+    """The indexed rows in the index's order: vectors, labels, how many rows each stands for (1 on average), ids. blank: score
+    of a row without words; everyone: of one that shares no feature with an example. The index itself is made where it is
+    first used, and does not travel."""
 
-    index: BlockMaxIndex
+    vectors: Vectors
     weights: np.ndarray
     labels: np.ndarray
     stands: np.ndarray
@@ -257,6 +260,16 @@ class Examples:
     everyone: float
     params: ToxicParams
 
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex(self.vectors, 1 << self.params.bits, self.params.block, self.params.dense)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
     def votes(self, queries: Vectors, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(toxic share, neighbours, cosines) of each query; ``without`` names an example that each may not use."""
         k = self.params.k
@@ -273,11 +286,12 @@ class Examples:
 
 @dataclass(frozen=True)
 class Judge:
-    """Examples and the logistic map of their votes' log-odds."""
+    """Examples, the same as sent to the workers, and the logistic map of their votes' log-odds."""
 
     examples: Examples
-    a: float = 1.0
-    b: float = 0.0
+    shared: Broadcast
+    a: float
+    b: float
 
 
 def calibrated(share: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -299,8 +313,8 @@ def calibration(share: np.ndarray, labels: np.ndarray, stands: np.ndarray) -> tu
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
-def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, weights: np.ndarray, params: ToxicParams) -> tuple[Examples, Vectors]:
-    """Index of (doc_id, toxic, copies, features, weights) rows, and the indexed vectors in the index's order."""
+def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, weights: np.ndarray, params: ToxicParams) -> Examples:
+    """Examples of (doc_id, toxic, copies, features, weights) rows, like ones side by side."""
     rows = sorted(rows, key=lambda r: (r[0], r[3], r[4]))
     labels, copies = np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.float64)
     got = np.array([max(1.0, copies[labels == c].sum()) for c in (0, 1)])
@@ -316,10 +330,10 @@ def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, w
     order = like_order(Vectors(len(full), np.repeat(np.arange(len(full)), sizes[full]), feature, weight), params.block)
     start = np.cumsum(sizes[full]) - sizes[full]
     take, sizes = ranges(start[order], sizes[full][order]), sizes[full][order]
-    vectors = Vectors(len(full), np.repeat(np.arange(len(full)), sizes), feature[take], weight[take])
+    vectors = Vectors(len(full), np.repeat(np.arange(len(full), dtype=np.int32), sizes), feature[take].astype(np.int32), weight[take])
     full = full[order]
     ids = np.array([rows[i][0] for i in full], np.int64)
-    return Examples(BlockMaxIndex(vectors, 1 << params.bits, params.block, params.dense), weights, labels[full], stands[full], ids, blank, everyone, params), vectors
+    return Examples(vectors, weights, labels[full], stands[full], ids, blank, everyone, params)
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, params: ToxicParams = ToxicParams()) -> Judge:
@@ -350,28 +364,29 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, params: ToxicPar
 
     chosen = labelled.join(F.broadcast(picked), ["toxic", "_by"]).dropDuplicates(["toxic", "_by"])
     rows = chosen.select("doc_id", "toxic", "copies", "text").mapInArrow(vectors, "doc_id long, toxic int, copies long, at binary, weight binary").collect()
-    examples, indexed = examples_of([tuple(r) for r in rows], n, weights, params)
-    return Judge(examples, *_own_votes(spark, examples, indexed))
+    shared.destroy()
+    examples = examples_of([tuple(r) for r in rows], n, weights, params)
+    sent = spark.sparkContext.broadcast(examples)
+    return Judge(examples, sent, *_own_votes(spark, examples, sent))
 
 
-def _own_votes(spark: SparkSession, examples: Examples, indexed: Vectors, size: int = 128) -> tuple[float, float]:
+def _own_votes(spark: SparkSession, examples: Examples, sent: Broadcast, size: int = 128) -> tuple[float, float]:
     """Calibration on the votes of every example without itself, computed by tasks of ``size`` examples."""
-    if not indexed.n:
+    n = examples.vectors.n
+    if not n:
         return 1.0, 0.0
-    shared = spark.sparkContext.broadcast((examples, indexed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = shared.value
+        known = sent.value
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                first, end = part * size, min(vectors.n, (part + 1) * size)
-                share = known.votes(vectors.some(first, end), np.arange(first, end))[0]
+                first, end = part * size, min(n, (part + 1) * size)
+                share = known.votes(known.vectors.some(first, end), np.arange(first, end))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([share.tolist()], pa.list_(pa.float64()))], names=["part", "share"])
 
-    parts = -(-indexed.n // size)
+    parts = -(-n // size)
     found = spark.range(0, parts, 1, parts).mapInArrow(run, "part long, share array<double>").collect()
     share = np.concatenate([r["share"] for r in sorted(found, key=lambda r: r["part"])])
-    shared.unpersist()
     return calibration(share, examples.labels, examples.stands)
 
 
@@ -379,10 +394,10 @@ def score(docs: DataFrame, judge: Judge) -> DataFrame:
     """doc_id, score (0 to 1) and evidence (up to three nearest labelled ids) for every row's whole text. Null and empty
     texts, and texts without a word, get the smoothed rate among labelled rows of that kind; texts that share no feature
     with an example the rate among all."""
-    shared = docs.sparkSession.sparkContext.broadcast(judge)
+    shared, a, b = judge.shared, judge.a, judge.b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, a, b = shared.value.examples, shared.value.a, shared.value.b
+        known = shared.value
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch, "text"):
                 queries = unit_vectors(data, offsets, known.weights, known.params)
