@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.common import in_fold
-from waymark.llm.lm_scoring import LmParams, dequantised, levels_of, score
+from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, dequantised, levels_of, score
 from waymark.llm.queries import op3_lm_scoring
 
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -23,18 +24,20 @@ held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0  # noqa
 def by_hand(docs, params=LmParams()):
     """doc_id, n_tokens, n_known, tokens learned from, base and smoothed score with exact counts, quantised."""
     train = [split(t) for i, t, *_ in docs if not held(i)]
-    uni, pair = Counter(x for d in train for x in d), Counter((("start",) if k == 0 else d[k - 1], d[k]) for d in train for k in range(len(d)))
-    n, below = sum(uni.values()), sum(uni.values()) + 0.1 * (len(uni) + 1)
+    gram = lambda d, k, order: tuple(d[j] if j >= 0 else "start" for j in range(k - order + 1, k + 1))
+    counts = [Counter(gram(d, k, order) for d in train for k in range(len(d))) for order in range(1, params.order + 1)]
+    n = sum(counts[0].values())
+    below = n + 0.1 * (len(counts[0]) + 1)
     level = lambda c: float(dequantised(levels_of(np.array([c])))[0]) if c else 0.0
     for i, t, *_ in docs:
         d = split(t)
-        base = [(uni[x] + 0.1) / below for x in d]
-        full = []
-        for k, p in enumerate(base):
-            history = len(train) if k == 0 else uni[d[k - 1]]
-            c = min(level(pair[("start",) if k == 0 else d[k - 1], d[k]]), history)
-            full.append((c + params.mass * p) / (history + params.mass))
-        yield i, len(d), sum(uni[x] > 0 for x in d), n, sum(map(math.log10, base)), sum(map(math.log10, full))
+        base = [(counts[0][x,] + 0.1) / below for x in d]
+        full, history = base, [len(train), *(counts[0][x,] for x in d[:-1])]
+        for order in range(2, params.order + 1):
+            c = [level(counts[order - 1][gram(d, k, order)]) for k in range(len(d))]
+            full = [(min(x, h) + params.mass * p) / (h + params.mass) for x, h, p in zip(c, history, full, strict=True)]
+            history = [len(train), *c[:-1]]
+        yield i, len(d), sum(counts[0][x,] > 0 for x in d), n, sum(map(math.log10, base)), sum(map(math.log10, full))
 
 
 def test_counts_and_scores(spark, tables, documents):
@@ -64,3 +67,20 @@ def test_exchanged_equals_broadcast(spark, sf_dir, order):
     one, other = (sorted(map(tuple, score(docs, training, LmParams(order=order, max_broadcast_mb=mb)).collect())) for mb in (192, -1))
     assert len(one) == len(other)
     assert all(a[:5] == b[:5] and np.allclose(a[5:], b[5:]) for a, b in zip(one, other, strict=True))
+
+
+def test_no_training_rows(spark, tables):
+    """The formula's own result: log10(0.1 / 0.1) for each token."""
+    alone = next(i for i in range(100) if held(i))
+    rows = op3_lm_scoring(spark, tables(documents=[(alone, "three words here"), (alone, None)])).collect()
+    assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, 0.0, 0.0)] * 2
+
+
+def test_counts_above_four_bytes():
+    many = 5 * 2**32
+    built = _shard_builder(16, LmParams())
+    h = np.array([7], np.uint64)
+    row = built((0,), pd.DataFrame({"shard": [0] * 2, "kind": [1, 1], "hashes": [h.tobytes()] * 2, "counts": [b"\x05"] * 2})).iloc[0]
+    assert np.frombuffer(row["uni_c"], "<i8").tolist() == [10]
+    model = Model([{"shard": 0, "uni_h": h.tobytes(), "uni_c": np.array([many]).tobytes(), "bits": b"", "n_bits": 0}], 16, LmParams())
+    assert model.unigrams(np.array([7, 8], np.uint64)).tolist() == [many, 0]

@@ -32,10 +32,10 @@ class LmParams:
     """order: longest n-gram (2 or more). mass: Dirichlet weight of the shorter history. bits, probes: filter bits an
     entry and hash functions a level. shard_mb: text that one shard of the counts stands for."""
 
-    order: int = 2
-    mass: float = 2000.0
-    bits: int = 10
-    probes: int = 5
+    order: int = 3
+    mass: float = 100.0
+    bits: int = 12
+    probes: int = 7
     shard_mb: int = 16
     max_broadcast_mb: int = 192
 
@@ -158,7 +158,7 @@ def _shard_builder(shards: int, params: LmParams):
                 h, q = h[q >= level], q[q >= level]
                 for probe in range(params.probes):
                     bits[_bit_at(h, level, probe, np.uint64(size))] = True
-        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [np.minimum(uni_c, 2**32 - 1).astype("<u4").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 12 + size // 8], "shard_bits": [bits_of_shard]})
+        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [uni_c.astype("<i8").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 16 + size // 8], "shard_bits": [bits_of_shard]})
 
     return run
 
@@ -184,7 +184,7 @@ class Model:
         self.shift, self.params = np.uint64(64 - max(1, shards.bit_length() - 1)), params
         rows.sort(key=lambda r: r["shard"])
         self.uni_h = np.concatenate([np.frombuffer(r["uni_h"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], "<u4") for r in rows] or [np.zeros(0, "<u4")])
+        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], "<i8") for r in rows] or [np.zeros(0, "<i8")])
         sizes = np.zeros(shards, np.int64)
         starts = np.zeros(shards, np.int64)
         at = 0
@@ -198,7 +198,7 @@ class Model:
         if not len(self.uni_h):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.uni_h, h), len(self.uni_h) - 1)
-        return np.where(self.uni_h[at] == h, self.uni_c[at].astype(np.int64), 0)
+        return np.where(self.uni_h[at] == h, self.uni_c[at], 0)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts: the highest level up to which every level's probes are all set."""
@@ -247,18 +247,15 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
     """Log10 probability of every row's whole text under a model of the training rows.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text is one end token. Repeated rows are each
-    counted and scored. With no training rows every token is unknown. Returns doc_id, training, n_tokens, n_known,
+    counted and scored. With no training rows every token has the probability that
+    the formula then gives, 0.1 / 0.1. Returns doc_id, training, n_tokens, n_known,
     train_tokens, base_score (add-0.1 unigram) and score (the smoothed model).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
     built, shards, totals = build(docs, F.col("training"), params)
     totals["starts"] = docs.where("training").count()
-    if totals["n"] == 0:
-        totals["n"], totals["v"] = 1, 0
-        trained = 0
-    else:
-        trained = totals["n"]
+    trained = totals["n"]
     out = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def rows(batch, first, end, found):
@@ -318,14 +315,14 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
         found = []
         for k, raw in zip(asked["kind"], asked["hashes"], strict=True):
             h = np.frombuffer(raw, np.uint64)
-            found.append((model.unigrams(h).astype("<u4") if k == 1 else model.levels(h)).tobytes())
+            found.append((model.unigrams(h).astype("<i8") if k == 1 else model.levels(h)).tobytes())
         return asked[["block", "kind", "shard"]].assign(found=found)
 
     def finish(key, frame, answers):
         told = {(k, i): raw for k, i, raw in zip(answers["kind"], answers["shard"], answers["found"], strict=True)}
         tables = {}
         for k, h in asked_by(frame).items():
-            value = [np.frombuffer(told[k, i], "<u4" if k == 1 else np.uint8) for i, (a, b) in enumerate(cuts(h)) if a < b]
+            value = [np.frombuffer(told[k, i], "<i8" if k == 1 else np.uint8) for i, (a, b) in enumerate(cuts(h)) if a < b]
             tables[k] = h, np.concatenate(value).astype(np.int64)
         done = []
         for batch, first, end, tok, bounds, kinds in parts(frame):
