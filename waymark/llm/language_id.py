@@ -1,13 +1,12 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Document frequencies come from all training rows. The classifier itself is fitted on at most ``sample`` training rows (the
-ones whose hashed id is smallest) with follow-the-regularised-leader and elastic-net penalties, and a temperature is
+Document frequencies come from all training rows. The classifier itself is fitted on at most ``sample`` different training
+rows (the ones whose hash is smallest) with follow-the-regularised-leader and elastic-net penalties, and a temperature is
 fitted on a part of them that training left out. Every row is then scored over its whole text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDECIDED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; numerals such as one half or superscripts are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class LangParams:
     """orders: n-gram lengths. bits: log2 of the hashed features. sample: most rows that the classifier is fitted on.
@@ -118,47 +121,37 @@ def train(docs: DataFrame, training: Column, params: LangParams = LangParams())
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(size, np.int64), 0
+        df = np.zeros(size, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 df[features(text, params.orders, params.bits)[0]] += 1
-                n += 1
-        if n:
-            parts = df.reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([n] * 64, pa.int64()), pa.array(list(parts), pa.list_(pa.int64()))], names=["part", "n", "df"])
-
-    def summed(key, frame):
-        frame["df"] = [np.asarray(x) for x in frame["df"]]
-        return frame[:1].assign(n=frame["n"].sum(), df=[np.sum(frame["df"].tolist(), axis=0)])
-
-    schema = "part int, n long, df array<long>"
-    parts = rows.select("text").mapInArrow(frequencies, schema).groupBy("part").applyInPandas(summed, schema).collect()
-    if not parts:
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["feature", "n"])
+
+    n = rows.count()
+    if not n:
         return None
-    parts.sort(key=lambda r: r["part"])
-    df = np.concatenate([r["df"] for r in parts])
-    idf = np.log((1 + parts[0]["n"]) / (1 + df)) + 1
+    found = rows.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    df = np.zeros(size, np.int64)
+    df[found.column("feature").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log((1 + n) / (1 + df)) + 1
 
-    chosen = rows.select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("_by")).dropDuplicates(["doc_id"]).orderBy("_by", "doc_id").limit(params.sample).select("doc_id")
-    chosen = spark.createDataFrame(chosen.collect(), "doc_id " + dict(rows.dtypes)["doc_id"])
+    # rows are sampled by what they hold, so that one id on very many rows takes no more room than others; repeats count once
+    hashed = rows.withColumn("_by", F.xxhash64("doc_id", "lang", "text", F.lit(3)))
+    chosen = spark.createDataFrame(hashed.select("_by").distinct().orderBy("_by").limit(params.sample).collect(), "_by long")
 
     def extracted(batches):
         for batch in batches:
             found = [features(t, params.orders, params.bits) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["doc_id", "lang", "at", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["by", "lang", "at", "counts"])
 
-    kept = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "lang", "text")
-    got = kept.mapInArrow(extracted, "doc_id long, lang string, at binary, counts binary").collect()
-    got.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["lang"], r["at"], r["counts"]))
-    data = [(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got[: params.sample]]
+    kept = hashed.join(F.broadcast(chosen), "_by").dropDuplicates(["_by"]).select(F.col("_by").alias("by"), "lang", "text")
+    got = kept.mapInArrow(extracted, "by long, lang string, at binary, counts binary").collect()
+    got.sort(key=lambda r: (r["by"], r["lang"], r["at"], r["counts"]))
+    data = [(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got]
     return fit(data, idf, params)
 
 
-def hash_order(doc_id: int) -> int:
-    """An order of training rows that does not follow their ids."""
-    return ((doc_id or 0) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) >> 20
-
-
 def predict(docs: DataFrame, model: Classifier | None, params: LangParams = LangParams(), carry: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred and score (the calibrated probability, 0 to 1) of every row, then the ``carry`` columns.
 
@@ -175,7 +168,7 @@ def predict(docs: DataFrame, model: Classifier | None, params: LangParams = Lang
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 lang, score = UNDECIDED, 0.0
-                if known and text and LETTER.search(text):
+                if known and text and has_letter(text):
                     at, counts = features(text, params.orders, params.bits)
                     p = softmax(known.logits(at, weighted(at, counts, known.idf)) / known.temperature)
                     lang, score = known.langs[int(p.argmax())], float(p.max())
