@@ -25,8 +25,8 @@ from waymark.llm.words import WordBlock, pieces
 
 @dataclass(frozen=True)
 class LeakParams:
-    """share: errors for each character of an item. shortest: items of fewer characters are not looked for (a few common
-    words are no leak to drop a text for; ``leaks(short=True)`` looks for them alone). part: bytes of benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
+    """share: errors for each character of an item. shortest: items of fewer characters are looked for without an error, as
+    whole words. part: bytes of benchmark text that one automaton holds; larger benchmarks are scanned in parts."""
 
     share: float = 0.1
     shortest: int = 24
@@ -191,12 +191,12 @@ def _lacks(grams: list[str], window: str, most: int) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None, short: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), carry: list[str] | None = None, short: bool | None = None) -> DataFrame:
     """One row for each row of docs and benchmark item found in its whole text: doc_id, item_id, edits, similarity, start,
     end (in characters of the normalised text), then the ``carry`` columns.
 
-    Items shorter than ``shortest`` are found with ``short`` only, and only they: as whole words without an error. Null texts
-    and items, and items without a word, match nothing. Repeated items are each reported, repeated
+    Items shorter than ``shortest`` are found as whole words without an error; ``short`` looks for them alone (True) or for
+    the others alone (False). Null texts and items, and items without a word, match nothing. Repeated items are each reported, repeated
     rows of docs too. Ids pass through, null ones included; extra columns are ignored.
     """
     spark, carry = docs.sparkSession, carry or []
@@ -212,13 +212,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
         shared = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in share.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = (Exact if short else Matcher)(shared.value, params)
+            matchers = [kind(shared.value, params) for kind, wanted in ((Matcher, short is not True), (Exact, short is not False)) if wanted]
             for batch in batches:
                 rows, at = [], []
                 for first, end, data, offsets in text_blocks(batch, "text"):
                     block = WordBlock(data, offsets)
                     for i in range(end - first):
-                        found = matcher.hits(block.row_text(i).decode())
+                        text = block.row_text(i).decode()
+                        found = [hit for m in matchers for hit in m.hits(text)]
                         rows += found
                         at += [first + i] * len(found)
                 item, edits, begin, end_ = zip(*rows, strict=True) if rows else [()] * 4

@@ -33,7 +33,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the items too short for edits stand word for word; op2_decontamination has the others."""
+    """The part of op2_decontamination that is about items too short for edits."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
