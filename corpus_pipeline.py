@@ -51,8 +51,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; of rows that share an id, only those whose own text does."""
-    found = decontamination.leaks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), table(spark, sf_dir, "benchmark"), carry=["text_hash"])
+    """Drops documents that hold a benchmark item; of rows that share an id, only those whose own text does. Items too short
+    for edits (LeakParams.shortest) drop nothing, since a word or two is no leak; op2_short_items reports where they stand."""
+    found = decontamination.leaks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), table(spark, sf_dir, "benchmark"), carry=["text_hash"], short=False)
     bad = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
