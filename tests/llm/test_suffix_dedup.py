@@ -56,6 +56,16 @@ def test_many_blocks_and_shards(spark, tables, documents):
     assert sorted(map(tuple, found.collect()), key=repr) == by_hand(docs)
 
 
+def test_one_id_on_most_rows(spark, tables, documents):
+    """An id with more text than a block is cut over several blocks that remove nothing from each other."""
+    docs = [(100 if k % 3 else d[0], *d[1:]) for k, d in enumerate([*documents, *documents[:60], *documents[:60]])] + corpus(4)
+    folder = tables(True, documents=docs)
+    found = repeats(spark.read.parquet(f"{folder}/documents.parquet"), SuffixParams(block=20_000, shard=20_000)).drop("spans")
+    assert sorted(map(tuple, found.collect()), key=repr) == by_hand(docs)
+    kept = without_repeats(spark.read.parquet(f"{folder}/documents.parquet"), SuffixParams(block=20_000, shard=20_000))
+    assert kept.count() == len(docs) and kept.where("_id = 7").count() == len(docs)
+
+
 def test_texts_are_cut(spark, tables):
     passage = "a passage of more than fifty bytes that stands in two documents, é"
     folder = tables(True, documents=[(1, f"first {passage} end", "en", "s", 3), (2, f"x{passage}y", "fr", "t", 4), (3, None)])

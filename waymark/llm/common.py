@@ -16,34 +16,49 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or ``SparkContext.setCheckpointDir``.
 
-    Only where the cluster names none (a test on one machine) a temporary folder is made and kept in the session.
+    Only on one machine (a local master), where neither names one, a temporary folder is made and kept in the session;
+    elsewhere that is an error, since executors would not see it.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.waymark.scratch", "")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("spark.waymark.scratch", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.waymark.scratch", found)
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def drop_stored() -> None:
     """Delete what ``stored`` wrote in this session; results that still read it must be saved before."""
     while _written:
         spark, path = _written.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            dropped(spark, path)
         except Exception:  # the session has ended: its files went with the cluster's folder
             return
 
