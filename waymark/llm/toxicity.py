@@ -126,12 +126,13 @@ def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat((first - np.cumsum(many) + many).astype(kind), many) + np.arange(many.sum(), dtype=kind)
 
 
-def like_order(vectors: Vectors, size: int, width: int = 512) -> np.ndarray:
-    """An order of the rows in which like ones are neighbours: random signs fold the features to ``width`` numbers, then
-    halves are split across the direction in which they vary most until they have ``size`` rows."""
+def like_groups(vectors: Vectors, size: int, width: int = 512) -> list[np.ndarray]:
+    """The rows in groups of like ones, at most ``size`` in each: random signs fold the features to ``width`` numbers, then
+    rows are split across the direction in which they vary most. Large groups are cut at the widest gap near the middle,
+    smaller ones so that the parts are full groups."""
     rng = np.random.default_rng(size)
     signs = rng.integers(0, 2**63, 1 << 16)
-    folded = np.zeros((vectors.n, width))
+    folded, start = np.zeros((vectors.n, width)), rng.normal(size=width)
     code = signs[vectors.feature & 0xFFFF] ^ (vectors.feature >> 16)
     np.add.at(folded, (vectors.row, code % width), np.where(code >> 40 & 1, vectors.weight, -vectors.weight))
     out, todo = [], [np.arange(vectors.n)]
@@ -141,41 +142,60 @@ def like_order(vectors: Vectors, size: int, width: int = 512) -> np.ndarray:
             out.append(rows)
             continue
         x = folded[rows] - folded[rows].mean(axis=0)
-        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
-        rows = rows[np.argsort(along, kind="stable")]
+        along = x @ start
+        for _ in range(20):  # towards the first principal component
+            turned = along @ x
+            along = x @ (turned / max(1e-12, np.sqrt(turned @ turned)))
+        by = np.argsort(along, kind="stable")
         half = -(-len(rows) // (2 * size)) * size
-        todo += [rows[half:], rows[:half]]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        if len(rows) > 8 * size:
+            low, high = len(rows) * 3 // 10, len(rows) * 7 // 10
+            half = low + 1 + int(np.argmax(np.diff(along[by][low : high + 1])))
+        todo += [rows[by[half:]], rows[by[:half]]]
+    return out
 
 
 class BlockMaxIndex:
     """Postings of examples by feature and block, with each feature's largest weight there; exact nearest examples by cosine.
 
-    The ``dense`` features that most examples hold are kept as a matrix (their postings are nearly full), others as lists.
+    The ``dense`` features that most examples hold are kept as matrices (their postings are nearly full) of single precision,
+    others as lists. The matrices only choose: what may be among the nearest by them is summed again in double precision.
     """
 
+    SLACK = 1e-5  # more than single precision can be wrong by
+
     def __init__(self, vectors: Vectors, features: int, block: int, dense: int = 2048):
         self.n, self.block = vectors.n, block
-        self.blocks = max(1, -(-self.n // block))
-        found, at, held = np.unique(vectors.feature, return_inverse=True, return_counts=True)
+        groups = like_groups(vectors, block)
+        self.blocks = len(groups)
+        self.names = np.full(self.blocks * block, -1)  # the example at each place
+        for b, rows in enumerate(groups):
+            self.names[b * block : b * block + len(rows)] = rows
+        spot_of = np.empty(self.n, np.int64)
+        spot_of[self.names[self.names >= 0]] = np.flatnonzero(self.names >= 0)
+        at_block, at_place = np.divmod(spot_of[vectors.row], block)
+        found, which, held = np.unique(vectors.feature, return_inverse=True, return_counts=True)
         common = np.sort(np.lexsort((found, -held))[:dense])
         self.common = np.full(features, -1, np.int32)
         self.common[found[common]] = np.arange(len(common))
-        self.full = np.zeros((self.blocks, len(common), block))
         spot = self.common[vectors.feature]
         rare = spot < 0
-        self.full[vectors.row[~rare] // block, spot[~rare], vectors.row[~rare] % block] = vectors.weight[~rare]
+        self.wide = np.zeros((self.n, len(common)), np.float32)
+        self.wide[vectors.row[~rare], spot[~rare]] = vectors.weight[~rare]
+        self.full = np.zeros((self.blocks, len(common), block), np.float32)
+        self.full[at_block[~rare], spot[~rare], at_place[~rare]] = vectors.weight[~rare]
         self.full_most = self.full.max(axis=2, initial=0.0).T.copy()
-        key = at[rare].astype(np.int64) * self.blocks + vectors.row[rare] // block
+        self.full_norm = np.sqrt((self.full**2).sum(axis=1)).max(axis=1, initial=0.0)  # of a block's examples in these features
+        key = which[rare].astype(np.int64) * self.blocks + at_block[rare]
         order = np.argsort(key, kind="stable")
-        self.local, self.weight = (vectors.row[rare][order] % block).astype(np.int32), vectors.weight[rare][order]
+        self.local, self.weight = at_place[rare][order].astype(np.int32), vectors.weight[rare][order]
         keys, self.begin, self.size = np.unique(key[order], return_index=True, return_counts=True)
         self.most = np.maximum.reduceat(self.weight, self.begin) if len(keys) else np.zeros(0)
-        self.block_of = (keys % self.blocks).astype(np.int32)
-        which, self.first, self.many = np.unique(keys // self.blocks, return_index=True, return_counts=True)
-        self.held = held[which]  # postings of a feature
+        self.block_of = (keys % max(1, self.blocks)).astype(np.int32)
+        listed, self.first, self.many = np.unique(keys // max(1, self.blocks), return_index=True, return_counts=True)
+        self.held = held[listed]  # postings of a feature
         self.place = np.full(features, -1, np.int32)
-        self.place[found[which]] = np.arange(len(which))
+        self.place[found[listed]] = np.arange(len(listed))
         self.visited = 0
 
     def nearest(self, queries: Vectors, k: int, batch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +215,15 @@ class BlockMaxIndex:
     def _nearest(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
         n, blocks, block = queries.n, self.blocks, self.block
         spot, place = self.common[queries.feature], self.place[queries.feature]
-        dense = np.zeros((n, self.full.shape[1]))
+        dense = np.zeros((n, self.full.shape[1]), np.float32)
         dense[queries.row[spot >= 0], spot[spot >= 0]] = queries.weight[spot >= 0]
         known = place >= 0
         place, many = place[known], self.many[place[known]]
         entry = ranges(self.first[place], many)
         force = np.repeat(queries.weight[known], many)
         pair = np.repeat(queries.row[known].astype(np.int32) * np.int32(blocks), many) + self.block_of[entry]
-        bound = np.bincount(pair, force * self.most[entry], n * blocks).reshape(n, blocks) + dense @ self.full_most
+        most = np.minimum(dense @ self.full_most, np.sqrt((dense * dense).sum(axis=1))[:, None] * self.full_norm)
+        bound = np.bincount(pair, force * self.most[entry], n * blocks).reshape(n, blocks) + most
         order = np.argsort(-bound, axis=1, kind="stable")
         turns = np.array([0, *(1 << np.arange(blocks.bit_length()))])  # blocks visited before each turn: 0, 1, 2, 4, ...
         turns = np.append(turns[turns < blocks], blocks)
@@ -211,9 +232,10 @@ class BlockMaxIndex:
         turn = turn_of.ravel()[pair]
         by_turn = np.argsort(turn, kind="stable")
         cut = np.searchsorted(turn[by_turn], np.arange(len(turns)))
-        doc, ids, cosines, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(n)
+        doc, ids, lists, cosines = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        enough = np.zeros(n)  # a cosine below this is not among the nearest
         for t in range(len(turns) - 1):
-            live = bound > np.maximum(least - 1e-9, 0)[:, None]
+            live = bound + self.SLACK > enough[:, None]
             if not (live & (turn_of >= t)).any():
                 break
             live = (live & (turn_of == t)).ravel()
@@ -225,29 +247,41 @@ class BlockMaxIndex:
             posting = ranges(self.begin[entry[e]], size)
             target = np.repeat(((np.cumsum(live, dtype=np.int32) - 1) * np.int32(block))[pair[e]], size) + self.local[posting]
             sums = np.bincount(target, np.repeat(force[e], size) * self.weight[posting], len(at) * block).astype(np.float64, copy=False).reshape(-1, block)
+            hope = sums.max(axis=1, initial=0.0) + most.ravel()[at] + self.SLACK > enough[at // blocks]
+            at, sums = at[hope], sums[hope]
+            full = np.zeros(sums.shape, np.float32)
             by_block = np.argsort(at % blocks, kind="stable")
             ends = np.searchsorted((at % blocks)[by_block], np.arange(blocks + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
                 these = by_block[ends[b] : ends[b + 1]]
-                sums[these] += dense[at[these] // blocks] @ self.full[b]
-            pairs, local = np.nonzero(sums > np.maximum(least[at // blocks] - 1e-9, 1e-300)[:, None])
-            doc, ids, cosines = np.concatenate([doc, at[pairs] // blocks]), np.concatenate([ids, at[pairs] % blocks * block + local]), np.concatenate([cosines, sums[pairs, local]])
-            best = np.lexsort((ids, -np.round(cosines, 12), doc))
-            doc, ids, cosines = doc[best], ids[best], cosines[best]
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            doc, ids, cosines = doc[rank < k], ids[rank < k], cosines[rank < k]
-            full = np.bincount(doc, minlength=n) >= k
-            last = np.searchsorted(doc, np.arange(n), side="right") - 1
-            least = np.where(full, cosines[np.maximum(last, 0)] if len(cosines) else 0, 0)
-        out, near = np.full((n, k), -1), np.zeros((n, k))
+                full[these] = dense[at[these] // blocks] @ self.full[b]
+            near = sums + full
+            pairs, local = np.nonzero((near > 0) & (near >= enough[at // blocks][:, None]))
+            doc, ids = np.concatenate([doc, at[pairs] // blocks]), np.concatenate([ids, self.names[at[pairs] % blocks * block + local]])
+            lists, cosines = np.concatenate([lists, sums[pairs, local]]), np.concatenate([cosines, near[pairs, local]])
+            best = np.lexsort((-cosines, doc))
+            doc, ids, lists, cosines = doc[best], ids[best], lists[best], cosines[best]
+            begin = np.searchsorted(doc, np.arange(n + 1))
+            full_up = np.diff(begin) >= k
+            enough = np.where(full_up, np.append(cosines, 0)[np.minimum(begin[:-1] + k - 1, len(cosines))] - self.SLACK, 0)
+            stay = cosines >= enough[doc]
+            doc, ids, lists, cosines = doc[stay], ids[stay], lists[stay], cosines[stay]
+        exact = lists.copy()
+        for first in range(0, len(doc), 1 << 10):
+            part = slice(first, first + (1 << 10))
+            exact[part] += np.einsum("ij,ij->i", dense[doc[part]], self.wide[ids[part]], dtype=np.float64)
+        best = np.lexsort((ids, -np.round(exact, 12), doc))
+        doc, ids, exact = doc[best], ids[best], exact[best]
         rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        out[doc, rank], near[doc, rank] = ids, cosines
-        return out, near
+        doc, ids, exact, rank = (x[rank < k] for x in (doc, ids, exact, rank))
+        out, cos = np.full((n, k), -1), np.zeros((n, k))
+        out[doc, rank], cos[doc, rank] = ids, exact
+        return out, cos
 
 
 @dataclass(frozen=True)
 class Examples:
-    """The indexed rows in the index's order: vectors, labels, how many rows each stands for (1 on average), ids. blank: score
+    """The indexed rows: vectors, labels, how many rows each stands for (1 on average), ids. blank: score
     of a row without words; everyone: of one that shares no feature with an example. The index itself is made where it is
     first used, and does not travel."""
 
@@ -314,7 +348,7 @@ def calibration(share: np.ndarray, labels: np.ndarray, stands: np.ndarray) -> tu
 
 
 def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, weights: np.ndarray, params: ToxicParams) -> Examples:
-    """Examples of (doc_id, toxic, copies, features, weights) rows, like ones side by side."""
+    """Examples of (doc_id, toxic, copies, features, weights) rows."""
     rows = sorted(rows, key=lambda r: (r[0], r[3], r[4]))
     labels, copies = np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.float64)
     got = np.array([max(1.0, copies[labels == c].sum()) for c in (0, 1)])
@@ -325,13 +359,9 @@ def examples_of(rows: list[tuple[int, int, int, bytes, bytes]], n: np.ndarray, w
     everyone = float((stands @ labels + 0.5) / (stands.sum() + 1)) if rows else 0.0
     blank = float((stands[empty] @ labels[empty] + everyone) / (stands[empty].sum() + 1)) if rows else 0.0
     full = np.flatnonzero(~empty)
-    feature = np.frombuffer(b"".join(rows[i][3] for i in full), "<i4").astype(np.int64)
+    feature = np.frombuffer(b"".join(rows[i][3] for i in full), "<i4")
     weight = np.frombuffer(b"".join(rows[i][4] for i in full), "<f8")
-    order = like_order(Vectors(len(full), np.repeat(np.arange(len(full)), sizes[full]), feature, weight), params.block)
-    start = np.cumsum(sizes[full]) - sizes[full]
-    take, sizes = ranges(start[order], sizes[full][order]), sizes[full][order]
-    vectors = Vectors(len(full), np.repeat(np.arange(len(full), dtype=np.int32), sizes), feature[take].astype(np.int32), weight[take])
-    full = full[order]
+    vectors = Vectors(len(full), np.repeat(np.arange(len(full), dtype=np.int32), sizes[full]), feature, weight)
     ids = np.array([rows[i][0] for i in full], np.int64)
     return Examples(vectors, weights, labels[full], stands[full], ids, blank, everyone, params)
 
