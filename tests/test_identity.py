@@ -1,4 +1,4 @@
-"""Identities, evaluation and the simulator, end to end."""
+"""Identities and evaluation."""
 
 from __future__ import annotations
 
@@ -10,13 +10,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tests.test_timelines import EDGES, LENGTHS, SITE
 from waymark.evaluation import truth
-from waymark.operators import candidates as cand
-from waymark.operators import identity, routes, tracks, visits
+from waymark.operators import identity, routes, tracks
 from waymark.plans.queries import QUERIES, Site
-from waymark.sources import simulator
-from waymark.sources.graph import graph_of
 
 
 def test_assignment_is_least_cost():
@@ -126,25 +122,3 @@ def test_pairwise_counts(spark):
     rows = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (2, "c")]
     r = truth.pairwise(spark.createDataFrame(rows, "global_id int, true_id string")).first()
     assert (r["precision"], r["recall"], r["f1"], r["fragmented"], r["merged"]) == (pytest.approx(1 / 3), 0.5, 0.4, 1, 1)
-
-
-def test_simulation_end_to_end(spark):
-    """At least 97% of the occupants stay possible, and nobody inside was too fast."""
-    params = simulator.SimParams("easy", 300, incidents=10)
-    simulator.check_transitions(EDGES)
-    g = graph_of(spark, LENGTHS, EDGES, SITE)
-    seen, stays, incidents = simulator.observations(spark, params).cache(), simulator.segments(spark, params), simulator.incidents(spark, params)
-    found = cand.incident_candidates(incidents, seen, routes.build_route_times(g), g.edges, SITE)
-    table = {r["status"]: r["truly_inside"] for r in truth.feasibility(found, truth.labels(incidents, seen, stays, SITE.hidden, 900.0)).collect()}
-    inside = sum(table.values())
-    assert inside > 0 and table.get("possible", 0) >= 0.97 * inside and table.get("impossible: reached too fast", 0) == 0
-    recall = truth.visit_recall(stays, visits.build_visits(seen), g.path_table()).collect()
-    assert all(r["pct_found"] > 97 for r in recall) and len(recall) == 6
-
-
-def test_simulation_does_not_depend_on_partitions(spark):
-    params = simulator.SimParams("hard", 50)
-    one = sorted(map(tuple, simulator.observations(spark, params).collect()))
-    assert one == sorted(map(tuple, simulator.observations(spark, params).repartition(3).collect()))
-    with pytest.raises(ValueError):
-        simulator.check_transitions([])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.evaluation import truth
 from waymark.operators import candidates as cand
 from waymark.operators import reports, routes, tracks, visits
 from waymark.plans.config import SiteParams, VisitParams
@@ -139,3 +142,27 @@ def test_topology_intervals(graph):
     found = {(r["cam_a"], r["cam_b"], round(r["lo"], 3), round(r["hi"], 3)) for r in routes.topology_intervals(graph).collect()}
     assert ("C3", "C5", -2.0, 15.0) in found and ("C3", "C5", 98.0, 765.0) in found and ("C1", "C1", -2.0, 30.0) in found
     assert not any(a == "C7" and b != "C7" for a, b, *_ in found)
+
+
+def test_anchors_and_recall_by_hand(spark):
+    """Random histories, some with days of silence, against a search of every row."""
+    rng = random.Random(7)
+    rows = [(p, rng.choice(["P1", "P2", "P3"]), float(rng.choice([rng.randint(0, 5), rng.randint(0, 900) * 1000]))) for p in (1, 1, 1, 2) for _ in range(60)]
+    times = [0.0, 3.0, 86400.0, 450_000.0, 899_999.0, 2_000_000.0]
+    wanted = [(k, t, p) for k, t in enumerate(times) for p in (1, 2, 3)]
+    found = cand.anchors(spark.createDataFrame(wanted, "incident_id int, t double, person_id long"), seen(spark, rows)).collect()
+    assert len(found) == len(wanted)
+    for r in found:
+        mine = [(ts, i, path) for i, (p, path, ts) in enumerate(rows) if p == r["person_id"]]
+        before, after = max((x for x in mine if x[0] < r["t"]), default=None), min((x for x in mine if x[0] >= r["t"]), default=None)
+        assert (r["a"], r["ta"]) == ((before[2], before[0]) if before else (None, None))
+        assert (r["b"], r["tb"]) == ((after[2], after[0]) if after else (None, None))
+    stays = [(p, path, ts, ts + rng.choice([0.0, 60.0, 200_000.0])) for p, path, ts in rows[::3]] * 2
+    went = [(p, path, ts - rng.choice([4.0, 6.0, 100_000.0]), ts - rng.choice([3.0, 5.0, 6.0])) for p, path, ts in rows[1::4]]
+    went = [(p, path, min(a, b), max(a, b)) for p, path, a, b in went]
+    paths = spark.createDataFrame([("P1", True), ("P2", True), ("P3", False)], "id string, has_camera boolean")
+    table = truth.visit_recall(spark.createDataFrame(stays, "person_id long, path_id string, start_time double, end_time double"), spark.createDataFrame(went, "person_id long, path_id string, enter_ts double, exit_ts double"), paths).collect()
+    for r in table:
+        hits = [any(v[:2] == s[:2] and v[2] <= s[3] + 5 and v[3] >= s[2] - 5 for v in went) for s in stays if s[1] == r["path_id"]]
+        assert (r["true_stays"], r["found"]) == (len(hits), sum(hits))
+    assert {r["path_id"] for r in table} == {"P1", "P2"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.scalar import rounded
 from waymark.operators.candidates import in_window
 
 
@@ -19,12 +20,9 @@ def inside(incidents: DataFrame, presence: DataFrame, hidden: str) -> DataFrame:
 
 def labels(incidents: DataFrame, observations: DataFrame, presence: DataFrame, hidden: str, window: float) -> DataFrame:
     """incident_id, person_id, in_hidden for persons sighted in [t - window, t + window)."""
-    ends = observations.where("ts is not null")
-    near = in_window(incidents, ends, window)
-    bound = ends.select("person_id", "ts")
-    only_end = near.join(bound, "person_id").groupBy("incident_id", "t", "person_id").agg(F.count_if((F.col("ts") >= F.col("t") - window) & (F.col("ts") < F.col("t") + window)).alias("n")).where("n > 0")
+    near = in_window(incidents, observations, window, closed=False)
     flagged = inside(incidents, presence, hidden).withColumn("_in", F.lit(1))
-    return only_end.join(flagged, ["incident_id", "person_id"], "left").select("incident_id", "person_id", F.coalesce("_in", F.lit(0)).alias("in_hidden"))
+    return near.join(flagged, ["incident_id", "person_id"], "left").select("incident_id", "person_id", F.coalesce("_in", F.lit(0)).alias("in_hidden"))
 
 
 def feasibility(candidates: DataFrame, truth: DataFrame) -> DataFrame:
@@ -33,16 +31,21 @@ def feasibility(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     return both.groupBy("status").agg(F.sum("in_hidden").alias("truly_inside"), (F.count("*") - F.sum("in_hidden")).alias("not_inside"), F.count("*").alias("total")).orderBy(F.desc("total"), "status")
 
 
-def visit_recall(presence: DataFrame, visits: DataFrame, paths: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """By filmed path: true stays, those that a visit overlaps within the tolerance, and their share in percent."""
+def visit_recall(presence: DataFrame, visits: DataFrame, paths: DataFrame, tolerance: float = 5.0, slice_s: float = 86400.0) -> DataFrame:
+    """By filmed path: true stays, those that a visit overlaps within the tolerance, and their share in percent, to one digit.
+
+    Stays and visits meet by person, path and the slices of time that they touch, so a busy person is many small groups."""
     stays = presence.join(F.broadcast(paths.where("has_camera").select(F.col("id").alias("path_id"))), "path_id", "left_semi")
-    counted = stays.groupBy("person_id", "path_id", "start_time", "end_time").agg(F.count("*").alias("n"))
-    v = visits.select("person_id", "path_id", "enter_ts", "exit_ts")
-    found = counted.join(v, ["person_id", "path_id"]).where((F.col("enter_ts") <= F.col("end_time") + tolerance) & (F.col("exit_ts") >= F.col("start_time") - tolerance))
-    found = found.select("person_id", "path_id", "start_time", "end_time", F.lit(1).alias("hit")).distinct()
-    flagged = counted.join(found, ["person_id", "path_id", "start_time", "end_time"], "left")
+    key = ["person_id", "path_id", "start_time", "end_time"]
+    counted = stays.groupBy(*key).agg(F.count("*").alias("n"))
+    touched = lambda a, b: F.explode(F.sequence(F.floor(a / slice_s), F.floor(F.greatest(a, b) / slice_s))).alias("_slice")
+    sought = counted.select(*key, touched(F.col("start_time") - tolerance, F.col("end_time") + tolerance))
+    there = visits.select("person_id", "path_id", "enter_ts", "exit_ts", touched(F.col("enter_ts"), F.col("exit_ts")))
+    overlap = (F.col("enter_ts") <= F.col("end_time") + tolerance) & (F.col("exit_ts") >= F.col("start_time") - tolerance)
+    found = sought.join(there, ["person_id", "path_id", "_slice"]).where(overlap).select(*key, F.lit(1).alias("hit")).distinct()
+    flagged = counted.join(found, key, "left")
     by_path = flagged.groupBy("path_id").agg(F.sum("n").alias("true_stays"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("found"))
-    return by_path.withColumn("pct_found", F.lit(100.0) * F.col("found") / F.col("true_stays")).orderBy("path_id")
+    return by_path.withColumn("pct_found", rounded(F.lit(100.0) * F.col("found") / F.col("true_stays"), 1)).orderBy("path_id")
 
 
 def identity_counts(timeline: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.plans.config import SiteParams
 
 
-def in_window(incidents: DataFrame, observations: DataFrame, window: float) -> DataFrame:
-    """(incident_id, t, person_id), distinct: persons sighted in the closed window around each incident.
+def in_window(incidents: DataFrame, observations: DataFrame, window: float, closed: bool = True) -> DataFrame:
+    """(incident_id, t, person_id), distinct: persons sighted in the window around each incident, without its last moment
+    unless ``closed``.
 
     A band join as an equi-join: time is cut in buckets of the window's width and an incident looks in the at most three
     that its window touches.
@@ -17,22 +18,33 @@ def in_window(incidents: DataFrame, observations: DataFrame, window: float) -> D
     bucket = lambda c: F.floor(c / window)
     spread = incidents.select("incident_id", "t", F.explode(F.sequence(bucket(F.col("t") - window), bucket(F.col("t") + window))).alias("bucket"))
     seen = observations.select("person_id", "ts", bucket(F.col("ts")).alias("bucket"))
-    near = seen.join(spread, "bucket").where(F.col("ts").between(F.col("t") - window, F.col("t") + window))
+    late = F.col("ts") <= F.col("t") + window if closed else F.col("ts") < F.col("t") + window
+    near = seen.join(spread, "bucket").where((F.col("ts") >= F.col("t") - window) & late)
     return near.select("incident_id", "t", "person_id").distinct()
 
 
-def anchors(candidates: DataFrame, observations: DataFrame) -> DataFrame:
+def anchors(candidates: DataFrame, observations: DataFrame, slice_s: float = 86400.0) -> DataFrame:
     """For each candidate the last sighting strictly before t (a, ta) and the first at or after it (b, tb), over the whole
-    history; one aggregation, partially done before its shuffle. Ties in time go to the larger id before t, the smaller
-    after."""
-    seen = observations.select("person_id", "id", "path_id", "ts")
-    both = candidates.join(seen, "person_id")
-    before, key = F.col("ts") < F.col("t"), F.struct("ts", "id")
-    found = both.groupBy("incident_id", "t", "person_id").agg(
-        F.max_by(F.struct("path_id", "ts"), F.when(before, key)).alias("a"),
-        F.min_by(F.struct("path_id", "ts"), F.when(~before, key)).alias("b"),
-    )
-    return found.select("incident_id", "t", "person_id", F.col("a.path_id").alias("a"), F.col("a.ts").alias("ta"), F.col("b.path_id").alias("b"), F.col("b.ts").alias("tb"))
+    history. Ties in time go to the larger id before t, the smaller after.
+
+    Each person's history is folded to the first and last sighting of every slice of time. A candidate meets the single
+    sightings of its own slice only; beyond that the nearest slices that hold any have the answer.
+    """
+    cut = lambda c: F.floor(c / slice_s)
+    seen = observations.where("ts is not null").select("person_id", "id", "path_id", "ts", cut(F.col("ts")).alias("_slice"))
+    wanted = candidates.select("incident_id", "t", "person_id", cut(F.col("t")).alias("_slice"))
+    sighting, key = F.struct("path_id", "ts"), F.struct("ts", "id")
+    ends = seen.groupBy("person_id", "_slice").agg(F.min_by(sighting, key).alias("_first"), F.max_by(sighting, key).alias("_last"))
+    asked = wanted.select("person_id", "_slice").distinct()
+    w = Window.partitionBy("person_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("person_id").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = ends.join(asked.withColumn("_asked", F.lit(True)), ["person_id", "_slice"], "full")
+    beside = beside.withColumn("_before", F.last("_last", True).over(w)).withColumn("_after", F.last("_first", True).over(back)).where("_asked").select("person_id", "_slice", "_before", "_after")
+    before = F.col("ts") < F.col("t")
+    here = wanted.join(seen, ["person_id", "_slice"]).groupBy("incident_id", "t", "person_id").agg(F.max_by(sighting, F.when(before, key)).alias("_a"), F.min_by(sighting, F.when(~before, key)).alias("_b"))
+    found = wanted.join(beside, ["person_id", "_slice"], "left").join(here, ["incident_id", "t", "person_id"], "left")
+    a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_after")
+    return found.select("incident_id", "t", "person_id", a["path_id"].alias("a"), a["ts"].alias("ta"), b["path_id"].alias("b"), b["ts"].alias("tb"))
 
 
 def classified(anchored: DataFrame, route_times: DataFrame, edges: DataFrame, site: SiteParams, upper_bound: bool = False) -> DataFrame:

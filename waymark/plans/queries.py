@@ -6,7 +6,9 @@ the truth that only evaluation reads. ``lineitem`` plays detections, ``embedding
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,9 @@ from waymark.operators import candidates as cand
 from waymark.operators import identity, reports, routes, tracks
 from waymark.operators import visits as vis
 from waymark.plans.config import SiteParams, VisitParams
-from waymark.session import attach
-from waymark.sources import simulator
-from waymark.sources.graph import PathGraph, graph_of
+from waymark.session import attach, saved, shared_path
+from waymark.sources import files
+from waymark.sources.graph import PathGraph, graph_of, read_graph
 
 #: The network on the driver's tables, incidents (seconds since 1970, UTC) and windows.
 PATHS = [("view", 21600.0, "cam_view"), ("click", 43200.0, "cam_click"), ("signup", 43200.0, "cam_signup"), ("error", 129600.0, None), ("purchase", 64800.0, "cam_purchase")]
@@ -128,7 +130,7 @@ def anchors(spark, sf):
 
 def path_stats(spark, sf):
     s = Site(spark, sf)
-    return reports.path_statistics(s.graph().path_table(), s.visits())
+    return _plain(reports.path_statistics(s.graph().path_table(), saved(s.visits(), "visits")))
 
 
 def route_times(spark, sf):
@@ -144,6 +146,11 @@ def candidates(spark, sf):
     return reports.candidate_table(Site(spark, sf).candidates())
 
 
+def candidate_report(spark, sf):
+    found = Site(spark, sf).candidates().where(F.col("incident_id") == ONE)
+    return _plain(reports.candidate_report(found))
+
+
 def candidate_summary(spark, sf):
     return reports.status_summary(Site(spark, sf).candidates())
 
@@ -155,7 +162,7 @@ def feasibility_eval(spark, sf):
 
 def visit_recall(spark, sf):
     s = Site(spark, sf)
-    return truth.visit_recall(s.stays(), s.visits(), s.graph().path_table())
+    return _plain(truth.visit_recall(s.stays(), s.visits(), s.graph().path_table()))
 
 
 def presence_labels(spark, sf):
@@ -235,16 +242,15 @@ def match_tracks(spark, sf):
 
 
 def nearest_tracks(spark, sf):
-    """Each vector's nearest among those whose id is divisible by 100."""
-    rows = Site(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    stated = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("ref_id"), F.col("embedding").alias("emb"))
-    return tracks.nearest_other(rows.withColumnRenamed("embedding", "emb"), stated).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
+    """The nearest of all other vectors to each vector whose id is divisible by 100."""
+    rows = Site(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    return tracks.nearest_other(rows.where(F.col("id") % 100 == 0), rows.withColumnRenamed("id", "ref_id")).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
 
 
 def half_match(spark, sf):
     """Each label's vectors, in order of their ids, as the crops of one track."""
     crops = Site(spark, sf).table("embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("emb"))
-    return identity.half_match(crops.dropna(subset=["track_id"]))
+    return identity.half_match(crops.dropna(subset=["track_id"])).withColumn("similarity", F.col("similarity").cast("decimal(18,6)").cast("double"))
 
 
 def risk_levels(spark, sf):
@@ -266,11 +272,72 @@ def synthetic_identities(spark, sf):
     return truth.pairwise(known.select(F.concat_ws("/", "site", "global_id").alias("global_id"), "true_id"))
 
 
-def simulate(spark, sf):
-    return simulator.observations(attach(spark), simulator.SimParams("hard", 400))
+def identity_report(spark, sf):
+    """Users as identities, of which every fourth track is labelled."""
+    rows = Site(spark, sf).votes().withColumn("camera_id", F.lit("c"))
+    users = Site(spark, sf).table("events").select(F.col("event_id").alias("track_id"), F.col("user_id").alias("user"))
+    line = rows.join(users, "track_id").select(F.col("user").alias("global_person_id"), "camera_id", "track_id")
+    known = rows.where(F.col("track_id") % 4 == 0).select("camera_id", "track_id", F.concat(F.lit("P"), "global_person_id").alias("person_id"))
+    return identity.identity_report(identity.identity_map(line, known))
+
+
+def identity_presence(spark, sf):
+    """Customers' spans as the route sheet of the identities that map to them."""
+    sheet = Site(spark, sf).spans().select(F.col("person_id").alias("person_no"), "path_id", "start_time", "end_time")
+    return identity.presence(identity_majority(spark, sf), sheet)
+
+
+def embedding_coverage(spark, sf):
+    s = Site(spark, sf)
+    have = s.table("embeddings").select(F.col("vec_id").alias("track_id"))
+    return tracks.embedding_coverage(s.observations().select(F.col("id").alias("track_id")), have, ["track_id"])
+
+
+def csv_sightings(spark, sf):
+    """Sightings written as CSV, read with their schema and given the cameras of their paths."""
+    s, path = Site(spark, sf), shared_path(spark, "csv")
+    files.write_csv(s.observations().select("person_id", "path_id", F.col("ts").alias("timestamp")), path)
+    return files.raw_sightings(files.read_csv(spark, path, "raw_sightings"), s.graph()).drop("id")
+
+
+def graph_document(spark, sf):
+    """The network as a JSON document, read back: edges with what lies at their ends."""
+    path = shared_path(attach(spark), "graph")
+    doc = {"hidden_path": SITE.hidden, "paths": {i: {"length_m": m, "camera": c} for i, m, c in PATHS}, "edges": EDGES, "entries": [PATHS[0][0]], "walking_speed_bounds_mps": [SITE.v_min, SITE.v_max], "time_slack_s": SITE.slack}
+    spark.createDataFrame([(json.dumps(doc),)], "value string").write.text(path)
+    g = read_graph(spark, path)
+    return g.edges.join(g.path_table().withColumnRenamed("id", "from_path"), "from_path").join(g.camera_table().select(F.col("path_id").alias("to_path"), F.col("id").alias("to_camera")), "to_path", "left").select("from_path", "to_path", "length_m", "has_camera", "to_camera")
+
+
+def run_meta(spark, sf):
+    return Site(spark, sf).graph().meta_table()
+
+
+def persons(spark, sf):
+    return files.persons_of(Site(spark, sf).observations())
+
+
+def incident_rows(spark, sf):
+    rows = Site(spark, sf).incidents().select((F.col("incident_id") - 1).alias("incident_id"), F.col("t").alias("time"))
+    return files.rebased_incidents(rows, SITE.hidden)
+
+
+def sql_file(spark, sf):
+    """A query file with a parameter, over a registered table."""
+    files.register({"sightings": Site(spark, sf).observations()})
+    return files.run_sql_file(spark, str(Path(__file__).with_name("sightings_since.sql")), {"since": INCIDENTS[1][1]})
+
+
+def source_reload(spark, sf):
+    """Two sources stored; one of them replaced by fewer rows; the other stays."""
+    s, path = Site(spark, sf), shared_path(spark, "sources")
+    rows = s.observations().withColumn("source", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    files.replace_source(rows, path)
+    files.replace_source(rows.where((F.col("source") == "odd") & (F.col("person_id") < 50)), path)
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, synthetic_identities, simulate]
+_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -341,17 +408,17 @@ ORACLE_SQL: dict[str, str] = {
     "person_timeline": _with(_V5) + f"SELECT visit_idx, path_id, {_R1('enter_ts')} AS enter_s, {_R1('exit_ts')} AS exit_s, {_R1('exit_ts - enter_ts')} AS stay_s, n_obs FROM visits WHERE person_id = {PERSON}",
     "near_hidden": _with(_V5) + f"SELECT person_id, path_id, {_R1('enter_ts')} AS first_seen, {_R1('exit_ts')} AS last_seen, n_obs FROM visits WHERE path_id IN (SELECT from_path FROM edges WHERE to_path = '{SITE.hidden}' UNION SELECT to_path FROM edges WHERE from_path = '{SITE.hidden}') AND exit_ts >= {INCIDENTS[1][1] - WINDOW} AND enter_ts <= {INCIDENTS[1][1] + WINDOW}",
     "anchors": _with(_ANCHORS) + f"SELECT person_id, a AS last_path, {_R1('ta')} AS last_ts, b AS next_path, {_R1('tb')} AS next_ts, {_R1('tb - ta')} AS gap_s FROM anch WHERE incident_id = {ONE}",
-    "path_stats": _with(_V5) + "SELECT p.id AS path_id, p.camera IS NOT NULL AS has_camera, count(v.person_id) AS visits, CAST(sum(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(v.person_id), 0) AS avg_stay_s, CAST(list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[(count(v.person_id) + 1) // 2] + list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[count(v.person_id) // 2 + 1] AS DOUBLE) / 2 AS median_stay_s FROM paths p LEFT JOIN visits v ON v.path_id = p.id GROUP BY p.id, p.camera",
+    "path_stats": _with(_V5) + "SELECT p.id AS path_id, p.camera IS NOT NULL AS has_camera, count(v.person_id) AS visits, CAST(round(CAST(CAST(sum(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(v.person_id), 0) AS DECIMAL(18,6)), 1) AS DOUBLE) AS avg_stay_s, CAST(round(CAST(CAST(list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[(count(v.person_id) + 1) // 2] + list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[count(v.person_id) // 2 + 1] AS DOUBLE) / 2 AS DECIMAL(18,6)), 1) AS DOUBLE) AS median_stay_s FROM paths p LEFT JOIN visits v ON v.path_id = p.id GROUP BY p.id, p.camera",
     "route_times": _with(_ROUTES, recursive=True) + "SELECT * FROM route_times",
     "route_times_near_hidden": _with(_ROUTES, recursive=True) + f"SELECT from_path, to_path, via_hidden, n_routes, {_R0('min_seconds')} AS min_s, {_R0('max_seconds')} AS max_s FROM route_times WHERE from_path IN (SELECT from_path FROM edges WHERE to_path = '{SITE.hidden}')",
     "candidates": _with(_CANDIDATES, recursive=True) + "SELECT * FROM cands",
     "candidate_summary": _with(_CANDIDATES, recursive=True) + "SELECT incident_id, status, count(*) AS people FROM cands GROUP BY ALL",
     "feasibility_eval": _with(_CANDIDATES, _LABELS, recursive=True) + "SELECT status, CAST(sum(in_hidden) AS BIGINT) AS truly_inside, CAST(count(*) - sum(in_hidden) AS BIGINT) AS not_inside, count(*) AS total FROM cands JOIN labels_ USING (incident_id, person_id) GROUP BY status",
-    "visit_recall": _with(_V5, "stays AS (SELECT person_id, path_id, ts AS start_time, ts + 60.0 AS end_time FROM obs)") + "SELECT path_id, count(*) AS true_stays, CAST(sum(hit) AS BIGINT) AS found, 100.0::DOUBLE * sum(hit) / count(*) AS pct_found FROM (SELECT g.path_id, CAST(EXISTS (SELECT 1 FROM visits v WHERE v.person_id = g.person_id AND v.path_id = g.path_id AND v.enter_ts <= g.end_time + 5 AND v.exit_ts >= g.start_time - 5) AS INTEGER) AS hit FROM stays g JOIN paths p ON p.id = g.path_id AND p.camera IS NOT NULL) GROUP BY path_id",
+    "visit_recall": _with(_V5, "stays AS (SELECT person_id, path_id, ts AS start_time, ts + 60.0 AS end_time FROM obs)") + "SELECT path_id, count(*) AS true_stays, CAST(sum(hit) AS BIGINT) AS found, CAST(round(CAST(100.0::DOUBLE * sum(hit) / count(*) AS DECIMAL(18,6)), 1) AS DOUBLE) AS pct_found FROM (SELECT g.path_id, CAST(EXISTS (SELECT 1 FROM visits v WHERE v.person_id = g.person_id AND v.path_id = g.path_id AND v.enter_ts <= g.end_time + 5 AND v.exit_ts >= g.start_time - 5) AS INTEGER) AS hit FROM stays g JOIN paths p ON p.id = g.path_id AND p.camera IS NOT NULL) GROUP BY path_id",
     "presence_labels": _with(_LABELS) + "SELECT * FROM labels_",
     "topology_intervals": _with(_INTERVALS, recursive=True) + "SELECT * FROM intervals",
     "topology_horizon": _with(_INTERVALS, recursive=True) + "SELECT max(hi) AS max_gap FROM intervals",
-    "track_pair_gate": _with(_INTERVALS, "tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts, embedding FROM embeddings JOIN obs ON vec_id = id)", recursive=True) + "SELECT DISTINCT a.vec_id AS track_a, b.vec_id AS track_b, b.ts - a.ts AS gap, CAST(CAST(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(18,6)) AS DOUBLE) AS distance FROM tr a JOIN tr b ON a.vec_id <> b.vec_id JOIN intervals i ON i.cam_a = a.cam AND i.cam_b = b.cam AND b.ts - a.ts BETWEEN i.lo AND i.hi AND b.ts - a.ts <= 129600",
+    "track_pair_gate": _with(_INTERVALS, "tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts, embedding FROM embeddings JOIN obs ON vec_id = id)", recursive=True) + "SELECT DISTINCT a.vec_id AS track_a, b.vec_id AS track_b, b.ts - a.ts AS gap, CAST(CAST(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(18,6)) AS DOUBLE) AS distance FROM tr a JOIN tr b ON a.vec_id <> b.vec_id JOIN intervals i ON i.cam_a = a.cam AND i.cam_b = b.cam AND b.ts - a.ts BETWEEN i.lo AND i.hi",
     "track_summary": "WITH d AS (SELECT l_returnflag AS camera_id, l_suppkey AS track_id, epoch(l_shipdate) AS ts, l_quantity AS x, l_extendedprice AS y, 1.0::DOUBLE - l_discount AS c, row_number() OVER w AS up, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS down FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)) SELECT * FROM (SELECT camera_id, track_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_frames, CAST(sum(CAST(c AS DECIMAL(18,9))) AS DOUBLE) / count(c) AS mean_conf, max(x) FILTER (up = 1) AS entry_x, max(y) FILTER (up = 1) AS entry_y, max(x) FILTER (down = 1) AS exit_x, max(y) FILTER (down = 1) AS exit_y FROM d GROUP BY ALL) WHERE n_frames >= 15 AND mean_conf >= 0.4",
     "track_densify": "WITH s AS (SELECT o_custkey AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate)) AS b FROM orders GROUP BY ALL) SELECT DISTINCT person_id, 'cam_' || path_id AS camera_id, path_id, ts, 'track' AS source FROM (SELECT person_id, path_id, unnest(list_append(list_transform(range(0, CAST(ceil((b - a) / 2592000.0) AS BIGINT)), lambda i: a + i * 2592000.0::DOUBLE), b)) AS ts FROM s)",
     "identity_majority": f"WITH {_VOTES}, n AS (SELECT g, p, count(*) AS n FROM votes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, p) AS k, CAST(sum(n) OVER (PARTITION BY g) AS BIGINT) AS t FROM n) SELECT g AS global_person_id, p AS true_id, n / t::DOUBLE AS purity, t AS n_labelled, t AS n_tracks FROM r WHERE k = 1",
@@ -362,8 +429,20 @@ ORACLE_SQL: dict[str, str] = {
     "timeline_repeat_check": _with(_V5) + f"SELECT person_id, visit_idx, path_id FROM (SELECT *, lead(path_id) OVER w AS np, lead(enter_ts) OVER w - exit_ts AS gap FROM visits WINDOW w AS (PARTITION BY person_id ORDER BY visit_idx)) WHERE np = path_id AND gap <= {VISITS.split_gap}",
     "full_outer_diff": _with(_visits_sql(0, "a"), _visits_sql(VISITS.rounds, "b")) + "SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'left' AS side FROM a WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM b) UNION ALL SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'right' FROM b WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM a)",
     "run_visits": _with("m AS (SELECT *, CASE WHEN path_id IS DISTINCT FROM lag(path_id) OVER w OR lag(id) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM obs WINDOW w AS (PARTITION BY person_id ORDER BY ts, id))", "n AS (SELECT *, sum(s) OVER (PARTITION BY person_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS no FROM m)") + "SELECT person_id, CAST(no AS BIGINT) AS visit_no, min(path_id) AS path_id, min(ts) AS start_time, max(ts) AS end_time FROM n GROUP BY person_id, no",
-    "nearest_tracks": "WITH p AS (SELECT v.vec_id AS id, r.vec_id AS ref_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS s FROM embeddings v JOIN embeddings r ON r.vec_id % 100 = 0 AND r.vec_id <> v.vec_id) SELECT id, ref_id, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, ref_id) = 1",
+    "nearest_tracks": "WITH p AS (SELECT v.vec_id AS id, r.vec_id AS ref_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS s FROM embeddings v JOIN embeddings r ON v.vec_id % 100 = 0 AND r.vec_id <> v.vec_id) SELECT id, ref_id, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, ref_id) = 1",
     "risk_levels": "SELECT event_id, CASE WHEN NOT value / 100 < 1 OR value IS NULL THEN 'PENDING' WHEN value / 100 >= 0.8 THEN 'HIGH' WHEN value / 100 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events",
     "label_rate": _with(_LABELS) + "SELECT count(*) AS incidents, CAST(sum(rows) AS BIGINT) AS rows, avg(n) AS mean_inside FROM (SELECT incident_id, sum(in_hidden) AS n, count(*) AS rows FROM labels_ GROUP BY incident_id)",
+    "candidate_report": _with(_CANDIDATES, recursive=True) + f"SELECT person_id, a AS last_path, {_R1('ta')} AS last_ts, b AS next_path, {_R1('tb')} AS next_ts, {_R1('gap_s')} AS gap_s, {_R0('min_crossing_s')} AS min_crossing_s, status FROM cands WHERE incident_id = {ONE}",
+    "half_match": "WITH c AS (SELECT label::BIGINT AS track_id, 2 * row_number() OVER (PARTITION BY label ORDER BY vec_id) <= count(*) OVER w AS early, CAST(embedding AS DOUBLE[]) AS e, count(*) OVER w AS n FROM embeddings WHERE label IS NOT NULL WINDOW w AS (PARTITION BY label)), u AS (SELECT track_id, early, generate_subscripts(e, 1) AS i, unnest(e) / greatest(sqrt(list_dot_product(e, e)), 1e-9) AS x FROM c WHERE n > 1), m AS (SELECT track_id, early, i, avg(x) AS x FROM u GROUP BY ALL), v AS (SELECT track_id, early, list(x ORDER BY i) AS e FROM m GROUP BY ALL), p AS (SELECT b.track_id, a.track_id AS nearest, list_dot_product(a.e, b.e) / (greatest(sqrt(list_dot_product(a.e, a.e)), 1e-9) * greatest(sqrt(list_dot_product(b.e, b.e)), 1e-9)) AS s FROM v a JOIN v b ON a.early AND NOT b.early) SELECT track_id, nearest, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity, track_id = nearest AS is_self FROM p QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, nearest) = 1",
+    "identity_report": f"WITH t AS (SELECT user_id AS u, CASE WHEN vec_id % 4 = 0 THEN label END AS p FROM embeddings JOIN events ON vec_id = event_id), n AS (SELECT u, p, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY ALL), m AS (SELECT u, max(n) / sum(n)::DOUBLE AS purity FROM n GROUP BY u) SELECT count(*) AS identities, count(purity) AS labelled, count(*) - count(purity) AS unlabelled, CAST(sum(CAST(purity AS DECIMAL(18,9))) AS DOUBLE) / count(purity) AS mean_purity, count(*) FILTER (purity < 1) AS impure FROM (SELECT DISTINCT u FROM t) LEFT JOIN m USING (u)",
+    "identity_presence": f"WITH {_VOTES}, n AS (SELECT g, p, count(*) AS n FROM votes GROUP BY ALL), r AS (SELECT g, p FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, p) = 1) SELECT g AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS start_time, max(epoch(o_orderdate)) AS end_time FROM r JOIN orders ON o_custkey = p GROUP BY ALL",
+    "embedding_coverage": _with() + "SELECT count(*) AS tracks, count(vec_id) AS embedded, count(*) - count(vec_id) AS missing FROM obs LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = id",
+    "csv_sightings": _with() + "SELECT person_id, camera AS camera_id, path_id, ts, 'sim' AS source FROM obs LEFT JOIN paths ON paths.id = path_id",
+    "graph_document": _with() + "SELECT from_path, to_path, p.length_m, p.camera IS NOT NULL AS has_camera, q.camera AS to_camera FROM edges JOIN paths p ON p.id = from_path JOIN paths q ON q.id = to_path",
+    "run_meta": f"SELECT * FROM (VALUES ('hidden_path', '{SITE.hidden}'), ('v_min_mps', '{SITE.v_min}'), ('v_max_mps', '{SITE.v_max}'), ('time_slack_s', '{SITE.slack}')) AS m(key, value)",
+    "persons": _with() + "SELECT DISTINCT person_id AS id, printf('Person_%04d', person_id + 1) AS label FROM obs",
+    "incident_rows": _with() + f"SELECT CAST(incident_id AS INTEGER) AS id, '{SITE.hidden}' AS affected_path_id, t AS start_time, 1.0::DOUBLE AS severity, 'open' AS status FROM incidents",
+    "sql_file": _with() + f"SELECT path_id, count(*) AS n, min(ts) AS first_ts FROM obs WHERE ts >= {INCIDENTS[1][1]} GROUP BY path_id",
+    "source_reload": _with() + "SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, min(ts) AS first_ts FROM obs WHERE id % 2 = 0 OR person_id < 50 GROUP BY ALL",
     "person_labels": _with() + "SELECT DISTINCT person_id, printf('Person_%04d', person_id + 1) AS label, person_id + 1 AS number FROM obs",
 }

@@ -11,6 +11,7 @@ TABLES = {
     "paths": "id string, length_m double, has_camera boolean",
     "path_edges": "from_path string, to_path string",
     "cameras": "id string, path_id string",
+    "raw_sightings": "person_id long, path_id string, timestamp double",
     "observations": "id long, person_id long, camera_id string, path_id string, ts double, source string",
     "visits": "person_id long, visit_idx int, path_id string, enter_ts double, exit_ts double, n_obs long",
     "trajectories": "person_id long, path_id string, start_time double, end_time double, source string, confidence double",

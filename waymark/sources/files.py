@@ -69,8 +69,8 @@ def persons_of(observations: DataFrame) -> DataFrame:
     return ids.select("id", person_label(F.col("id")).alias("label"))
 
 
-def sightings_from_simulation(rows: DataFrame, graph: PathGraph) -> DataFrame:
-    """(person_id, path_id, timestamp) as observations with the path's camera; ids follow (ts, person, path)."""
+def raw_sightings(rows: DataFrame, graph: PathGraph) -> DataFrame:
+    """(person_id, path_id, timestamp) as observations with the path's camera; the id is a hash of the three."""
     cameras = graph.camera_table().select(F.col("id").alias("camera_id"), F.col("path_id"))
     named = rows.withColumnRenamed("timestamp", "ts").join(F.broadcast(cameras), "path_id", "left")
     return named.select(F.xxhash64("person_id", "path_id", "ts").alias("id"), "person_id", "camera_id", "path_id", "ts", F.lit("sim").alias("source"))
