@@ -45,7 +45,7 @@ def visit_recall(presence: DataFrame, visits: DataFrame, paths: DataFrame, toler
     found = sought.join(there, ["person_id", "path_id", "_slice"]).where(overlap).select(*key, F.lit(1).alias("hit")).distinct()
     flagged = counted.join(found, key, "left")
     by_path = flagged.groupBy("path_id").agg(F.sum("n").alias("true_stays"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("found"))
-    return by_path.withColumn("pct_found", rounded(F.lit(100.0) * F.col("found") / F.col("true_stays"), 1)).orderBy("path_id")
+    return by_path.withColumn("pct_found", rounded(F.lit(100.0) * F.col("found") / F.col("true_stays"), 1).cast("double")).orderBy("path_id")
 
 
 def identity_counts(timeline: DataFrame, known: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def anchor_sightings(anchored: DataFrame) -> DataFrame:
 
 
 def path_statistics(paths: DataFrame, visits: DataFrame) -> DataFrame:
-    """Visits, mean and exact median stay of each path, to one digit; paths without visits stay, with nulls.
+    """Visits, mean and exact median stay of each path; paths without visits stay, with nulls.
 
     Stays are exact decimals. The median is read off counts by distinct stay, so no path's stays are gathered in one group.
     """
@@ -44,7 +44,13 @@ def path_statistics(paths: DataFrame, visits: DataFrame) -> DataFrame:
     placed = slices.join(middle, ["id", "_slice"]).withColumn("end", F.col("below") + F.sum("n").over(w)).withColumn("begin", F.col("end") - F.col("n"))
     median = placed.groupBy("id").agg(((F.min(F.when((F.col("begin") <= low) & (F.col("end") > low), F.col("stay"))) + F.min(F.when((F.col("begin") <= high) & (F.col("end") > high), F.col("stay")))).cast("double") / 2).alias("median_stay_s"))
     out = paths.select("id", "has_camera").join(counts, "id", "left").join(median, "id", "left")
-    return out.select(F.col("id").alias("path_id"), "has_camera", F.coalesce("visits", F.lit(0)).alias("visits"), rounded(F.col("total").cast("double") / F.col("visits"), 1).alias("avg_stay_s"), rounded(F.col("median_stay_s"), 1).alias("median_stay_s")).orderBy("path_id")
+    return out.select(F.col("id").alias("path_id"), "has_camera", F.coalesce("visits", F.lit(0)).alias("visits"), (F.col("total").cast("double") / F.col("visits")).alias("avg_stay_s"), "median_stay_s").orderBy("path_id")
+
+
+def path_report(paths: DataFrame, visits: DataFrame) -> DataFrame:
+    """The same to read, times to one digit."""
+    found = path_statistics(paths, visits)
+    return found.select("path_id", "has_camera", "visits", rounded(F.col("avg_stay_s"), 1).alias("avg_stay_s"), rounded(F.col("median_stay_s"), 1).alias("median_stay_s")).orderBy("path_id")
 
 
 def route_times_near_hidden(route_times: DataFrame, edges: DataFrame, hidden: str) -> DataFrame:

@@ -130,7 +130,7 @@ def anchors(spark, sf):
 
 def path_stats(spark, sf):
     s = Site(spark, sf)
-    return _plain(reports.path_statistics(s.graph().path_table(), saved(s.visits(), "visits")))
+    return _plain(reports.path_report(s.graph().path_table(), saved(s.visits(), "visits")))
 
 
 def route_times(spark, sf):
