@@ -2,65 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or ``SparkContext.setCheckpointDir``.
-
-    Only on one machine (a local master), where neither names one, a temporary folder is made and kept in the session;
-    elsewhere that is an error, since executors would not see it.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("spark.waymark.scratch", None)
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.waymark.scratch", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session ends."""
-    path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
+from waymark.session import saved
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def drop_stored() -> None:
-    """Delete what ``stored`` wrote in this session; results that still read it must be saved before."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            dropped(spark, path)
-        except Exception:  # the session has ended: its files went with the cluster's folder
-            return
+    return saved(df, name)
 
 
 def in_fold(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -173,7 +126,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a long, b long): rows (node, component), component the smallest node.
 
     Alternates large-star and small-star steps. Both need only each node's smallest neighbour, a partially aggregated
-    minimum, so a hub is never one group; links are first contracted inside each batch. Each round is stored in the
+    minimum; a hub's links meet it in a join, which adaptive execution splits. Links are first contracted inside each batch. Each round is stored in the
     shared folder. Nodes without a link are not returned.
     """
     links = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_contracted, "a long, b long"), "links")
@@ -198,6 +151,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join to a stored ``right`` that has each key once and, in ``weight``, how many rows of ``left`` have it.
+
+    Keys with over a thousandth of the rows, of which there are fewer than a thousand, are broadcast, so that their rows stay
+    where they are; the others are shuffled. The weight is dropped.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    many = F.col(weight) * 1000 > total
+    hot, rest = right.where(many).drop(weight), right.where(~many).drop(weight)
+    apart = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(apart.join(rest, keys))
+
+
 #: Rows of a table of cells that is broadcast: a few MB.
 SMALL_TABLE = 100_000
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.cells import each_block
-from waymark.llm.common import components, stored, union_find
+from waymark.llm.common import components, join_hot, stored, union_find
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def linked(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> D
     named_sets = owners.groupBy("_many", "_x", "_s").agg(F.min("key").alias("same"))
     owners = stored(owners.join(named_sets, ["_many", "_x", "_s"]).select("vec_id", "key", "same"), "owner-sets")
     distinct = distinct.join(owners.select("key", "same").distinct(), "key", "left")
-    distinct = stored(distinct.select("k1", "k2", "key", "least", "single", "same", "embedding"), "named")
+    distinct = stored(distinct.select("k1", "k2", "key", "least", "single", "same", "embedding", (F.col("single") + F.col("_many")).alias("_held")), "named")
 
     sizes = [r["n"] for r in distinct.groupBy(F.size("embedding").alias("n")).count().collect()]
     found = spark.createDataFrame([], FOUND)
@@ -110,14 +110,18 @@ def linked(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> D
     extra = near.groupBy("key").agg(F.count("*").alias("extra"))
     own = distinct.select("key", "single").join(counts, "key", "left").join(extra, "key", "left")
     own = own.select("key", (F.col("single") + F.coalesce("n", F.lit(0)) + F.coalesce("extra", F.lit(0)) - 1).alias("n_links"))
-    one = stored(part.join(own, "key").select("k1", "k2", "n_links", "component_id"), "per-vector")
+    held = distinct.select("k1", "k2", "_held")
+    one = stored(part.join(own, "key").join(held, ["k1", "k2"]).select("k1", "k2", "n_links", "component_id", "_held"), "per-vector")
     # an id with several embeddings: the distinct ids near any of them
     singles = near.join(distinct.select("key", "single"), "key").groupBy("other").agg(F.sum("single").alias("singles"))
     seen = near.join(owners.select("key", "vec_id"), "key").select("other", "vec_id").distinct().groupBy("other").agg(F.count("*").alias("ids"))
     many = singles.join(seen, "other").select(F.col("other").alias("vec_id"), (F.col("singles") + F.col("ids") - 1).alias("many_links"))
-    result = pairs.select("k1", "k2", "vec_id").join(one, ["k1", "k2"]).join(many, "vec_id", "left")
-    per_id = stored(result.groupBy("vec_id").agg(F.max(F.coalesce("many_links", "n_links")).alias("n_links"), F.min("component_id").alias("component_id")), "per-id")
-    return rows.select("vec_id").join(per_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    result = join_hot(pairs.select("k1", "k2", "vec_id"), one, ["k1", "k2"], "_held").join(many, "vec_id", "left")
+    per_id = result.groupBy("vec_id").agg(F.max(F.coalesce("many_links", "n_links")).alias("n_links"), F.min("component_id").alias("component_id"))
+    named, none = rows.where("vec_id is not null").select("vec_id"), F.lit(0).cast("long")
+    every = named.groupBy("vec_id").agg(F.count("*").alias("_n")).join(per_id, "vec_id", "left")
+    every = stored(every.select("vec_id", F.coalesce("n_links", none).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "_n"), "per-id")
+    return join_hot(named, every, ["vec_id"], "_n").unionByName(rows.where("vec_id is null").select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 FOUND = "key long, key2 long, n long, same long"

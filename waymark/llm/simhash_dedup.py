@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.cells import each_block
-from waymark.llm.common import components, stored, union_find
+from waymark.llm.common import components, join_hot, stored, union_find
 
 
 @dataclass(frozen=True)
@@ -175,10 +175,10 @@ def components_of(docs: DataFrame, params: SimHashParams = SimHashParams(), carr
     other than doc_id, text and the carried ones are ignored.
     """
     fps = stored(fingerprints(docs, params, carry), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
     found = components(links(fps, params))
     named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.join(smallest, "component").select("fp", "component_id", "component"), "by-fp")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component", *(carry or []))
+    by_fp = stored(named.join(smallest, "component").select("fp", "component_id", "component", "_n"), "by-fp")
+    return join_hot(fps, by_fp, ["fp"], "_n").select("doc_id", "fp", "component_id", "component", *(carry or []))

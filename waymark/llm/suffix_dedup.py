@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import SMALL_TABLE, ByteHash, shared_path, stored, text_blocks
+from waymark.llm.common import SMALL_TABLE, ByteHash, stored, text_blocks
+from waymark.session import shared_path
 
 _a, _b = ByteHash(31), ByteHash(37)
 
