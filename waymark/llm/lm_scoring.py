@@ -98,7 +98,7 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 def _counter(shards: int, params: LmParams):
     """Count the n-grams of each task and send them, packed, one row to each shard."""
     shift = np.uint64(64 - max(1, shards.bit_length() - 1))
-    spill = 6_000_000
+    spill = 4_000_000
 
     def send(kinds):
         for kind, (hs, cs) in kinds.items():
