@@ -34,7 +34,7 @@ def by_hand(docs, params=LmParams()):
         base = [(counts[0][x,] + 0.1) / below for x in d]
         full, history = base, [len(train), *(counts[0][x,] for x in d[:-1])]
         for order in range(2, params.order + 1):
-            c = [level(counts[order - 1][gram(d, k, order)]) for k in range(len(d))]
+            c = [level(seen if (seen := counts[order - 1][gram(d, k, order)]) >= params.least or order < 3 else 0) for k in range(len(d))]
             full = [(min(x, h) + params.mass * p) / (h + params.mass) for x, h, p in zip(c, history, full, strict=True)]
             history = [len(train), *c[:-1]]
         yield i, len(d), sum(counts[0][x,] > 0 for x in d), n, sum(map(math.log10, base)), sum(map(math.log10, full))
@@ -81,6 +81,7 @@ def test_counts_above_four_bytes():
     built = _shard_builder(16, LmParams())
     h = np.array([7], np.uint64)
     row = built((0,), pd.DataFrame({"shard": [0] * 2, "kind": [1, 1], "hashes": [h.tobytes()] * 2, "counts": [b"\x05"] * 2})).iloc[0]
-    assert np.frombuffer(row["uni_c"], "<i8").tolist() == [10]
-    model = Model([{"shard": 0, "uni_h": h.tobytes(), "uni_c": np.array([many]).tobytes(), "bits": b"", "n_bits": 0}], 16, LmParams())
-    assert model.unigrams(np.array([7, 8], np.uint64)).tolist() == [many, 0]
+    assert (row["uni_c"], row["many"]) == (b"\x0a", b"")
+    known = np.array([7, 9, 11, 13], np.uint64)
+    model = Model([{"shard": 0, "uni_h": known.tobytes(), "uni_c": bytes([255, 254, 255, 1]), "many": np.array([many, 255]).tobytes(), "bits": b"", "n_bits": 0}], 16, LmParams())
+    assert model.unigrams(np.array([7, 8, 9, 11, 13, 14], np.uint64)).tolist() == [many, 0, 254, 255, 1, 0]

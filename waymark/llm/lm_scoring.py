@@ -29,13 +29,15 @@ _hash = ByteHash(11)
 
 @dataclass(frozen=True)
 class LmParams:
-    """order: longest n-gram (2 or more). mass: Dirichlet weight of the shorter history. bits, probes: filter bits an
-    entry and hash functions a level. shard_mb: text that one shard of the counts stands for."""
+    """order: longest n-gram (2 or more). least: n-grams of three words or more that occur fewer times are left to the shorter
+    ones, as is usual. mass: Dirichlet weight of the shorter history. bits, probes: filter bits an entry and hash functions
+    a level. shard_mb: text that one shard of the counts stands for."""
 
     order: int = 3
+    least: int = 2
     mass: float = 100.0
-    bits: int = 12
-    probes: int = 7
+    bits: int = 10
+    probes: int = 5
     shard_mb: int = 16
     max_broadcast_mb: int = 192
 
@@ -149,7 +151,8 @@ def _shard_builder(shards: int, params: LmParams):
             if kind == 1:
                 uni_h, uni_c = h, c
             else:
-                grams.append((h, levels_of(c)))
+                kept = c >= (params.least if kind > 2 else 1)
+                grams.append((h[kept], levels_of(c[kept])))
         entries = sum(int(q.sum()) for _, q in grams)
         size = max(64, -(-entries * params.bits // 8) * 8)
         bits = np.zeros(size, bool)
@@ -158,12 +161,12 @@ def _shard_builder(shards: int, params: LmParams):
                 h, q = h[q >= level], q[q >= level]
                 for probe in range(params.probes):
                     bits[_bit_at(h, level, probe, np.uint64(size))] = True
-        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [uni_c.astype("<i8").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 16 + size // 8], "shard_bits": [bits_of_shard]})
+        return pd.DataFrame({"shard": [shard], "uni_h": [uni_h.tobytes()], "uni_c": [np.minimum(uni_c, 255).astype(np.uint8).tobytes()], "many": [uni_c[uni_c >= 255].astype("<i8").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()], "n_bits": [size], "train_tokens": [int(uni_c.sum())], "vocabulary": [len(uni_h)], "n_bytes": [len(uni_h) * 9 + int((uni_c >= 255).sum()) * 16 + size // 8], "shard_bits": [bits_of_shard]})
 
     return run
 
 
-BUILT = "shard int, uni_h binary, uni_c binary, bits binary, n_bits long, train_tokens long, vocabulary long, n_bytes long, shard_bits int"
+BUILT = "shard int, uni_h binary, uni_c binary, many binary, bits binary, n_bits long, train_tokens long, vocabulary long, n_bytes long, shard_bits int"
 
 
 def build(docs: DataFrame, training: Column, params: LmParams) -> tuple[DataFrame, int, dict]:
@@ -184,7 +187,9 @@ class Model:
         self.shift, self.params = np.uint64(64 - max(1, shards.bit_length() - 1)), params
         rows.sort(key=lambda r: r["shard"])
         self.uni_h = np.concatenate([np.frombuffer(r["uni_h"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], "<i8") for r in rows] or [np.zeros(0, "<i8")])
+        self.uni_c = np.concatenate([np.frombuffer(r["uni_c"], np.uint8) for r in rows] or [np.zeros(0, np.uint8)])
+        self.many_at = np.flatnonzero(self.uni_c == 255)  # counts from 255 on, in 8 bytes each
+        self.many = np.concatenate([np.frombuffer(r["many"], "<i8") for r in rows] or [np.zeros(0, "<i8")])
         sizes = np.zeros(shards, np.int64)
         starts = np.zeros(shards, np.int64)
         at = 0
@@ -198,7 +203,10 @@ class Model:
         if not len(self.uni_h):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.uni_h, h), len(self.uni_h) - 1)
-        return np.where(self.uni_h[at] == h, self.uni_c[at], 0)
+        count = self.uni_c[at].astype(np.int64)
+        large = np.flatnonzero(count == 255)
+        count[large] = self.many[np.searchsorted(self.many_at, at[large])]
+        return np.where(self.uni_h[at] == h, count, 0)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts: the highest level up to which every level's probes are all set."""
