@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.conftest import as_rows
-from waymark.llm.language_id import LangParams, predict, train
+from waymark.llm.language_id import LangParams, features, predict, train
 from waymark.llm.queries import op5_language_id
 
 
@@ -106,6 +106,15 @@ def test_fit_and_prediction_equal_plain_arithmetic(spark, tables, documents):
         assert abs(r["score"] - max(p)) < 1e-9
 
 
+def test_long_texts_in_pieces():
+    """Pieces of a few characters give the counts of the whole, and of the n-grams cut one by one."""
+    p = LangParams()
+    for text in ("", " ", "a", "Ab  c\n\n d ΣΑΣ ends  ", "one two three four five six seven eight " * 40, "x" * 3000, "  " * 50 + "ß"):
+        whole = [x.tolist() for x in features(text, p.orders, p.bits)]
+        assert dict(zip(*whole, strict=True)) == Counter(grams(text, p))
+        assert all([x.tolist() for x in features(text, p.orders, p.bits, size)] == whole for size in (1, 3, 7, 100))
+
+
 def test_one_id_on_most_rows(spark):
     docs = spark.range(3000).selectExpr("if(id < 2000, 7, id) AS doc_id", "if(id % 2 = 0, 'the words of one', 'les mots de deux') || if(id < 1000, '', cast(id AS string)) AS text", "if(id % 2 = 0, 'en', 'fr') AS lang")
     model = train(docs, F.lit(True), LangParams(sample=100))

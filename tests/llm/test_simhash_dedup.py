@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from waymark.llm.queries import op10_simhash_dedup
-from waymark.llm.simhash_dedup import SimHashParams, links, plan
+from waymark.llm.simhash_dedup import SimHashParams, fingerprint, links, plan
 
 
 def print_of(text):
@@ -88,3 +88,10 @@ def test_thresholds_cover_the_limit():
         made = plan(sample, n, SimHashParams())
         assert sum(t + 1 for t in made.thresholds) == 5
         assert sorted(np.concatenate(made.parts).tolist()) == list(range(64))
+
+
+def test_long_texts_in_pieces():
+    """Pieces of a few bytes give the fingerprint of the whole."""
+    for text in (b"", b" \n ", b"one", b"one two three", b"one two three four", b"A b\tC d e  f\x0bg h " * 30, b"x" * 500 + b" y z " + b"w" * 50):
+        whole = fingerprint(text, 4, 42)
+        assert all(fingerprint(text, 4, 42, size) == whole for size in (1, 2, 5, 64))

@@ -7,6 +7,7 @@ fitted on a part of them that training left out. Every row is then scored over i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,24 +39,33 @@ class LangParams:
     rounds: int = 3
 
 
-def features(text: str, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of the whole lower-cased text: distinct features and their counts. No n-gram crosses white space runs
-    other than as one space."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points <= 32, np.uint32(32), points)
-    keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    points = points[keep]
-    codes, h = [], np.zeros(len(points), np.uint32)
-    for n in range(1, max(orders) + 1):
-        if n > len(points):
-            break
-        h = h[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
-        if n in orders:
-            codes.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits))
-    counts = np.bincount(np.concatenate(codes), minlength=1 << bits)
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+_SPACE = re.compile(r"(?<=[^\x00-\x20])[\x00-\x20]")  # the first of a run
+
+
+def features(text: str, orders: tuple[int, ...], bits: int, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of the whole lower-cased text, taken about ``size`` characters at a time: distinct features and their
+    counts. No n-gram crosses white space runs other than as one space."""
+    counts, tail, at = np.zeros(1 << bits, np.int64), np.zeros(0, np.uint32), 0
+    while at < len(text) or not at:
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        piece = (" " if not at else "") + text[at:end].lower() + (" " if end == len(text) else "")
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(points <= 32, np.uint32(32), points)
+        keep = np.ones(len(points), bool)
+        keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+        points = np.concatenate([tail, points[keep]])
+        h = np.zeros(len(points), np.uint32)
+        for n in range(1, max(orders) + 1):
+            if n > len(points):
+                break
+            h = h[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
+            if n in orders:
+                new = h[max(0, len(tail) - n + 1) :]  # those that end in this piece
+                counts += np.bincount((new ^ (new >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits), minlength=1 << bits)
+        tail, at = points[max(0, len(points) - max(orders) + 1) :], max(end, 1)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
 
 
 def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ each block of a cell sends a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,22 +39,39 @@ class SimHashParams:
     probe_cost: float = 300.0
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """Lower-cased words of a text, about ``size`` bytes of it at a time, so that a very long one is no list of all its words."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def fingerprint(text: bytes, words: int, seed: int, size: int = 1 << 20) -> int:
     """A bit is set if it is set in over half the hashes of the shingles, repeats included; without a word, zero."""
-    found = text.lower().split()
-    if not found:
-        return 0
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) < words:
-        return digest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1]
-    ends = ends[words - 1 :]
-    counts, step = np.zeros(64, np.int64), 1 << 14
-    for at in range(0, len(starts), step):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + step].tolist(), ends[at : at + step].tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(starts)).tolist()))
+    digest, counts, n, held = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for more in _words(text, size):
+        held += more
+        if len(held) < words:
+            continue
+        joined = b" ".join(held)
+        ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(held) - words + 1]
+        ends = ends[words - 1 :]
+        for at in range(0, len(starts), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], np.uint64)
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(starts)
+        held = held[len(held) - words + 1 :]
+    if not n:
+        return digest(b" ".join(held), seed) if held else 0
+    return int(sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist()))
 
 
 def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams(), carry: list[str] | None = None) -> DataFrame:
