@@ -9,7 +9,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from waymark.functions import scalar
+from waymark.operators import identity, tracks
 from waymark.plans import schema
+from waymark.plans.config import SiteParams
 from waymark.sources import files, graph
 from waymark.streaming.visits import sessions
 
@@ -96,3 +98,38 @@ def test_stream_of_visits(spark, tmp_path):
     query.awaitTermination(120)
     found = sorted((r["person_id"], r["n_obs"]) for r in spark.table("found").collect())
     assert found == [(1, 1), (1, 2)]  # the last one is still open
+
+
+def test_loading_helpers(spark, tmp_path):
+    seen = spark.createDataFrame([(5, 9.0), (2, 1.0), (5, 3.0), (1, 7.0)], "person_id long, ts double")
+    files.write_sightings(seen, f"{tmp_path}/seen", 2)
+    back = spark.read.parquet(f"{tmp_path}/seen")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, seen.collect()))
+    parts = [[tuple(r) for r in part] for part in back.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in parts)
+    files.overwrite(seen.limit(1), f"{tmp_path}/seen")
+    assert spark.read.parquet(f"{tmp_path}/seen").count() == 1
+    assert files.limited(spark.range(100)).count() == 40
+    assert [tuple(r) for r in files.persons_of(seen).orderBy("id").collect()] == [(1, "Person_0002"), (2, "Person_0003"), (5, "Person_0006")]
+    rows = spark.createDataFrame([(0, 4.5)], "incident_id int, time double")
+    assert [tuple(r) for r in files.rebased_incidents(rows, "H").collect()] == [(1, "H", 4.5, 1.0, "open")]
+    g = graph.graph_of(spark, [("A", 5.0, "c"), ("H", 7.0, None)], [("A", "H")], SiteParams())
+    raw = spark.createDataFrame([(3, "A", 1.5), (3, "H", 2.5)], schema.TABLES["raw_sightings"])
+    assert sorted((r["person_id"], r["camera_id"], r["path_id"], r["ts"], r["source"]) for r in files.raw_sightings(raw, g).fillna("none").collect()) == [(3, "c", "A", 1.5, "sim"), (3, "none", "H", 2.5, "sim")]
+    assert files.raw_sightings(raw, g).select("id").distinct().count() == 2
+    assert {r["key"] for r in g.meta_table().collect()} == {"hidden_path", "v_min_mps", "v_max_mps", "time_slack_s"}
+
+
+def test_tracks_without_an_embedding(spark):
+    line = spark.createDataFrame([("C1", 1), ("C1", 2), ("C2", 1)], "camera_id string, track_id int")
+    have = spark.createDataFrame([("C1", 1), ("C1", 1), ("C3", 9)], "camera_id string, track_id int")
+    assert tuple(tracks.embedding_coverage(line, have, ["camera_id", "track_id"]).first()) == (3, 1, 2)
+    kept, missing = tracks.with_embeddings(line, have.distinct(), ["camera_id", "track_id"])
+    assert (kept.count(), missing.count()) == (1, 2)
+
+
+def test_presence_and_report_of_identities(spark):
+    found = spark.createDataFrame([(1, 7, 1.0, 2, 2), (2, 7, 0.5, 2, 3), (3, None, None, None, 1)], "global_person_id int, true_id int, purity double, n_labelled int, n_tracks int")
+    sheet = spark.createDataFrame([(7, "P1", 0.0, 5.0), (8, "P2", 1.0, 2.0)], "person_no int, path_id string, start_time double, end_time double")
+    assert sorted(map(tuple, identity.presence(found, sheet).collect())) == [(1, "P1", 0.0, 5.0), (2, "P1", 0.0, 5.0)]
+    assert tuple(identity.identity_report(found).first()) == (3, 2, 1, 0.75, 1)

@@ -166,3 +166,12 @@ def test_anchors_and_recall_by_hand(spark):
         hits = [any(v[:2] == s[:2] and v[2] <= s[3] + 5 and v[3] >= s[2] - 5 for v in went) for s in stays if s[1] == r["path_id"]]
         assert (r["true_stays"], r["found"]) == (len(hits), sum(hits))
     assert {r["path_id"] for r in table} == {"P1", "P2"}
+
+
+def test_routes_of_more_than_a_hundred_steps(spark):
+    n = 130
+    line = graph_of(spark, [(f"L{k}", 1.0, None) for k in range(n)], [(f"L{k}", f"L{k + 1}") for k in range(n - 1)], SITE)
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    far = routes.routes(line).where(f"from_path = 'L0' AND to_path = 'L{n - 1}'").collect()
+    assert [r["length_m"] for r in far] == [n - 2.0]
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before

@@ -9,17 +9,17 @@ from waymark.plans.config import SiteParams
 from waymark.sources.graph import PathGraph
 
 
-def routes(graph: PathGraph, most: int = 1_000_000) -> DataFrame:
+def routes(graph: PathGraph) -> DataFrame:
     """Every simple route: from_path, to_path, via_hidden, length_m (of the paths between). Their number grows
-    exponentially with the graph; beyond ``most`` rows the query fails instead of leaving routes out."""
+    exponentially with the graph; beyond the session's ``spark.sql.cteRecursionRowLimit`` (a million) the query fails instead
+    of leaving routes out. No route has more steps than there are paths."""
     spark = graph.paths.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", str(most))
-    query = """
-        WITH RECURSIVE walk(from_path, cur, length_m, via_hidden, seen) AS (
-          SELECT from_path, to_path, 0D, false, array(from_path, to_path) FROM {edges}
+    query = f"""
+        WITH RECURSIVE walk(from_path, cur, length_m, via_hidden, seen) MAX RECURSION LEVEL {graph.paths.count() + 1} AS (
+          SELECT from_path, to_path, 0D, false, array(from_path, to_path) FROM {{edges}}
           UNION ALL
           SELECT w.from_path, e.to_path, w.length_m + p.length_m, w.via_hidden OR w.cur = :hidden, array_append(w.seen, e.to_path)
-          FROM walk w JOIN {edges} e ON e.from_path = w.cur JOIN {paths} p ON p.id = w.cur
+          FROM walk w JOIN {{edges}} e ON e.from_path = w.cur JOIN {{paths}} p ON p.id = w.cur
           WHERE NOT array_contains(w.seen, e.to_path)
         )
         SELECT from_path, cur AS to_path, via_hidden, length_m FROM walk WHERE from_path <> cur"""
