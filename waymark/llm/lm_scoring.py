@@ -36,7 +36,7 @@ class LmParams:
     order: int = 3
     least: int = 2
     mass: float = 100.0
-    bits: int = 10
+    bits: int = 8
     probes: int = 5
     shard_mb: int = 16
     max_broadcast_mb: int = 192
@@ -100,7 +100,7 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 def _counter(shards: int, params: LmParams):
     """Count the n-grams of each task and send them, packed, one row to each shard."""
     shift = np.uint64(64 - max(1, shards.bit_length() - 1))
-    spill = 4_000_000
+    spill = 2_000_000
 
     def send(kinds):
         for kind, (hs, cs) in kinds.items():
