@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import re
 
-from waymark.llm.license_scan import NOTICES, scan
+import numpy as np
+
+from waymark.llm.license_scan import NOTICES, LicenseParams, Scanner, scan
 from waymark.llm.queries import op7_license_scan
+from waymark.llm.words import WordBlock
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,3 +59,44 @@ def test_matches_do_not_cross_documents(spark, tables):
     folder = tables(documents=[(1, "under the mit"), (2, "license"), (3, "cc by"), (4, "nc")])
     rows = scan(spark.read.parquet(f"{folder}/documents.parquet")).collect()
     assert all(not r["base"] for r in rows)
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_labels_equal_all_word_spans():
+    """Every run of whole words against every notice: the same labels, and the least edits of each."""
+    rng, scanner = random.Random(12), Scanner(LicenseParams())
+    letters = "abceilmnrstuy 2"
+
+    def hurt(text, edits):
+        text = list(text)
+        for _ in range(edits):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], [rng.choice(letters)], [text[at], rng.choice(letters)]])
+        return "".join(text)
+
+    texts = [" ".join([rng.choice(["some", "by", "the", "mit", "é"]), hurt(rng.choice(NOTICES)[0], rng.randint(0, 5)), rng.choice(["more", "nc", "2"])]) for _ in range(250)]
+    hits = 0
+    for text in texts:
+        raw = text.encode()
+        block = WordBlock(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        words = WORD.findall(text)
+        best: dict[str, int] = {}
+        for phrase, label, errors, *_ in scanner.notices:
+            least = min(distance(phrase, " ".join(words[i:j])) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+            if least <= errors:
+                best[label] = least
+        found: dict[str, int] = {}
+        for *_, label, edits, _ in scanner.fuzzy(block):
+            found[label] = min(found.get(label, 99), edits)
+        assert found == best, text
+        hits += bool(best)
+    assert 50 < hits < 240

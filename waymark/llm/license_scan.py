@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ class Scanner:
         self.notices = []
         for phrase, label in params.notices:
             errors = min(len(phrase) - 1, -int(-len(phrase) * params.share // 1))
-            fuzzy = regex.compile(rf"(?b)(?<![^ \n])(?:{regex.escape(phrase)}){{e<={errors}}}(?![^ \n])")
+            fuzzy = regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={errors}}}")
             self.notices.append((phrase, label, errors, [(at, piece.encode()) for at, piece in pieces(phrase, errors)], fuzzy))
 
     def exact(self, block: WordBlock) -> list[tuple[int, int, str]]:
@@ -62,21 +63,30 @@ class Scanner:
                     a -= 1
                 while b < high and text[b] & 0xC0 == 0x80:
                     b += 1
-                window = text[a:b].decode()
-                # the window may begin or end inside a word, which is then no place for a match to begin or end
-                lead = a > low and text[a - 1] not in b" \n"
-                tail = b < high and text[b] not in b" \n" and window[-1:] not in (" ", "\n")
-                found = match.search(("x" * lead) + window + ("x" * tail))
+                if not match.search(text[a:b].decode()):
+                    continue
+                found = self._whole_words(block, begin, begin + size, reach, (low, high), len(phrase), errors, match)
                 if found:
-                    start = a + len(window[: max(0, found.start() - lead)].encode())
-                    end = start + len(found.group().encode())
-                    edits = sum(found.fuzzy_counts)
+                    edits, start, end = found
                     first, last = block.word_of(start, row), block.word_of(end, row)
                     key = row, first, label
                     if key not in out or out[key][4] > edits:
                         out[key] = row, first, last, label, edits, 1 - edits / len(phrase)
         return list(out.values())
 
+    @staticmethod
+    def _whole_words(block: WordBlock, begin: int, end: int, reach: int, row: tuple[int, int], length: int, errors: int, match: regex.Pattern) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the run of whole words near a candidate that matches with the fewest edits, if any does."""
+        near = lambda at, place: at[slice(*np.searchsorted(at, [max(row[0], place - reach), min(row[1], place + reach) + 1]))].tolist()
+        best = None
+        for start in near(block.starts, begin):
+            for stop in near(block.ends, end):
+                run = block.text[start:stop].decode() if start < stop else ""
+                if run and abs(len(run) - length) <= errors and (found := match.fullmatch(run)):
+                    this = sum(found.fuzzy_counts), start, stop
+                    best = this if best is None else min(best, this)
+        return best
+
 
 def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, base (array of (word, label)) and spans (array of (first, end, label,
