@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, sentencepiece_codec, simhash_dedup, sql, suffix_dedup, toxicity, url_filter
+from waymark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, merkle, packing, sentencepiece_codec, simhash_dedup, sql, suffix_dedup, toxicity, url_filter, whitening
 from waymark.llm.common import in_fold
 from waymark.session import attach
 
@@ -88,5 +88,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op2_short_items, op3_lm_scoring, op4_sentencepiece, op5_language_id, op6_suffix_dedup, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": sql.url_filter(), "op6_suffix_dedup": sql.suffix_dedup(), "op9_embedding_dedup": sql.embedding_dedup()}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op2_short_items, op3_lm_scoring, op4_sentencepiece, op5_language_id, op6_suffix_dedup, op7_license_scan, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup, op11_packing, op12_merkle_manifest, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": sql.url_filter(), "op6_suffix_dedup": sql.suffix_dedup(), "op9_embedding_dedup": sql.embedding_dedup(), "op12_merkle_manifest": sql.merkle_manifest()}

