@@ -64,13 +64,10 @@ class Encoder:
     """
 
     def __init__(self, file: bytes, params: PackParams):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        text = file.decode()
-        self.tokenizer, self.params, self.fast = Tokenizer.from_str(text), params, None
-        said = json.loads(text)
+        self.file, self.tokenizer, self.params, self.fast = file, None, params, None
+        said = json.loads(file)
         vocabulary, merges, byte = said["model"]["vocab"], said["model"].get("merges", []), _bytes_of()
         made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
         self.special = [t["content"] for t in said["added_tokens"]]
@@ -107,6 +104,11 @@ class Encoder:
         return np.concatenate(found).astype("<u4") if found else np.zeros(0, "<u4")
 
     def _slow(self, part: str) -> np.ndarray:
+        if self.tokenizer is None:  # seldom needed, and some 50 MB
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.file.decode())
         return np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u4")
 
 
