@@ -58,6 +58,13 @@ def test_tables_as_files(spark, tmp_path):
     files.replace_source(obs, f"{tmp_path}/obs")
     files.replace_source(spark.createDataFrame([(3, "track")], "id long, source string"), f"{tmp_path}/obs")
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/obs").collect()} == {(1, "sim"), (3, "track")}
+    files.replace_source(obs.where("false"), f"{tmp_path}/obs", ["track", "never seen", "a/b=c"])
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/obs").collect()} == {(1, "sim")}
+    files.replace_source(spark.createDataFrame([(4, "a/b=c"), (5, "other")], "id long, source string"), f"{tmp_path}/obs", ["a/b=c"])
+    files.replace_source(obs.where("false"), f"{tmp_path}/obs", ["sim"])
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/obs").collect()} == {(4, "a/b=c")}
+    files.replace_source(obs.where("false"), f"{tmp_path}/obs", ["a/b=c"])
+    assert spark.read.schema("id long, source string").parquet(f"{tmp_path}/obs").count() == 0
     files.append(obs, f"{tmp_path}/flat")
     files.append(obs, f"{tmp_path}/flat")
     assert spark.read.parquet(f"{tmp_path}/flat").count() == 4
@@ -112,12 +119,27 @@ def test_loading_helpers(spark, tmp_path):
     assert files.limited(spark.range(100)).count() == 40
     assert [tuple(r) for r in files.persons_of(seen).orderBy("id").collect()] == [(1, "Person_0002"), (2, "Person_0003"), (5, "Person_0006")]
     rows = spark.createDataFrame([(0, 4.5)], "incident_id int, time double")
-    assert [tuple(r) for r in files.rebased_incidents(rows, "H").collect()] == [(1, "H", 4.5, 1.0, "open")]
+    assert [tuple(r) for r in files.rebased_incidents(rows, "H").collect()] == [(1, "H", 4.5, 1.0, "simulated")]
     g = graph.graph_of(spark, [("A", 5.0, "c"), ("H", 7.0, None)], [("A", "H")], SiteParams())
     raw = spark.createDataFrame([(3, "A", 1.5), (3, "H", 2.5)], schema.TABLES["raw_sightings"])
     assert sorted((r["person_id"], r["camera_id"], r["path_id"], r["ts"], r["source"]) for r in files.raw_sightings(raw, g).fillna("none").collect()) == [(3, "c", "A", 1.5, "sim"), (3, "none", "H", 2.5, "sim")]
     assert files.raw_sightings(raw, g).select("id").distinct().count() == 2
     assert {r["key"] for r in g.meta_table().collect()} == {"hidden_path", "v_min_mps", "v_max_mps", "time_slack_s"}
+    known = {r["key"]: r["value"] for r in g.meta_table("sim", 0.95, 2.0, "easy").collect()}
+    assert len(known) == 8 and (known["source"], known["p_detect"], known["obs_period_s"], known["preset"]) == ("sim", "0.95", "2.0", "easy")
+    graph.write_graph(g, f"{tmp_path}/doc")
+    again = graph.read_graph(spark, f"{tmp_path}/doc")
+    assert again.site.hidden == g.site.hidden and sorted(map(tuple, again.paths.collect())) == sorted(map(tuple, g.paths.collect())) and [tuple(r) for r in again.edges.collect()] == [("A", "H")]
+
+
+def test_several_files_and_a_glob(spark, tmp_path):
+    """Files of several cameras as one table, by a glob and by a list."""
+    rows = spark.createDataFrame([("C1", 1, "Person_1"), ("C2", 2, "Person_2"), ("C3", 3, None)], schema.TABLES["identity_labels"])
+    for k, camera in enumerate(("C1", "C2", "C3")):
+        files.write_csv(rows.where(F.col("camera_id") == camera), f"{tmp_path}/tracks_{camera}")
+    whole = sorted(map(tuple, rows.collect()), key=repr)
+    assert sorted(map(tuple, files.read_csv(spark, f"{tmp_path}/tracks_*", "identity_labels").collect()), key=repr) == whole
+    assert len(files.read_csv(spark, [f"{tmp_path}/tracks_C1", f"{tmp_path}/tracks_C3"], "identity_labels").collect()) == 2
 
 
 def test_tracks_without_an_embedding(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.evaluation import truth
 from waymark.operators import candidates as cand
-from waymark.operators import reports, routes, tracks, visits
+from waymark.operators import network, reports, routes, tracks, visits
 from waymark.plans.config import SiteParams, VisitParams
 from waymark.sources.graph import graph_of
 
@@ -89,6 +90,79 @@ def test_cycles_end(spark):
     assert found == {("A", "B", False): 1, ("B", "C", False): 1, ("C", "A", False): 1, ("B", "A", False): 1, ("A", "C", False): 1, ("B", "A", True): 1, ("C", "B", False): 1}
 
 
+def listed(lengths, edges, hidden):
+    """Every simple route one by one: {(from, to, via hidden): [lengths]}."""
+    onward = {}
+    for a, b in edges:
+        onward.setdefault(a, []).append(b)
+    out, open_ = {}, [((a, b), 0.0, False) for a, b in edges if a != b]
+    while open_:
+        way, length, via = open_.pop()
+        out.setdefault((way[0], way[-1], via), []).append(length)
+        open_ += [((*way, x), length + lengths[way[-1]], via or way[-1] == hidden) for x in onward.get(way[-1], []) if x not in way]
+    return out
+
+
+@pytest.mark.parametrize("together", [1, 2, 12])
+def test_routes_are_those_of_a_listing(spark, together):
+    """Random networks, with repeated edges, loops and dead ends, in one go and level by level."""
+    rng = random.Random(together)
+    ids = [f"P{k}" for k in range(6)]
+    for _ in range(2):
+        lengths = {i: float(rng.randint(1, 40)) for i in ids}
+        edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(16)]
+        edges += edges[:2]
+        g = graph_of(spark, [(i, m, None) for i, m in lengths.items()], edges, SiteParams("P3"))
+        wanted = listed(lengths, [e for e in edges if e[0] != e[1]], "P3")
+        found: dict = {}
+        for r in routes.routes(g, together).collect():
+            found.setdefault((r["from_path"], r["to_path"], r["via_hidden"]), []).extend([r["length_m"]] * r["n_routes"])
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
+
+
+def test_a_dense_network_of_twelve(spark):
+    """1,302,061,332 simple routes, told without listing them: all of 1 to 11 steps between any two of twelve paths."""
+    ids = [f"P{k:02d}" for k in range(12)]
+    g = graph_of(spark, [(i, 1.0, None) for i in ids], [(a, b) for a in ids for b in ids if a != b], SiteParams("P05"))
+    found = routes.build_route_times(g).groupBy("from_path", "to_path").agg(F.sum("n_routes").alias("n")).collect()
+    each = sum(math.perm(10, k) for k in range(11))
+    assert len(found) == 132 and {r["n"] for r in found} == {each}
+
+
+def test_network_from_sightings(spark):
+    """Edges by their part of the departures, lengths by the exact median; slices of one second change nothing."""
+    rows = [(p, x, float(t)) for p in range(8) for x, t in (("A", 10 * p), ("A", 10 * p + 1), ("H" if p % 2 else "B", 10 * p + 3 + p), ("C" if p == 0 else "B", 500))]
+    for slice_s in (1.0, 86400.0):
+        g = network.mined_graph(seen(spark, rows), SiteParams("H"), 0.25, 2.0, slice_s=slice_s)
+        assert {tuple(r) for r in g.edges.collect()} == {("A", "H"), ("A", "B"), ("H", "B"), ("B", "C")}
+        found = {r["id"]: (r["length_m"], r["camera"]) for r in g.paths.collect()}
+        assert found["A"] == (2 * 5.0, "cam_A") and found["C"] == (0.0, "cam_C") and found["H"][1] is None
+        assert found["H"][0] == 2 * sorted(500 - (11 * p + 3) for p in (1, 3, 5, 7))[1]
+    v = spark.createDataFrame([("k", float(x)) for x in [5, 1, 1, 9, 7, 7]] + [("one", 4.0), ("none", None)], "k string, v double")
+    for q, want in ((0.5, 5.0), (0.0, 1.0), (1.0, 9.0), (0.51, 7.0)):
+        assert {r["k"]: r["quantile"] for r in network.exact_quantile(v, "k", "v", q, 3.0).collect()} == {"k": want, "one": 4.0}
+
+
+def test_runs_of_one_person_in_many_slices(spark):
+    """Each slice is a group of its own; runs go on over their seams. Against one pass in order."""
+    rng = random.Random(11)
+    rows = [(p, rng.choice(["P1", "P2", None]), None if rng.random() < 0.05 else float(rng.randint(0, 400))) for p in (1, 1, 1, 1, 2, None) for _ in range(80)]
+    wanted: dict = {}
+    for p in (1, 2, None):
+        mine = sorted((t if t is not None else -1.0, i, path) for i, (q, path, t) in enumerate(rows) if q == p)
+        runs = []
+        for t, _, path in mine:
+            if not runs or runs[-1][0] != path:
+                runs.append([path, []])
+            runs[-1][1].append(t)
+        for k, (path, times) in enumerate(runs, 1):
+            known = [t for t in times if t >= 0]
+            wanted[p, k] = path, min(known, default=None), max(known, default=None)
+    for slice_s in (3.0, 50.0, 86400.0):
+        found = {(r["person_id"], r["visit_no"]): (r["path_id"], r["start_time"], r["end_time"]) for r in network.run_visits(seen(spark, rows), slice_s).collect()}
+        assert found == wanted
+
+
 def test_candidates(spark, graph):
     t = 1000.0
     rows = [
@@ -168,10 +242,8 @@ def test_anchors_and_recall_by_hand(spark):
     assert {r["path_id"] for r in table} == {"P1", "P2"}
 
 
-def test_routes_of_more_than_a_hundred_steps(spark):
-    n = 130
+def test_routes_of_many_levels(spark):
+    n = 26
     line = graph_of(spark, [(f"L{k}", 1.0, None) for k in range(n)], [(f"L{k}", f"L{k + 1}") for k in range(n - 1)], SITE)
-    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     far = routes.routes(line).where(f"from_path = 'L0' AND to_path = 'L{n - 1}'").collect()
     assert [r["length_m"] for r in far] == [n - 2.0]
-    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before

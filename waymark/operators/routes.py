@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.plans.config import SiteParams
+from waymark.session import saved
 from waymark.sources.graph import PathGraph
 
 
-def routes(graph: PathGraph) -> DataFrame:
-    """Every simple route: from_path, to_path, via_hidden, length_m (of the paths between). Their number grows
-    exponentially with the graph; beyond the session's ``spark.sql.cteRecursionRowLimit`` (a million) the query fails instead
-    of leaving routes out. No route has more steps than there are paths."""
-    spark = graph.paths.sparkSession
-    query = f"""
-        WITH RECURSIVE walk(from_path, cur, length_m, via_hidden, seen) MAX RECURSION LEVEL {graph.paths.count() + 1} AS (
-          SELECT from_path, to_path, 0D, false, array(from_path, to_path) FROM {{edges}}
-          UNION ALL
-          SELECT w.from_path, e.to_path, w.length_m + p.length_m, w.via_hidden OR w.cur = :hidden, array_append(w.seen, e.to_path)
-          FROM walk w JOIN {{edges}} e ON e.from_path = w.cur JOIN {{paths}} p ON p.id = w.cur
-          WHERE NOT array_contains(w.seen, e.to_path)
-        )
-        SELECT from_path, cur AS to_path, via_hidden, length_m FROM walk WHERE from_path <> cur"""
-    return spark.sql(query, args={"hidden": graph.site.hidden}, edges=graph.edges, paths=graph.paths.select("id", "length_m"))
+def routes(graph: PathGraph, together: int = 6) -> DataFrame:
+    """from_path, to_path, via_hidden, length_m, n_routes: simple routes by the set of paths between, whatever their order.
+
+    Length and hidden path depend on that set alone, so all orders of it are one row with their number. Sets grow by one path
+    a level; a level is an aggregate of the one before. Every ``together`` levels are stored, until no route goes on.
+    """
+    steps = graph.edges.where("from_path <> to_path").groupBy("from_path", "to_path").agg(F.count("*").alias("_n"))
+    onward = steps.join(graph.paths.select(F.col("id").alias("from_path"), F.col("length_m").alias("_m")), "from_path").select(F.col("from_path").alias("to_path"), F.col("to_path").alias("_next"), "_n", "_m")
+    level = steps.select("from_path", "to_path", F.array().cast("array<string>").alias("between"), F.lit(0.0).alias("length_m"), F.col("_n").alias("n_routes"))
+    found, size, most = None, 0, graph.paths.count()  # size: paths between
+    while True:
+        levels = [level]
+        while size < most and len(levels) <= together:
+            free = ~F.array_contains("between", F.col("_next")) & (F.col("_next") != F.col("from_path"))
+            longer = levels[-1].join(F.broadcast(onward), "to_path").where(free)  # the edges of the network
+            longer = longer.select("from_path", F.col("_next").alias("to_path"), F.array_sort(F.array_append("between", F.col("to_path"))).alias("between"), (F.col("length_m") + F.col("_m")).alias("length_m"), (F.col("n_routes") * F.col("_n")).alias("n_routes"))
+            levels.append(longer.groupBy("from_path", "to_path", "between").agg(F.min("length_m").alias("length_m"), F.sum("n_routes").alias("n_routes")))
+            size += 1
+        done = saved(functools.reduce(DataFrame.unionByName, levels), "routes")
+        level = done.where(F.size("between") == size)
+        ended = size >= most or not level.take(1)
+        part = done if ended else done.where(F.size("between") < size)  # the last level comes again as the first of the next ones
+        found = part if found is None else found.unionByName(part)
+        if ended:
+            break
+    return found.select("from_path", "to_path", F.array_contains("between", graph.site.hidden).alias("via_hidden"), "length_m", "n_routes")
 
 
 def build_route_times(graph: PathGraph) -> DataFrame:
     """from_path, to_path, via_hidden, n_routes, min_seconds, max_seconds."""
     site = graph.site
-    return routes(graph).groupBy("from_path", "to_path", "via_hidden").agg(F.count("*").alias("n_routes"), (F.min("length_m") / site.v_max).alias("min_seconds"), (F.max("length_m") / site.v_min).alias("max_seconds"))
+    return routes(graph).groupBy("from_path", "to_path", "via_hidden").agg(F.sum("n_routes").alias("n_routes"), (F.min("length_m") / site.v_max).alias("min_seconds"), (F.max("length_m") / site.v_min).alias("max_seconds"))
 
 
 def topology_intervals(graph: PathGraph, same_camera: bool = True) -> DataFrame:

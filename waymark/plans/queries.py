@@ -6,7 +6,6 @@ the truth that only evaluation reads. ``lineitem`` plays detections, ``embedding
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,12 +15,12 @@ from pyspark.sql import functions as F
 from waymark.evaluation import truth
 from waymark.functions import scalar
 from waymark.operators import candidates as cand
-from waymark.operators import identity, reports, routes, tracks
+from waymark.operators import identity, network, reports, routes, tracks
 from waymark.operators import visits as vis
 from waymark.plans.config import SiteParams, VisitParams
 from waymark.session import attach, saved, shared_path
 from waymark.sources import files
-from waymark.sources.graph import PathGraph, graph_of, read_graph
+from waymark.sources.graph import PathGraph, graph_of, read_graph, write_graph
 
 #: The network on the driver's tables, incidents (seconds since 1970, UTC) and windows.
 PATHS = [("view", 21600.0, "cam_view"), ("click", 43200.0, "cam_click"), ("signup", 43200.0, "cam_signup"), ("error", 129600.0, None), ("purchase", 64800.0, "cam_purchase")]
@@ -31,6 +30,8 @@ INCIDENTS = [(1, 1704110400.0), (2, 1705276800.0), (3, 1706616000.0)]
 WINDOW = 43200.0
 VISITS = VisitParams(86400.0, 43200.0, 3, 5)
 PERSON, ONE = 7, 2
+#: An edge of the mined network has this part of a path's departures.
+SUPPORT = 0.25
 
 
 class Site:
@@ -45,6 +46,12 @@ class Site:
     def graph(self) -> PathGraph:
         return graph_of(self.spark, PATHS, EDGES, SITE)
 
+    def survey(self) -> PathGraph:
+        """The network that all events show, those on the hidden path too."""
+        rows = self.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("person_id"), F.col("event_type").alias("path_id"), scalar.ntz_seconds("ts").alias("ts"))
+        found = network.mined_graph(rows, SITE, SUPPORT, slice_s=7 * 86400.0)
+        return PathGraph(saved(found.paths, "paths"), saved(found.edges, "edges"), found.site)
+
     def events(self, hidden: bool) -> DataFrame:
         side = F.col("event_type") == SITE.hidden if hidden else F.col("event_type") != SITE.hidden
         return self.table("events").where(side).select(F.col("event_id").alias("id"), F.col("user_id").alias("person_id"), F.col("event_type").alias("path_id"), scalar.ntz_seconds("ts").alias("ts"))
@@ -134,11 +141,11 @@ def path_stats(spark, sf):
 
 
 def route_times(spark, sf):
-    return routes.build_route_times(Site(spark, sf).graph())
+    return routes.build_route_times(Site(spark, sf).survey())
 
 
 def route_times_near_hidden(spark, sf):
-    g = Site(spark, sf).graph()
+    g = Site(spark, sf).survey()
     return _plain(reports.route_times_near_hidden(routes.build_route_times(g), g.edges, SITE.hidden))
 
 
@@ -170,11 +177,11 @@ def presence_labels(spark, sf):
 
 
 def topology_intervals(spark, sf):
-    return routes.topology_intervals(Site(spark, sf).graph())
+    return routes.topology_intervals(Site(spark, sf).survey())
 
 
 def topology_horizon(spark, sf):
-    return routes.horizon(routes.topology_intervals(Site(spark, sf).graph()))
+    return routes.horizon(routes.topology_intervals(Site(spark, sf).survey()))
 
 
 def track_pair_gate(spark, sf):
@@ -228,7 +235,7 @@ def full_outer_diff(spark, sf):
 
 
 def run_visits(spark, sf):
-    return identity.run_visits(Site(spark, sf).observations())
+    return network.run_visits(Site(spark, sf).observations())
 
 
 def person_labels(spark, sf):
@@ -301,16 +308,20 @@ def csv_sightings(spark, sf):
 
 
 def graph_document(spark, sf):
-    """The network as a JSON document, read back: edges with what lies at their ends."""
-    path = shared_path(attach(spark), "graph")
-    doc = {"hidden_path": SITE.hidden, "paths": {i: {"length_m": m, "camera": c} for i, m, c in PATHS}, "edges": EDGES, "entries": [PATHS[0][0]], "walking_speed_bounds_mps": [SITE.v_min, SITE.v_max], "time_slack_s": SITE.slack}
-    spark.createDataFrame([(json.dumps(doc),)], "value string").write.text(path)
+    """The mined network as a JSON document, read back: edges with what lies at their ends."""
+    s, path = Site(spark, sf), shared_path(attach(spark), "graph")
+    write_graph(s.survey(), path)
     g = read_graph(spark, path)
     return g.edges.join(g.path_table().withColumnRenamed("id", "from_path"), "from_path").join(g.camera_table().select(F.col("path_id").alias("to_path"), F.col("id").alias("to_camera")), "to_path", "left").select("from_path", "to_path", "length_m", "has_camera", "to_camera")
 
 
 def run_meta(spark, sf):
-    return Site(spark, sf).graph().meta_table()
+    """Settings with what the table shows: the part of events that a camera sees, and the median seconds until the next."""
+    s = Site(spark, sf)
+    seen = s.table("events").agg(F.count_if(F.col("event_type") != SITE.hidden).alias("seen"), F.count("event_type").alias("all")).first()
+    left = network.departures(s.observations(), 7 * 86400.0).select(F.lit(1).alias("one"), "seconds")
+    period = network.exact_quantile(left, "one", "seconds", 0.5, 3600.0).first()
+    return s.graph().meta_table("sim", round(seen["seen"] / seen["all"], 6) if seen["all"] else None, float(int(period["quantile"])) if period else None, "events")
 
 
 def persons(spark, sf):
@@ -318,7 +329,8 @@ def persons(spark, sf):
 
 
 def incident_rows(spark, sf):
-    rows = Site(spark, sf).incidents().select((F.col("incident_id") - 1).alias("incident_id"), F.col("t").alias("time"))
+    """Every event on the hidden path as an incident."""
+    rows = Site(spark, sf).events(True).select(F.col("id").alias("incident_id"), F.col("ts").alias("time"))
     return files.rebased_incidents(rows, SITE.hidden)
 
 
@@ -329,11 +341,11 @@ def sql_file(spark, sf):
 
 
 def source_reload(spark, sf):
-    """Two sources stored; one of them replaced by fewer rows; the other stays."""
+    """Three sources stored; one is replaced by fewer rows, one by none, one stays."""
     s, path = Site(spark, sf), shared_path(spark, "sources")
-    rows = s.observations().withColumn("source", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    rows = s.observations().withColumn("source", F.when(F.col("id") % 3 == 0, "none").when(F.col("id") % 2 == 0, "even").otherwise("odd"))
     files.replace_source(rows, path)
-    files.replace_source(rows.where((F.col("source") == "odd") & (F.col("person_id") < 50)), path)
+    files.replace_source(rows.where((F.col("source") == "odd") & (F.col("person_id") < 50)), path, ["odd", "none"])
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
@@ -394,6 +406,18 @@ _R0 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(18,6)), 0) AS DOUBLE)"  # noqa:
 _VOTES = "votes AS (SELECT label::BIGINT AS g, user_id % 10 AS p, vec_id FROM embeddings JOIN events ON vec_id = event_id)"
 
 
+_LEFT = "SELECT path_id AS from_path, to_path, seconds FROM (SELECT *, lead(path_id) OVER w AS to_path, lead(ts) OVER w - ts AS seconds FROM {rows} WINDOW w AS (PARTITION BY person_id ORDER BY ts, id)) WHERE to_path <> path_id"
+_MEDIAN = "SELECT from_path AS id, seconds FROM (SELECT *, row_number() OVER (PARTITION BY from_path ORDER BY seconds) AS r, count(*) OVER (PARTITION BY from_path) AS n FROM {rows}) WHERE r = greatest(1, ceil(n * 0.5))"
+_SURVEY = f"""ev AS (SELECT event_id AS id, user_id AS person_id, event_type AS path_id, epoch(ts) AS ts FROM events),
+dep AS ({_LEFT.format(rows='ev')}),
+edges AS (SELECT from_path, to_path FROM (SELECT *, sum(n) OVER (PARTITION BY from_path) AS total FROM (SELECT from_path, to_path, count(*) AS n FROM dep GROUP BY ALL)) WHERE n >= total * {SUPPORT}),
+paths AS (SELECT id, coalesce(floor(seconds), 0)::DOUBLE AS length_m, CASE WHEN id <> '{SITE.hidden}' THEN 'cam_' || id END AS camera FROM (SELECT DISTINCT path_id AS id FROM ev WHERE path_id IS NOT NULL) LEFT JOIN ({_MEDIAN.format(rows='dep')}) USING (id))"""
+
+
+def _surveyed(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join((_SURVEY, *parts)) + "\n"
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join((_BASE, *parts)) + "\n"
 
@@ -409,15 +433,15 @@ ORACLE_SQL: dict[str, str] = {
     "near_hidden": _with(_V5) + f"SELECT person_id, path_id, {_R1('enter_ts')} AS first_seen, {_R1('exit_ts')} AS last_seen, n_obs FROM visits WHERE path_id IN (SELECT from_path FROM edges WHERE to_path = '{SITE.hidden}' UNION SELECT to_path FROM edges WHERE from_path = '{SITE.hidden}') AND exit_ts >= {INCIDENTS[1][1] - WINDOW} AND enter_ts <= {INCIDENTS[1][1] + WINDOW}",
     "anchors": _with(_ANCHORS) + f"SELECT person_id, a AS last_path, {_R1('ta')} AS last_ts, b AS next_path, {_R1('tb')} AS next_ts, {_R1('tb - ta')} AS gap_s FROM anch WHERE incident_id = {ONE}",
     "path_stats": _with(_V5) + "SELECT p.id AS path_id, p.camera IS NOT NULL AS has_camera, count(v.person_id) AS visits, CAST(round(CAST(CAST(sum(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(v.person_id), 0) AS DECIMAL(18,6)), 1) AS DOUBLE) AS avg_stay_s, CAST(round(CAST(CAST(list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[(count(v.person_id) + 1) // 2] + list_sort(list(CAST(v.exit_ts - v.enter_ts AS DECIMAL(18,6))) FILTER (v.person_id IS NOT NULL))[count(v.person_id) // 2 + 1] AS DOUBLE) / 2 AS DECIMAL(18,6)), 1) AS DOUBLE) AS median_stay_s FROM paths p LEFT JOIN visits v ON v.path_id = p.id GROUP BY p.id, p.camera",
-    "route_times": _with(_ROUTES, recursive=True) + "SELECT * FROM route_times",
-    "route_times_near_hidden": _with(_ROUTES, recursive=True) + f"SELECT from_path, to_path, via_hidden, n_routes, {_R0('min_seconds')} AS min_s, {_R0('max_seconds')} AS max_s FROM route_times WHERE from_path IN (SELECT from_path FROM edges WHERE to_path = '{SITE.hidden}')",
+    "route_times": _surveyed(_ROUTES) + "SELECT * FROM route_times",
+    "route_times_near_hidden": _surveyed(_ROUTES) + f"SELECT from_path, to_path, via_hidden, n_routes, {_R0('min_seconds')} AS min_s, {_R0('max_seconds')} AS max_s FROM route_times WHERE from_path IN (SELECT from_path FROM edges WHERE to_path = '{SITE.hidden}')",
     "candidates": _with(_CANDIDATES, recursive=True) + "SELECT * FROM cands",
     "candidate_summary": _with(_CANDIDATES, recursive=True) + "SELECT incident_id, status, count(*) AS people FROM cands GROUP BY ALL",
     "feasibility_eval": _with(_CANDIDATES, _LABELS, recursive=True) + "SELECT status, CAST(sum(in_hidden) AS BIGINT) AS truly_inside, CAST(count(*) - sum(in_hidden) AS BIGINT) AS not_inside, count(*) AS total FROM cands JOIN labels_ USING (incident_id, person_id) GROUP BY status",
     "visit_recall": _with(_V5, "stays AS (SELECT person_id, path_id, ts AS start_time, ts + 60.0 AS end_time FROM obs)") + "SELECT path_id, count(*) AS true_stays, CAST(sum(hit) AS BIGINT) AS found, CAST(round(CAST(100.0::DOUBLE * sum(hit) / count(*) AS DECIMAL(18,6)), 1) AS DOUBLE) AS pct_found FROM (SELECT g.path_id, CAST(EXISTS (SELECT 1 FROM visits v WHERE v.person_id = g.person_id AND v.path_id = g.path_id AND v.enter_ts <= g.end_time + 5 AND v.exit_ts >= g.start_time - 5) AS INTEGER) AS hit FROM stays g JOIN paths p ON p.id = g.path_id AND p.camera IS NOT NULL) GROUP BY path_id",
     "presence_labels": _with(_LABELS) + "SELECT * FROM labels_",
-    "topology_intervals": _with(_INTERVALS, recursive=True) + "SELECT * FROM intervals",
-    "topology_horizon": _with(_INTERVALS, recursive=True) + "SELECT max(hi) AS max_gap FROM intervals",
+    "topology_intervals": _surveyed(_INTERVALS) + "SELECT * FROM intervals",
+    "topology_horizon": _surveyed(_INTERVALS) + "SELECT max(hi) AS max_gap FROM intervals",
     "track_pair_gate": _with(_INTERVALS, "tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts, embedding FROM embeddings JOIN obs ON vec_id = id)", recursive=True) + "SELECT DISTINCT a.vec_id AS track_a, b.vec_id AS track_b, b.ts - a.ts AS gap, CAST(CAST(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(18,6)) AS DOUBLE) AS distance FROM tr a JOIN tr b ON a.vec_id <> b.vec_id JOIN intervals i ON i.cam_a = a.cam AND i.cam_b = b.cam AND b.ts - a.ts BETWEEN i.lo AND i.hi",
     "track_summary": "WITH d AS (SELECT l_returnflag AS camera_id, l_suppkey AS track_id, epoch(l_shipdate) AS ts, l_quantity AS x, l_extendedprice AS y, 1.0::DOUBLE - l_discount AS c, row_number() OVER w AS up, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS down FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)) SELECT * FROM (SELECT camera_id, track_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_frames, CAST(sum(CAST(c AS DECIMAL(18,9))) AS DOUBLE) / count(c) AS mean_conf, max(x) FILTER (up = 1) AS entry_x, max(y) FILTER (up = 1) AS entry_y, max(x) FILTER (down = 1) AS exit_x, max(y) FILTER (down = 1) AS exit_y FROM d GROUP BY ALL) WHERE n_frames >= 15 AND mean_conf >= 0.4",
     "track_densify": "WITH s AS (SELECT o_custkey AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate)) AS b FROM orders GROUP BY ALL) SELECT DISTINCT person_id, 'cam_' || path_id AS camera_id, path_id, ts, 'track' AS source FROM (SELECT person_id, path_id, unnest(list_append(list_transform(range(0, CAST(ceil((b - a) / 2592000.0) AS BIGINT)), lambda i: a + i * 2592000.0::DOUBLE), b)) AS ts FROM s)",
@@ -438,11 +462,11 @@ ORACLE_SQL: dict[str, str] = {
     "identity_presence": f"WITH {_VOTES}, n AS (SELECT g, p, count(*) AS n FROM votes GROUP BY ALL), r AS (SELECT g, p FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, p) = 1) SELECT g AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS start_time, max(epoch(o_orderdate)) AS end_time FROM r JOIN orders ON o_custkey = p GROUP BY ALL",
     "embedding_coverage": _with() + "SELECT count(*) AS tracks, count(vec_id) AS embedded, count(*) - count(vec_id) AS missing FROM obs LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = id",
     "csv_sightings": _with() + "SELECT person_id, camera AS camera_id, path_id, ts, 'sim' AS source FROM obs LEFT JOIN paths ON paths.id = path_id",
-    "graph_document": _with() + "SELECT from_path, to_path, p.length_m, p.camera IS NOT NULL AS has_camera, q.camera AS to_camera FROM edges JOIN paths p ON p.id = from_path JOIN paths q ON q.id = to_path",
-    "run_meta": f"SELECT * FROM (VALUES ('hidden_path', '{SITE.hidden}'), ('v_min_mps', '{SITE.v_min}'), ('v_max_mps', '{SITE.v_max}'), ('time_slack_s', '{SITE.slack}')) AS m(key, value)",
+    "graph_document": _surveyed() + "SELECT from_path, to_path, p.length_m, p.camera IS NOT NULL AS has_camera, q.camera AS to_camera FROM edges JOIN paths p ON p.id = from_path JOIN paths q ON q.id = to_path",
+    "run_meta": _with(f"dep AS ({_LEFT.format(rows='obs')})") + f"SELECT * FROM (VALUES ('hidden_path', '{SITE.hidden}'), ('v_min_mps', '{SITE.v_min}'), ('v_max_mps', '{SITE.v_max}'), ('time_slack_s', '{SITE.slack}'), ('source', 'sim'), ('preset', 'events')) AS m(key, value) UNION ALL SELECT 'p_detect', CAST(round(count(*) FILTER (event_type <> '{SITE.hidden}') / count(event_type)::DOUBLE, 6) AS VARCHAR) FROM events UNION ALL SELECT 'obs_period_s', CAST(floor(seconds)::DOUBLE AS VARCHAR) FROM ({_MEDIAN.format(rows='(SELECT 1 AS from_path, seconds FROM dep)')})",
     "persons": _with() + "SELECT DISTINCT person_id AS id, printf('Person_%04d', person_id + 1) AS label FROM obs",
-    "incident_rows": _with() + f"SELECT CAST(incident_id AS INTEGER) AS id, '{SITE.hidden}' AS affected_path_id, t AS start_time, 1.0::DOUBLE AS severity, 'open' AS status FROM incidents",
+    "incident_rows": f"SELECT CAST(event_id + 1 AS INTEGER) AS id, '{SITE.hidden}' AS affected_path_id, epoch(ts) AS start_time, 1.0::DOUBLE AS severity, 'simulated' AS status FROM events WHERE event_type = '{SITE.hidden}'",
     "sql_file": _with() + f"SELECT path_id, count(*) AS n, min(ts) AS first_ts FROM obs WHERE ts >= {INCIDENTS[1][1]} GROUP BY path_id",
-    "source_reload": _with() + "SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, min(ts) AS first_ts FROM obs WHERE id % 2 = 0 OR person_id < 50 GROUP BY ALL",
+    "source_reload": _with() + "SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, min(ts) AS first_ts FROM obs WHERE id % 3 <> 0 AND (id % 2 = 0 OR person_id < 50) GROUP BY ALL",
     "person_labels": _with() + "SELECT DISTINCT person_id, printf('Person_%04d', person_id + 1) AS label, person_id + 1 AS number FROM obs",
 }

@@ -30,9 +30,20 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_source(df: DataFrame, path: str) -> None:
-    """Replace only the partitions (by ``source``) that ``df`` has; rows of other sources stay."""
+def replace_source(df: DataFrame, path: str, sources: list[str] | None = None) -> None:
+    """Replace all rows of the named sources by those of ``df``, none included; rows of other sources stay.
+
+    ``sources`` None: those that ``df`` has rows of. Naming one that ``df`` has no row of deletes it."""
+    spark = df.sparkSession
+    if sources is not None:
+        df = df.where(F.col("source").isin(sources))
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    if sources:
+        held = {r["source"] for r in df.select("source").distinct().collect()}  # of the few that are named
+        part = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        for name in set(sources) - held:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part('source', name)}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_sightings(observations: DataFrame, path: str, parts: int) -> None:
@@ -78,7 +89,7 @@ def raw_sightings(rows: DataFrame, graph: PathGraph) -> DataFrame:
 
 def rebased_incidents(rows: DataFrame, hidden: str) -> DataFrame:
     """(incident_id from 0, time) as incidents numbered from 1."""
-    return rows.select((F.col("incident_id") + 1).cast("int").alias("id"), F.lit(hidden).alias("affected_path_id"), F.col("time").alias("start_time"), F.lit(1.0).alias("severity"), F.lit("open").alias("status"))
+    return rows.select((F.col("incident_id") + 1).cast("int").alias("id"), F.lit(hidden).alias("affected_path_id"), F.col("time").alias("start_time"), F.lit(1.0).alias("severity"), F.lit("simulated").alias("status"))
 
 
 def crops(spark: SparkSession, root: str) -> DataFrame:

@@ -26,9 +26,20 @@ class PathGraph:
     def camera_table(self) -> DataFrame:
         return self.paths.where("camera is not null").select(F.col("camera").alias("id"), F.col("id").alias("path_id"))
 
-    def meta_table(self) -> DataFrame:
-        rows = [("hidden_path", self.site.hidden), ("v_min_mps", str(self.site.v_min)), ("v_max_mps", str(self.site.v_max)), ("time_slack_s", str(self.site.slack))]
-        return self.paths.sparkSession.createDataFrame(rows, "key string, value string")
+    def meta_table(self, source: str | None = None, p_detect: float | None = None, obs_period_s: float | None = None, preset: str | None = None) -> DataFrame:
+        """key, value of the site's settings and, where they are known, of the run that gave the sightings."""
+        settings = {"hidden_path": self.site.hidden, "v_min_mps": self.site.v_min, "v_max_mps": self.site.v_max, "time_slack_s": self.site.slack, "source": source, "p_detect": p_detect, "obs_period_s": obs_period_s, "preset": preset}
+        return self.paths.sparkSession.createDataFrame([(k, str(v)) for k, v in settings.items() if v is not None], "key string, value string")
+
+
+def write_graph(graph: PathGraph, path: str) -> None:
+    """The network as a JSON document of one line, which :func:`read_graph` reads. A network is small, whatever it was mined from."""
+    site = graph.site
+    paths = graph.paths.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("length_m", "camera"))))).alias("paths"))
+    edges = graph.edges.agg(F.array_sort(F.collect_list(F.array("from_path", "to_path"))).alias("edges"))
+    head = [F.lit(site.hidden).alias("hidden_path"), F.array(F.lit(site.v_min), F.lit(site.v_max)).alias("walking_speed_bounds_mps"), F.lit(site.slack).alias("time_slack_s")]
+    both = paths.join(edges)  # one row each
+    both.select(F.to_json(F.struct(*head, "paths", "edges")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_graph(spark: SparkSession, path: str) -> PathGraph:
