@@ -5,13 +5,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from waymark.evaluation import truth
-from waymark.operators import identity, routes, tracks
+from waymark.operators import identity, matching, routes, tracks
 from waymark.plans.queries import QUERIES, Site
 
 
@@ -20,53 +19,127 @@ def test_assignment_is_least_cost():
     for _ in range(60):
         n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
         cost = np.round(rng.random((n, m)), 1) if rng.random() < 0.5 else rng.random((n, m))
-        found = identity.assignment(cost)
+        found = matching.assignment(cost)
         assert len(set(found.tolist())) == n
         best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
         assert cost[np.arange(n), found].sum() == pytest.approx(best)
 
 
-def tracks_of(rows):
-    return pd.DataFrame(rows, columns=["site", "track_id", "camera_id", "start_time", "end_time", "emb"])
-
-
-def test_matching_follows_looks_and_topology():
+SCHEMA = "site string, track_id long, camera_id string, start_time double, end_time double, emb array<double>"
+GAPS = [("C0", "C1", 0.0, 700.0), ("C1", "C2", 0.0, 300.0), ("C1", "C2", 500.0, 900.0), ("C2", "C0", 0.0, 900.0), ("C2", "C2", -2.0, 900.0)]
+
+
+def one_sequence(rows, gaps, params):
+    """{(site, camera, track): (name, distance)} of whole sites, every track of a batch against every identity."""
+    out = {}
+    for site in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == site), key=lambda r: (r[3], r[2], r[1]))
+        people, at = [], 0
+        while at < len(mine):
+            batch = [r for r in mine[at:] if r[3] <= mine[at][3] + params.batch_s]
+            at += len(batch)
+            cost = np.full((len(batch), len(people) + len(batch)), 1e6)
+            for i, (_, _, camera, start, _, emb) in enumerate(batch):
+                for j, p in enumerate(people):
+                    gap = start - p["end"]
+                    ok = -params.jitter <= gap <= params.horizon_s if gaps is None else any(a == p["camera"] and b == camera and lo <= gap <= hi for a, b, lo, hi in gaps)
+                    d = 1 - np.dot(p["sum"], emb) / max(np.linalg.norm(p["sum"]), 1e-9)
+                    cost[i, j] = d if ok and d <= params.max_dist else 1e6
+                cost[i, len(people) + i] = params.max_dist
+            columns = matching.assignment(cost)
+            before = len(people)
+            for i, (j, (_, track, camera, _, end, emb)) in enumerate(zip(columns, batch, strict=True)):
+                if j < before:
+                    p = people[j]
+                    p["sum"], p["camera"], p["end"] = p["sum"] + emb, camera, max(p["end"], end)
+                    out[site, camera, track] = p["name"], cost[i, j]
+                else:
+                    people.append({"name": f"{camera}/{track}", "sum": np.array(emb), "camera": camera, "end": end})
+                    out[site, camera, track] = f"{camera}/{track}", None
+    return out
+
+
+def random_rows(seed, n=160, sites=("s",), quiet=0.05, long=2500.0):
+    """Tracks of a few persons that look much alike, some long, with silences, starts that coincide, numbers that repeat by camera."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for site in sites:
+        at = np.cumsum(np.where(rng.random(n) < quiet, long, rng.choice([0.0, 3.0, 40.0, 90.0], n))) + 80_000.0
+        emb = rng.normal(size=(7, 4))[rng.integers(0, 7, n)] + 0.1 * rng.normal(size=(n, 4))
+        emb /= np.linalg.norm(emb, axis=1, keepdims=True)
+        rows += [(site, i // 3, f"C{i % 3}", float(t), float(t + (1500.0 if rng.random() < 0.03 else 5.0)), [float(x) for x in v]) for i, (t, v) in enumerate(zip(at, emb, strict=True))]
+    return rows
+
+
+def matched(spark, rows, gaps, params):
+    intervals = None if gaps is None else spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double")
+    found = matching.match_tracks(spark.createDataFrame(rows, SCHEMA), intervals, params).collect()
+    assert len(found) == len(rows)
+    return {(r["site"], r["camera_id"], r["track_id"]): (r["global_id"], r["match_dist"]) for r in found}
+
+
+def same(found, wanted):
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in wanted.items()}
+    assert all((v[1] is None) == (wanted[k][1] is None) and (v[1] is None or abs(v[1] - wanted[k][1]) < 1e-9) for k, v in found.items())
+
+
+def test_matching_follows_looks_and_topology(spark):
     a, b = [1.0, 0.0], [0.0, 1.0]
-    rows = tracks_of([("s", 1, "C1", 0.0, 10.0, a), ("s", 2, "C1", 1.0, 11.0, b), ("s", 3, "C2", 60.0, 70.0, b), ("s", 4, "C2", 61.0, 71.0, a), ("s", 5, "C2", 5000.0, 5001.0, a)])
-    allowed = {("C1", "C2"): [(30.0, 100.0)]}
-    found = dict(zip(*identity.match_site(rows, allowed, 100.0, 0.35, 5.0, 900.0, 2.0)[["track_id", "global_id"]].to_numpy().T, strict=True))
-    assert found[1] == found[4] and found[2] == found[3] and found[1] != found[2] and found[5] not in (found[1], found[2])
-    none = identity.match_site(rows, {}, 0.0, 0.35, 5.0, 900.0, 2.0)
-    assert none["global_id"].nunique() == 5
-    free = identity.match_site(rows, None, 0.0, 0.35, 5.0, 900.0, 2.0)
-    assert free["global_id"].nunique() == 3
-
-
-def test_matching_by_site(spark):
-    rows = [(s, k, "C1", float(k * 100), float(k * 100 + 1), [1.0, 0.0]) for s in ("x", "y") for k in range(3)]
-    df = spark.createDataFrame(rows, "site string, track_id long, camera_id string, start_time double, end_time double, emb array<double>")
-    found = identity.match_tracks(df, None).collect()
-    assert len(found) == 6 and {r["global_id"] for r in found} == {0}
-
-
-def test_matching_in_stretches_equals_one_sequence(spark):
-    """Parts between silences hold the links of the whole sequence, over midnight too."""
-    rng = np.random.default_rng(6)
-    at = np.cumsum(np.where(rng.random(300) < 0.04, 2500.0, 60.0)) + 80_000.0
-    emb = rng.normal(size=(9, 4))[rng.integers(0, 9, 300)] + 0.05 * rng.normal(size=(300, 4))
-    emb /= np.linalg.norm(emb, axis=1, keepdims=True)
-    rows = [("s", i, f"C{i % 3}", float(t), float(t + (3000.0 if i % 50 == 0 else 5.0)), [float(x) for x in v]) for i, (t, v) in enumerate(zip(at, emb, strict=True))]
-    gaps = [("C0", "C1", 0.0, 700.0), ("C1", "C2", 0.0, 300.0), ("C1", "C2", 500.0, 900.0), ("C2", "C0", 0.0, 900.0), ("C2", "C2", 0.0, 900.0)]
-    allowed: dict = {}
-    for a, b, lo, hi in gaps:
-        allowed.setdefault((a, b), []).append((lo, hi))
-    whole = identity.match_site(tracks_of(rows), allowed, 900.0, 0.35, 50.0, 900.0, 2.0)
-    df = spark.createDataFrame(rows, "site string, track_id long, camera_id string, start_time double, end_time double, emb array<double>")
-    found = identity.match_tracks(df, spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double"), batch_s=50.0).collect()
-    assert identity.stretches(df, 901.0).agg(F.max("_stretch")).first()[0] > 3
-    first = lambda pairs: {t: min(u for u, j in pairs if j == k) for t, k in pairs}
-    assert first([(r["track_id"], r["global_id"]) for r in found]) == first(list(whole[["track_id", "global_id"]].itertuples(index=False, name=None)))
-    assert whole["match_dist"].notna().sum() > 100
+    rows = [("s", 1, "C1", 0.0, 10.0, a), ("s", 2, "C1", 1.0, 11.0, b), ("s", 3, "C2", 60.0, 70.0, b), ("s", 4, "C2", 61.0, 71.0, a), ("s", 5, "C2", 5000.0, 5001.0, a)]
+    params = matching.MatchParams()
+    found = {k[2]: v[0] for k, v in matched(spark, rows, [("C1", "C2", 30.0, 100.0)], params).items()}
+    assert found == {1: "C1/1", 2: "C1/2", 3: "C1/2", 4: "C1/1", 5: "C2/5"}
+    assert len({v[0] for v in matched(spark, rows, [], params).values()}) == 5
+    assert len({v[0] for v in matched(spark, rows, None, params).values()}) == 3
+
+
+@pytest.mark.parametrize(("seed", "batch_s", "cell_s", "topology"), [(1, 50.0, 1.0, True), (2, 5.0, 1.0, True), (3, 0.0, 7.0, True), (4, 100.0, 60.0, False)])
+def test_parts_hold_the_links_of_one_sequence(spark, seed, batch_s, cell_s, topology):
+    rows, gaps, params = random_rows(seed, sites=("s", "t")), GAPS if topology else None, matching.MatchParams(batch_s=batch_s, cell_s=cell_s)
+    wanted = one_sequence(rows, gaps, params)
+    same(matched(spark, rows, gaps, params), wanted)
+    assert sum(v[1] is not None for v in wanted.values()) > 60
+    intervals = None if gaps is None else spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double")
+    sizes = matching.part_sizes(spark.createDataFrame(rows, SCHEMA), intervals, params).collect()
+    assert {r["site"] for r in sizes} == {"s", "t"} and all(r["parts"] > 2 and r["largest"] < r["tracks"] == 160 for r in sizes)
+
+
+def test_batches_are_those_of_one_pass(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, "C", float(t), float(t), [1.0]) for s in ("a", "b", None) for i, t in enumerate(np.round(np.cumsum(rng.exponential(2.0, 300)) - 50, 1))]
+    for batch_s in (0.0, 3.0, 7.5):
+        found = {(r["site"], r["track_id"]): r["anchor"] for r in matching.with_batches(spark.createDataFrame(rows, SCHEMA), batch_s).collect()}
+        assert len(found) == len(rows)
+        for site in ("a", "b", None):
+            anchor = None
+            for _, i, _, t, *_ in sorted((r for r in rows if r[0] == site), key=lambda r: r[3]):
+                anchor = t if anchor is None or t > anchor + batch_s else anchor
+                assert found[site, i] == anchor
+
+
+def test_gates_join_their_intervals():
+    gate = matching.Gate([("a", "b", 5.0, 9.0), ("a", "b", 0.0, 5.0), ("a", "b", 20.0, 21.0), ("c", "b", 8.0, 12.0), ("a", "b", 3.0, 2.0)], matching.MatchParams())
+    assert gate.allows(np.array(["a"] * 7), "b", np.array([-0.1, 0.0, 7.0, 9.0, 9.1, 20.5, 21.1])).tolist() == [False, True, True, True, False, True, False]
+    assert gate.allows(np.array(["b", "c", "a"]), "b", np.array([1.0, 11.0, 11.0])).tolist() == [False, True, False] and gate.reach == 21.0 and gate.into([]) == [("b", 0.0, 12.0), ("b", 20.0, 21.0)]
+
+
+def test_parts_of_the_tree_of_links(spark):
+    rng = np.random.default_rng(8)
+    links = [(s, int(a), int(b)) for s in ("x", None) for a, b in rng.integers(0, 60, (45, 2)) if a != b] + [("y", k, k + 1) for k in range(40)]
+    found = {(r["site"], r["node"]): r["root"] for r in matching.connected(spark.createDataFrame(links, "site string, a long, b long")).collect()}
+    root: dict = {}
+    of = lambda k: k if root.get(k, k) == k else of(root[k])
+    for s, a, b in links:
+        a, b = of((s, a)), of((s, b))
+        root[max(a, b, key=lambda k: k[1])] = min(a, b, key=lambda k: k[1])
+    assert found == {k: of(k)[1] for s, a, b in links for k in ((s, a), (s, b))}
+
+
+def test_tracks_without_time_or_looks_are_left_out(spark):
+    rows = [("s", 1, "C1", 0.0, 1.0, [1.0]), ("s", 2, "C1", None, 1.0, [1.0]), ("s", 3, "C1", 2.0, 3.0, None), (None, 4, "C1", 0.0, 1.0, [1.0])]
+    found = matching.numbered(matching.match_tracks(spark.createDataFrame(rows, SCHEMA), None)).collect()
+    assert {(r["site"], r["track_id"], r["number"]) for r in found} == {("s", 1, 0), (None, 4, 0)}
+    assert matching.match_tracks(spark.createDataFrame([], SCHEMA), None).collect() == []
 
 
 def test_identities_of_the_table_cross_midnight(spark, sf_dir):

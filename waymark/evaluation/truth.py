@@ -63,8 +63,8 @@ def pairwise(assigned: DataFrame) -> DataFrame:
     by_id = cells.groupBy("global_id").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).agg(F.sum(pairs(F.col("n"))).alias("linked"), F.count_if(F.col("kinds") > 1).alias("merged"))
     by_true = cells.groupBy("true_id").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).agg(F.sum(pairs(F.col("n"))).alias("wanted"), F.count_if(F.col("kinds") > 1).alias("fragmented"))
     one = both.crossJoin(by_id).crossJoin(by_true)  # three single rows
-    p, r = F.col("tp") / F.col("linked"), F.col("tp") / F.col("wanted")
-    return one.select(p.alias("precision"), r.alias("recall"), (2 * F.col("tp") / (F.col("linked") + F.col("wanted"))).alias("f1"), "fragmented", "merged")
+    p, r = F.try_divide("tp", "linked"), F.try_divide("tp", "wanted")  # null where nothing is linked, or nothing was to be
+    return one.select(p.alias("precision"), r.alias("recall"), F.try_divide(2 * F.col("tp"), F.col("linked") + F.col("wanted")).alias("f1"), "fragmented", "merged")
 
 
 def label_rate(truth: DataFrame) -> DataFrame:

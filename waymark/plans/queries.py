@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.evaluation import truth
 from waymark.functions import scalar
 from waymark.operators import candidates as cand
-from waymark.operators import identity, network, reports, routes, tracks
+from waymark.operators import identity, matching, network, reports, routes, tracks
 from waymark.operators import visits as vis
 from waymark.plans.config import SiteParams, VisitParams
 from waymark.session import attach, saved, shared_path
@@ -243,9 +243,31 @@ def person_labels(spark, sf):
     return ids.select("person_id", scalar.person_label(F.col("person_id")).alias("label"), scalar.trailing_number(scalar.person_label(F.col("person_id"))).alias("number"))
 
 
+#: Matching on the driver's tracks, whose looks are hardly alike: an hour's tracks together, or each start by itself.
+MATCH, MATCH_ONE = matching.MatchParams(max_dist=0.6, batch_s=3600.0, horizon_s=86400.0), matching.MatchParams(max_dist=0.6, batch_s=0.0)
+
+
+def _line(s: Site) -> DataFrame:
+    return s.tracks().withColumn("site", F.lit("all"))
+
+
 def match_tracks(spark, sf):
     s = Site(spark, sf)
-    return identity.match_tracks(s.tracks().withColumn("site", F.lit("all")), routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
+    return matching.match_tracks(_line(s), routes.topology_intervals(s.graph()), MATCH)
+
+
+def match_each_start(spark, sf):
+    """Batches of the tracks of one start."""
+    s = Site(spark, sf)
+    found = matching.match_tracks(_line(s), routes.topology_intervals(s.graph()), MATCH_ONE)
+    return found.withColumn("match_dist", F.col("match_dist").cast("decimal(18,6)").cast("double"))
+
+
+def match_parts(spark, sf):
+    """How the tracks of an hour that cameras an hour apart may see fall into parts that can be matched side by side."""
+    s = Site(spark, sf)
+    near = routes.topology_intervals(s.graph()).where("lo <= 3600").withColumn("hi", F.least("hi", F.lit(3600.0)))
+    return matching.part_sizes(_line(s), near, MATCH)
 
 
 def nearest_tracks(spark, sf):
@@ -271,12 +293,15 @@ def label_rate(spark, sf):
 
 
 def synthetic_identities(spark, sf):
-    """Pairwise quality of matching with topology on the tracks of the table, whose labels are the truth."""
-    s = Site(spark, sf)
-    line = s.tracks().withColumn("site", F.lit("all"))
-    found = identity.match_tracks(line, routes.topology_intervals(s.graph()), max_dist=0.6, batch_s=3600.0)
-    known = found.join(line.select("track_id", "true_id"), "track_id")
-    return truth.pairwise(known.select(F.concat_ws("/", "site", "global_id").alias("global_id"), "true_id"))
+    """Pairwise quality of matching, with cameras' positions and without, on tracks whose labels are the truth."""
+    s, out = Site(spark, sf), None
+    line = saved(_line(s), "line")
+    for name, intervals in (("topology", routes.topology_intervals(s.graph())), ("time order only", None)):
+        found = matching.match_tracks(line.drop("true_id"), intervals, MATCH)
+        known = found.join(line.select("track_id", "true_id"), "track_id")
+        row = truth.pairwise(known.select(F.concat_ws("/", "site", "global_id").alias("global_id"), "true_id")).withColumn("configuration", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def identity_report(spark, sf):
@@ -349,7 +374,7 @@ def source_reload(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
+_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -454,6 +479,11 @@ ORACLE_SQL: dict[str, str] = {
     "full_outer_diff": _with(_visits_sql(0, "a"), _visits_sql(VISITS.rounds, "b")) + "SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'left' AS side FROM a WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM b) UNION ALL SELECT person_id, path_id, enter_ts, exit_ts, n_obs, 'right' FROM b WHERE (person_id, path_id, enter_ts, exit_ts, n_obs) NOT IN (SELECT (person_id, path_id, enter_ts, exit_ts, n_obs) FROM a)",
     "run_visits": _with("m AS (SELECT *, CASE WHEN path_id IS DISTINCT FROM lag(path_id) OVER w OR lag(id) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM obs WINDOW w AS (PARTITION BY person_id ORDER BY ts, id))", "n AS (SELECT *, sum(s) OVER (PARTITION BY person_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS no FROM m)") + "SELECT person_id, CAST(no AS BIGINT) AS visit_no, min(path_id) AS path_id, min(ts) AS start_time, max(ts) AS end_time FROM n GROUP BY person_id, no",
     "nearest_tracks": "WITH p AS (SELECT v.vec_id AS id, r.vec_id AS ref_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS s FROM embeddings v JOIN embeddings r ON v.vec_id % 100 = 0 AND r.vec_id <> v.vec_id) SELECT id, ref_id, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, ref_id) = 1",
+    "match_each_start": _with(_INTERVALS, """tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY ts, 'cam_' || path_id, vec_id) AS n FROM embeddings JOIN obs ON vec_id = id WHERE embedding IS NOT NULL),
+gt AS (SELECT vec_id, list({'c': cam_a, 'lo': lo, 'hi': hi}) AS gates FROM tr JOIN intervals ON cam_b = cam GROUP BY vec_id),
+st(n, known, best) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(name VARCHAR, looks DOUBLE[], c VARCHAR, until DOUBLE)[]), CAST(NULL AS STRUCT(d DOUBLE, name VARCHAR))
+UNION ALL SELECT n, CASE WHEN best IS NULL THEN list_append(known, {'name': cam || '/' || vec_id, 'looks': e, 'c': cam, 'until': ts}) ELSE list_transform(known, lambda k: CASE WHEN k.name = best.name THEN {'name': k.name, 'looks': list_transform(list_zip(k.looks, e), lambda z: z[1] + z[2]), 'c': cam, 'until': greatest(k.until, ts)} ELSE k END) END, best
+FROM (SELECT t.*, known, list_sort(list_filter(list_transform(list_filter(known, lambda k: len(list_filter(gates, lambda g: g.c = k.c AND t.ts - k.until BETWEEN g.lo AND g.hi)) > 0), lambda k: {'d': 1 - list_dot_product(k.looks, t.e) / greatest(sqrt(list_dot_product(k.looks, k.looks)), 1e-9), 'name': k.name}), lambda b: b.d <= 0.6))[1] AS best FROM st JOIN tr t ON t.n = st.n + 1 LEFT JOIN gt USING (vec_id)))""", recursive=True) + "SELECT 'all' AS site, vec_id AS track_id, cam AS camera_id, ts AS start_time, ts AS end_time, coalesce(best.name, cam || '/' || vec_id) AS global_id, CAST(CAST(best.d AS DECIMAL(18,6)) AS DOUBLE) AS match_dist FROM st JOIN tr USING (n)",
     "risk_levels": "SELECT event_id, CASE WHEN NOT value / 100 < 1 OR value IS NULL THEN 'PENDING' WHEN value / 100 >= 0.8 THEN 'HIGH' WHEN value / 100 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events",
     "label_rate": _with(_LABELS) + "SELECT count(*) AS incidents, CAST(sum(rows) AS BIGINT) AS rows, avg(n) AS mean_inside FROM (SELECT incident_id, sum(in_hidden) AS n, count(*) AS rows FROM labels_ GROUP BY incident_id)",
     "candidate_report": _with(_CANDIDATES, recursive=True) + f"SELECT person_id, a AS last_path, {_R1('ta')} AS last_ts, b AS next_path, {_R1('tb')} AS next_ts, {_R1('gap_s')} AS gap_s, {_R0('min_crossing_s')} AS min_crossing_s, status FROM cands WHERE incident_id = {ONE}",
