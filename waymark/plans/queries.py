@@ -21,6 +21,9 @@ from waymark.plans.config import SiteParams, VisitParams
 from waymark.session import attach, saved, shared_path
 from waymark.sources import files
 from waymark.sources.graph import PathGraph, graph_of, read_graph, write_graph
+from waymark.streaming.candidates import CandidateUpkeep, UpkeepParams
+from waymark.streaming.gallery import matched_stream
+from waymark.streaming.visits import visit_stream
 
 #: The network on the driver's tables, incidents (seconds since 1970, UTC) and windows.
 PATHS = [("view", 21600.0, "cam_view"), ("click", 43200.0, "cam_click"), ("signup", 43200.0, "cam_signup"), ("error", 129600.0, None), ("purchase", 64800.0, "cam_purchase")]
@@ -282,6 +285,12 @@ def half_match(spark, sf):
     return identity.half_match(crops.dropna(subset=["track_id"])).withColumn("similarity", F.col("similarity").cast("decimal(18,6)").cast("double"))
 
 
+def half_report(spark, sf):
+    crops = Site(spark, sf).table("embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("emb"))
+    found = identity.half_report(crops.dropna(subset=["track_id"]))
+    return found.select("tracks", *(F.col(c).cast("decimal(18,6)").cast("double").alias(c) for c in ("rank_1", "chance", "mean_own", "mean_other")))
+
+
 def risk_levels(spark, sf):
     """Events' values, scaled, as probabilities."""
     p = F.col("value") / 100
@@ -332,6 +341,52 @@ def csv_sightings(spark, sf):
     return files.raw_sightings(files.read_csv(spark, path, "raw_sightings"), s.graph()).drop("id")
 
 
+def glob_sightings(spark, sf):
+    """Sightings written as one folder of CSV files for each path, the folders read by a glob."""
+    s, path = Site(spark, sf), shared_path(spark, "csv")
+    for kind in [p[0] for p in PATHS if p[2]]:
+        files.write_csv(s.observations().where(F.col("path_id") == kind).select("person_id", "path_id", F.col("ts").alias("timestamp")), f"{path}/{kind}")
+    return files.read_csv(spark, f"{path}/*", "raw_sightings").groupBy("path_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
+def _streamed(spark, rows: DataFrame, made) -> DataFrame:
+    """Stored rows as a stream, to its end; what it sent."""
+    where, state, out = (shared_path(spark, name) for name in ("stream-in", "stream-state", "stream-out"))
+    rows.write.parquet(where)
+    query = made(spark.readStream.schema(rows.schema).parquet(where)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_visits(spark, sf):
+    """All sightings as a stream; one of nobody, years later, lets the watermark pass them."""
+    s = Site(spark, sf)
+    end = s.observations().agg(F.max("id").alias("id"), F.lit(-1).cast("long").alias("person_id"), F.lit(None).cast("string").alias("path_id"), (F.max("ts") + 1e8).alias("ts")).where("ts is not null")
+    return _streamed(spark, s.observations().select("id", F.col("person_id").cast("long").alias("person_id"), "path_id", "ts").unionByName(end), lambda rows: visit_stream(rows, VISITS, "1 hour"))
+
+
+def stream_identities(spark, sf):
+    """All tracks as a stream, batches of the tracks of one start; one of another site, years later, ends it."""
+    s = Site(spark, sf)
+    gate = matching.gate_of(routes.topology_intervals(s.graph()), MATCH_ONE)
+    line = _line(s).select("site", "track_id", "camera_id", "start_time", "end_time", F.col("emb").cast("array<double>").alias("emb"))
+    end = line.agg(F.lit("end").alias("site"), F.max("track_id").alias("track_id"), F.lit("cam").alias("camera_id"), (F.max("start_time") + 1e8).alias("start_time"), (F.max("start_time") + 1e8).alias("end_time"), F.array(F.lit(1.0)).alias("emb")).where("start_time is not null")
+    found = _streamed(spark, line.unionByName(end), lambda rows: matched_stream(rows, gate, MATCH_ONE, "1 hour"))
+    return found.withColumn("match_dist", F.col("match_dist").cast("decimal(18,6)").cast("double"))
+
+
+def stream_candidates(spark, sf):
+    """Sightings in four batches, by parts of their time; the candidates after the last."""
+    s = Site(spark, sf)
+    g, rows = s.graph(), saved(s.observations(), "seen")
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    upkeep = CandidateUpkeep(shared_path(spark, "upkeep"), s.incidents(), saved(routes.build_route_times(g), "times"), g.edges, SITE, UpkeepParams(WINDOW, 16, 3))
+    part = F.least(F.lit(3), F.floor((F.col("ts") - F.lit(span["a"])) / F.lit(max(1.0, (span["z"] or 0.0) - (span["a"] or 0.0))) * 4))
+    for n in range(4):
+        upkeep.apply(rows.where(part == n), n)
+    return upkeep.table(3)
+
+
 def graph_document(spark, sf):
     """The mined network as a JSON document, read back: edges with what lies at their ends."""
     s, path = Site(spark, sf), shared_path(attach(spark), "graph")
@@ -374,7 +429,7 @@ def source_reload(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
+_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, glob_sightings, stream_visits, stream_identities, stream_candidates, half_report, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -428,6 +483,7 @@ _LABELS = f"""labels_ AS (SELECT n.incident_id, n.person_id, CAST(EXISTS (SELECT
 FROM (SELECT DISTINCT i.incident_id, i.t, o.person_id FROM incidents i JOIN obs o ON o.ts >= i.t - {WINDOW} AND o.ts < i.t + {WINDOW}) n)"""
 _R1 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(18,6)), 1) AS DOUBLE)"
 _R0 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(18,6)), 0) AS DOUBLE)"
+_HALVES = "WITH c AS (SELECT label::BIGINT AS track_id, 2 * row_number() OVER (PARTITION BY label ORDER BY vec_id) <= count(*) OVER w AS early, CAST(embedding AS DOUBLE[]) AS e, count(*) OVER w AS n FROM embeddings WHERE label IS NOT NULL WINDOW w AS (PARTITION BY label)), u AS (SELECT track_id, early, generate_subscripts(e, 1) AS i, unnest(e) / greatest(sqrt(list_dot_product(e, e)), 1e-9) AS x FROM c WHERE n >= {least}), m AS (SELECT track_id, early, i, avg(x) AS x FROM u GROUP BY ALL), v AS (SELECT track_id, early, list(x ORDER BY i) AS e FROM m GROUP BY ALL), p AS (SELECT b.track_id, a.track_id AS nearest, list_dot_product(a.e, b.e) / (greatest(sqrt(list_dot_product(a.e, a.e)), 1e-9) * greatest(sqrt(list_dot_product(b.e, b.e)), 1e-9)) AS s FROM v a JOIN v b ON a.early AND NOT b.early)"
 _VOTES = "votes AS (SELECT label::BIGINT AS g, user_id % 10 AS p, vec_id FROM embeddings JOIN events ON vec_id = event_id)"
 
 
@@ -447,6 +503,7 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join((_BASE, *parts)) + "\n"
 
 
+_GLOB = "SELECT path_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM obs GROUP BY path_id"
 _V0, _V5 = _visits_sql(0), _visits_sql(VISITS.rounds)
 _VISIT = "person_id, visit_idx, path_id, enter_ts, exit_ts, n_obs"
 
@@ -487,11 +544,13 @@ FROM (SELECT t.*, known, list_sort(list_filter(list_transform(list_filter(known,
     "risk_levels": "SELECT event_id, CASE WHEN NOT value / 100 < 1 OR value IS NULL THEN 'PENDING' WHEN value / 100 >= 0.8 THEN 'HIGH' WHEN value / 100 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events",
     "label_rate": _with(_LABELS) + "SELECT count(*) AS incidents, CAST(sum(rows) AS BIGINT) AS rows, avg(n) AS mean_inside FROM (SELECT incident_id, sum(in_hidden) AS n, count(*) AS rows FROM labels_ GROUP BY incident_id)",
     "candidate_report": _with(_CANDIDATES, recursive=True) + f"SELECT person_id, a AS last_path, {_R1('ta')} AS last_ts, b AS next_path, {_R1('tb')} AS next_ts, {_R1('gap_s')} AS gap_s, {_R0('min_crossing_s')} AS min_crossing_s, status FROM cands WHERE incident_id = {ONE}",
-    "half_match": "WITH c AS (SELECT label::BIGINT AS track_id, 2 * row_number() OVER (PARTITION BY label ORDER BY vec_id) <= count(*) OVER w AS early, CAST(embedding AS DOUBLE[]) AS e, count(*) OVER w AS n FROM embeddings WHERE label IS NOT NULL WINDOW w AS (PARTITION BY label)), u AS (SELECT track_id, early, generate_subscripts(e, 1) AS i, unnest(e) / greatest(sqrt(list_dot_product(e, e)), 1e-9) AS x FROM c WHERE n > 1), m AS (SELECT track_id, early, i, avg(x) AS x FROM u GROUP BY ALL), v AS (SELECT track_id, early, list(x ORDER BY i) AS e FROM m GROUP BY ALL), p AS (SELECT b.track_id, a.track_id AS nearest, list_dot_product(a.e, b.e) / (greatest(sqrt(list_dot_product(a.e, a.e)), 1e-9) * greatest(sqrt(list_dot_product(b.e, b.e)), 1e-9)) AS s FROM v a JOIN v b ON a.early AND NOT b.early) SELECT track_id, nearest, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity, track_id = nearest AS is_self FROM p QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, nearest) = 1",
+    "half_match": _HALVES.format(least=2) + " SELECT track_id, nearest, CAST(CAST(s AS DECIMAL(18,6)) AS DOUBLE) AS similarity, track_id = nearest AS is_self FROM p QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, nearest) = 1",
+    "half_report": _HALVES.format(least=4) + ", b AS (SELECT track_id, track_id = nearest AS is_self FROM p QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, nearest) = 1) SELECT n AS tracks, CAST(CAST(r AS DECIMAL(18,6)) AS DOUBLE) AS rank_1, CAST(CAST(1.0::DOUBLE / n AS DECIMAL(18,6)) AS DOUBLE) AS chance, CAST(CAST(own AS DECIMAL(18,6)) AS DOUBLE) AS mean_own, CAST(CAST(other AS DECIMAL(18,6)) AS DOUBLE) AS mean_other FROM (SELECT count(*) AS n, avg(CAST(is_self AS DOUBLE)) AS r FROM b), (SELECT avg(s) FILTER (track_id = nearest) AS own, avg(s) FILTER (track_id <> nearest) AS other FROM p)",
     "identity_report": f"WITH t AS (SELECT user_id AS u, CASE WHEN vec_id % 4 = 0 THEN label END AS p FROM embeddings JOIN events ON vec_id = event_id), n AS (SELECT u, p, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY ALL), m AS (SELECT u, max(n) / sum(n)::DOUBLE AS purity FROM n GROUP BY u) SELECT count(*) AS identities, count(purity) AS labelled, count(*) - count(purity) AS unlabelled, CAST(sum(CAST(purity AS DECIMAL(18,9))) AS DOUBLE) / count(purity) AS mean_purity, count(*) FILTER (purity < 1) AS impure FROM (SELECT DISTINCT u FROM t) LEFT JOIN m USING (u)",
     "identity_presence": f"WITH {_VOTES}, n AS (SELECT g, p, count(*) AS n FROM votes GROUP BY ALL), r AS (SELECT g, p FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, p) = 1) SELECT g AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS start_time, max(epoch(o_orderdate)) AS end_time FROM r JOIN orders ON o_custkey = p GROUP BY ALL",
     "embedding_coverage": _with() + "SELECT count(*) AS tracks, count(vec_id) AS embedded, count(*) - count(vec_id) AS missing FROM obs LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = id",
     "csv_sightings": _with() + "SELECT person_id, camera AS camera_id, path_id, ts, 'sim' AS source FROM obs LEFT JOIN paths ON paths.id = path_id",
+    "glob_sightings": _with() + _GLOB,
     "graph_document": _surveyed() + "SELECT from_path, to_path, p.length_m, p.camera IS NOT NULL AS has_camera, q.camera AS to_camera FROM edges JOIN paths p ON p.id = from_path JOIN paths q ON q.id = to_path",
     "run_meta": _with(f"dep AS ({_LEFT.format(rows='obs')})") + f"SELECT * FROM (VALUES ('hidden_path', '{SITE.hidden}'), ('v_min_mps', '{SITE.v_min}'), ('v_max_mps', '{SITE.v_max}'), ('time_slack_s', '{SITE.slack}'), ('source', 'sim'), ('preset', 'events')) AS m(key, value) UNION ALL SELECT 'p_detect', CAST(round(count(*) FILTER (event_type <> '{SITE.hidden}') / count(event_type)::DOUBLE, 6) AS VARCHAR) FROM events UNION ALL SELECT 'obs_period_s', CAST(floor(seconds)::DOUBLE AS VARCHAR) FROM ({_MEDIAN.format(rows='(SELECT 1 AS from_path, seconds FROM dep)')})",
     "persons": _with() + "SELECT DISTINCT person_id AS id, printf('Person_%04d', person_id + 1) AS label FROM obs",
@@ -500,3 +559,4 @@ FROM (SELECT t.*, known, list_sort(list_filter(list_transform(list_filter(known,
     "source_reload": _with() + "SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, min(ts) AS first_ts FROM obs WHERE id % 3 <> 0 AND (id % 2 = 0 OR person_id < 50) GROUP BY ALL",
     "person_labels": _with() + "SELECT DISTINCT person_id, printf('Person_%04d', person_id + 1) AS label, person_id + 1 AS number FROM obs",
 }
+ORACLE_SQL |= {"stream_visits": ORACLE_SQL["visits_repaired"], "stream_identities": ORACLE_SQL["match_each_start"], "stream_candidates": ORACLE_SQL["candidates"]}

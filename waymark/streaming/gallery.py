@@ -55,13 +55,14 @@ class SiteGallery(StatefulProcessor):
             for row, (name, dist) in zip(batch, gallery.take([as_track(r) for r in batch]), strict=True):
                 yield Row(site=key[0], **{c: row[c] for c in COLUMNS[:4]}, global_id=name, match_dist=dist)
             done = end
-        gallery.forget(passed / 1000)
+        gallery.forget(passed / 1000, now=True)
+        known = gallery.known()
         self._put(self.waiting, [tuple(row[c] for c in COLUMNS) for row in waiting[done:]])
-        self._put(self.known, [(k.name, [float(x) for x in k.looks], k.camera, k.until) for k in gallery.known])
+        self._put(self.known, [(k.name, [float(x) for x in k.looks], k.camera, k.until) for k in known])
         if done < len(waiting):
             self.handle.registerTimer(after(waiting[done]["start_time"] + self.params.batch_s))
-        if gallery.known:
-            self.handle.registerTimer(max(passed + 1, after(min(k.until for k in gallery.known) + self.gate.reach)))
+        if known:
+            self.handle.registerTimer(max(passed + 1, after(min(k.until for k in known) + self.gate.reach)))
 
     @staticmethod
     def _put(state, rows: list[tuple]) -> None:
