@@ -32,12 +32,10 @@ class SiteGallery(StatefulProcessor):
         self.known = handle.getListState("known", "name string, looks array<double>, camera string, until double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
-        for row in rows:
-            self.waiting.appendValue(tuple(row[c] for c in COLUMNS))
-            first = row["start_time"] if first is None else min(first, row["start_time"])
-        if first is not None:
-            self.handle.registerTimer(after(first + self.params.batch_s))
+        more = [tuple(row[c] for c in COLUMNS) for row in rows]
+        if more:
+            self.waiting.appendList(more)  # in one exchange with the state server
+            self.handle.registerTimer(after(min(row[2] for row in more) + self.params.batch_s))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -68,12 +68,10 @@ class PersonVisits(StatefulProcessor):
         self.sent = handle.getValueState("sent", "n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
-        for row in rows:
-            self.waiting.appendValue((row["id"], row["path_id"], row["ts"]))
-            first = row["ts"] if first is None else min(first, row["ts"])
-        if first is not None:
-            self.handle.registerTimer(after(first))
+        more = [(row["id"], row["path_id"], row["ts"]) for row in rows]
+        if more:
+            self.waiting.appendList(more)
+            self.handle.registerTimer(after(min(row[2] for row in more)))
         yield from ()
 
     def _settled(self, runs: list[list], passed: int) -> int:
