@@ -10,7 +10,7 @@ from waymark.llm.queries import ORACLE_SQL, QUERIES
 
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "7 8 9 !"), (None, "words of a row without an id, in all words"), (5, "long " * 9000), (6, "the same words stand in two rows here"), (6, "the same words stand in two rows here"), (7, "the same words stand in two rows here"), (8, "ünï çödé ▁ \u0000 日本語 \U0001f600"), (9, "x")]
 DOCUMENTS = [(i, t, "en" if i is None or i % 2 else "fr", "web", len(t or "")) for i, t in ODD]
-WHOLE = {"op1_url_filter": "pages", "op3_lm_scoring": "documents", "op4_sentencepiece": "documents", "op5_language_id": "documents", "op6_suffix_dedup": "documents", "op7_license_scan": "documents", "op8_toxicity": "documents", "op9_embedding_dedup": "embeddings", "op10_simhash_dedup": "documents"}
+WHOLE = {"op1_url_filter": "pages", "op3_lm_scoring": "documents", "op4_sentencepiece": "documents", "op5_language_id": "documents", "op6_suffix_dedup": "documents", "op7_license_scan": "documents", "op8_toxicity": "documents", "op9_embedding_dedup": "embeddings", "op10_simhash_dedup": "documents", "op12_merkle_manifest": "documents"}
 LABELS = [(i, 0, i % 2) for i in range(9)] + [(None, 0, 1), (3, 1, None), (1, 0, 0)]
 URLS = [(1, None), (2, ""), (3, "no scheme/com/en/1"), (4, "http://A.Example.COM/en/7x?q#f"), (5, "http://A.Example.COM/en/7x?q#f"), (6, "x://y.org#/es/"), (None, "https://n.net/de/8"), (8, "https://b.example.net/de/8/a/b/c/d/e/f/g"), (9, "://"), (10, "a://b://c.com/en/")] + [(100 + i, f"http://h.com/{'en' if i % 3 else 'fr'}/{i}/x") for i in range(60)]
 VECTORS = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0]), (12, [-1.0, 0.0])]

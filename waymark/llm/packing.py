@@ -201,9 +201,10 @@ def pack(found: DataFrame, params: PackParams = PackParams()) -> DataFrame:
             next_ = level.select(F.col("name").alias("_name"), F.col("sequence_id").alias("_to"), F.col("offset").alias("_by"))
             joined = moved.join(next_, moved["sequence_id"] == next_["_name"], "left")
             moved = joined.select("place", F.coalesce("_to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset"))
-        if items.count() <= params.group:
+        left = level.where("fill > 0").select(F.col("sequence_id").alias("name"), F.col("fill").alias("length"))
+        n, items = items.count(), left
+        if n <= params.group or left.count() >= n:  # one group, or bins of which no two fit together
             break
-        items = level.where("fill > 0").select(F.col("sequence_id").alias("name"), F.col("fill").alias("length"))
     full = found.where(F.col("length") >= params.length).withColumn("sequence_id", F.col("place")).withColumn("offset", F.lit(0).cast("long"))
     return found.join(moved, "place").unionByName(full).drop("place")
 
