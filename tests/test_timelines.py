@@ -182,6 +182,23 @@ def test_candidates(spark, graph):
     assert status == {1: "possible", 2: "impossible: reached too fast", 3: "possible", 4: "pending: may be inside, not seen again yet", 5: "no sighting after", 6: "no sighting before", 7: "same path before and after", 8: "no route through hidden path"}
 
 
+def test_candidates_by_a_table_function(spark, graph):
+    """Called laterally for each incident, with the default window and another; no incident scans the sightings anew."""
+    rng = random.Random(23)
+    rows = [(rng.randint(1, 30), rng.choice(["P2", "P3", "P5", "P6"]), float(rng.randint(0, 9000))) for _ in range(200)]
+    incidents = spark.createDataFrame([(k, float(t)) for k, t in enumerate((0, 1500, 4000, 4000, 8000, 50_000))], "incident_id int, t double")
+    times = routes.build_route_times(graph)
+    cand.register_function(incidents, seen(spark, rows), times, graph.edges, graph.meta_table())
+    for call, window in (("incident_candidates(i.incident_id)", 900.0), ("incident_candidates(i.incident_id, 300D)", 300.0)):
+        found = spark.sql(f"SELECT i.incident_id, c.* FROM incidents i, LATERAL {call} c")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LateralJoin" not in plan and "outer(" not in plan
+        physical = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in physical and "Cartesian" not in physical
+        wanted = cand.incident_candidates(incidents, seen(spark, rows), times, graph.edges, SITE, window)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, wanted.select(*found.columns).collect()), key=repr)
+
+
 def test_upper_bound_is_an_option(spark, graph):
     rows = [(1, "P3", 900.0), (1, "P5", 900.0 + 300 / 0.4 + 16.0)]
     incidents = spark.createDataFrame([(1, 1000.0)], "incident_id int, t double")

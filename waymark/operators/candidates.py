@@ -71,3 +71,45 @@ def classified(anchored: DataFrame, route_times: DataFrame, edges: DataFrame, si
 def incident_candidates(incidents: DataFrame, observations: DataFrame, route_times: DataFrame, edges: DataFrame, site: SiteParams, window: float = 900.0, upper_bound: bool = False) -> DataFrame:
     """All incidents (incident_id, t) at once; filter the incidents for a single one."""
     return classified(anchors(in_window(incidents, observations, window), observations), route_times, edges, site, upper_bound)
+
+
+#: incident_candidates as a table function of SQL, with the window as an argument that has a default. The window's persons are
+#: found through buckets of time, and Catalyst turns a lateral call into joins by incident: nothing is scanned anew for a row.
+TABLE_FUNCTION = """
+CREATE OR REPLACE TEMPORARY FUNCTION incident_candidates(p_incident INT, p_win DOUBLE DEFAULT 900D)
+RETURNS TABLE (person_id BIGINT, a STRING, ta DOUBLE, b STRING, tb DOUBLE, gap_s DOUBLE, min_crossing_s DOUBLE, status STRING)
+RETURN
+WITH spread AS (
+  SELECT t, explode(sequence(CAST(floor((t - p_win) / p_win) AS BIGINT), CAST(floor((t + p_win) / p_win) AS BIGINT))) AS bucket
+  FROM incidents WHERE incident_id = p_incident
+), near AS (
+  SELECT DISTINCT s.t, o.person_id FROM spread s
+  JOIN observations o ON CAST(floor(o.ts / p_win) AS BIGINT) = s.bucket AND o.ts BETWEEN s.t - p_win AND s.t + p_win
+), anchored AS (
+  SELECT n.person_id, max(struct(o.ts, o.id, o.path_id)) FILTER (WHERE o.ts < n.t) AS before,
+         min(struct(o.ts, o.id, o.path_id)) FILTER (WHERE o.ts >= n.t) AS after
+  FROM near n JOIN observations o ON o.person_id = n.person_id GROUP BY n.person_id
+), beside AS (
+  SELECT DISTINCT from_path FROM path_edges WHERE to_path = (SELECT value FROM run_meta WHERE key = 'hidden_path')
+)
+SELECT x.person_id, before.path_id, before.ts, after.path_id, after.ts, after.ts - before.ts, r.min_seconds,
+  CASE WHEN before IS NULL THEN 'no sighting before'
+       WHEN after IS NULL AND e.from_path IS NOT NULL THEN 'pending: may be inside, not seen again yet'
+       WHEN after IS NULL THEN 'no sighting after'
+       WHEN before.path_id = after.path_id THEN 'same path before and after'
+       WHEN r.min_seconds IS NULL THEN 'no route through hidden path'
+       WHEN after.ts - before.ts < r.min_seconds - (SELECT CAST(value AS DOUBLE) FROM run_meta WHERE key = 'time_slack_s') THEN 'impossible: reached too fast'
+       ELSE 'possible' END
+FROM anchored x
+LEFT JOIN route_times r ON r.from_path = before.path_id AND r.to_path = after.path_id AND r.via_hidden
+LEFT JOIN beside e ON e.from_path = before.path_id
+"""
+
+
+def register_function(incidents: DataFrame, observations: DataFrame, route_times: DataFrame, edges: DataFrame, meta: DataFrame) -> None:
+    """Makes ``incident_candidates(incident_id, window)`` known to the session's SQL, over views of these tables. The anchors
+    read the whole histories of the window's persons; :func:`anchors` folds them first and is the way for long histories."""
+    views = {"incidents": incidents.select("incident_id", "t"), "observations": observations.select("id", F.col("person_id").cast("long").alias("person_id"), "path_id", "ts"), "route_times": route_times, "path_edges": edges, "run_meta": meta}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    incidents.sparkSession.sql(TABLE_FUNCTION)

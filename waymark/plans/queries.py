@@ -156,6 +156,14 @@ def candidates(spark, sf):
     return reports.candidate_table(Site(spark, sf).candidates())
 
 
+def lateral_candidates(spark, sf):
+    """The same by a table function that SQL calls for each incident."""
+    s = Site(spark, sf)
+    g = s.graph()
+    cand.register_function(s.incidents(), s.observations(), saved(routes.build_route_times(g), "times"), g.edges, g.meta_table())
+    return spark.sql("SELECT i.incident_id, c.* FROM incidents i, LATERAL incident_candidates(i.incident_id, CAST(:window AS DOUBLE)) c", args={"window": WINDOW})
+
+
 def candidate_report(spark, sf):
     found = Site(spark, sf).candidates().where(F.col("incident_id") == ONE)
     return _plain(reports.candidate_report(found))
@@ -429,7 +437,7 @@ def source_reload(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-_list = [visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, glob_sightings, stream_visits, stream_identities, stream_candidates, half_report, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
+_list = [lateral_candidates, visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, glob_sightings, stream_visits, stream_identities, stream_candidates, half_report, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -559,4 +567,4 @@ FROM (SELECT t.*, known, list_sort(list_filter(list_transform(list_filter(known,
     "source_reload": _with() + "SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, min(ts) AS first_ts FROM obs WHERE id % 3 <> 0 AND (id % 2 = 0 OR person_id < 50) GROUP BY ALL",
     "person_labels": _with() + "SELECT DISTINCT person_id, printf('Person_%04d', person_id + 1) AS label, person_id + 1 AS number FROM obs",
 }
-ORACLE_SQL |= {"stream_visits": ORACLE_SQL["visits_repaired"], "stream_identities": ORACLE_SQL["match_each_start"], "stream_candidates": ORACLE_SQL["candidates"]}
+ORACLE_SQL |= {"stream_visits": ORACLE_SQL["visits_repaired"], "stream_identities": ORACLE_SQL["match_each_start"], "stream_candidates": ORACLE_SQL["candidates"], "lateral_candidates": ORACLE_SQL["candidates"]}
