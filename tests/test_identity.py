@@ -160,6 +160,22 @@ def test_gate_keeps_the_longest_gaps_allowed(spark, sf_dir):
     assert max(r["gap"] for r in found) > 129600
 
 
+@pytest.mark.parametrize("grain", [1.0, 50.0, 1e6])
+def test_pairs_are_counted_without_being_made(spark, grain):
+    """Overlapping intervals, gaps at their ends, a track that its own camera's interval would count."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"C{i % 3}", float(t), float(t + d)) for i, (t, d) in enumerate(zip(rng.integers(0, 300, 60), rng.integers(0, 9, 60), strict=True))]
+    gaps = [("C0", "C1", 0.0, 20.0), ("C0", "C1", 10.0, 40.0), ("C0", "C1", 90.0, 91.0), ("C1", "C1", -9.0, 3.0), ("C2", "C0", 5.0, 5.0), ("C2", "C1", 9.0, 1.0)]
+    wanted: dict = {}
+    for i, a, _, end in rows:
+        for j, b, start, _ in rows:
+            if i != j and any(x == a and y == b and lo <= start - end <= hi for x, y, lo, hi in gaps):
+                wanted[a, b] = wanted.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "track_id long, camera_id string, start_time double, end_time double")
+    found = tracks.allowed_counts(df, spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double"), grain).collect()
+    assert {(r["cam_a"], r["cam_b"]): r["pairs"] for r in found} == wanted
+
+
 def test_identity_map_takes_the_majority(spark):
     line = spark.createDataFrame([(1, "C1", k) for k in range(4)] + [(2, "C1", k) for k in range(4, 6)] + [(3, "C1", 6)], "global_person_id int, camera_id string, track_id int")
     known = spark.createDataFrame([("C1", 0, "Person_7"), ("C1", 1, "Person_7"), ("C1", 2, "Person_3"), ("C1", 4, "Person_9"), ("C1", 5, "Person_8")], "camera_id string, track_id int, person_id string")

@@ -202,6 +202,12 @@ def track_pair_gate(spark, sf):
     return found.select("track_a", "track_b", "gap", F.col("distance").cast("decimal(18,6)").cast("double").alias("distance"))
 
 
+def track_pair_counts(spark, sf):
+    """How many pairs of tracks each two cameras allow."""
+    s = Site(spark, sf)
+    return tracks.allowed_counts(s.tracks(), routes.topology_intervals(s.graph()))
+
+
 def track_summary(spark, sf):
     return tracks.summarize(Site(spark, sf).detections(), order=("timestamp", "l_orderkey", "l_linenumber"))
 
@@ -437,7 +443,7 @@ def source_reload(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-_list = [lateral_candidates, visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, glob_sightings, stream_visits, stream_identities, stream_candidates, half_report, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
+_list = [lateral_candidates, visits_basic, visits_repaired, trajectories, person_timeline, near_hidden, anchors, path_stats, route_times, route_times_near_hidden, candidates, candidate_summary, feasibility_eval, visit_recall, presence_labels, topology_intervals, topology_horizon, track_pair_gate, track_pair_counts, track_summary, track_densify, identity_majority, fragmented_persons, missing_participants, reid_counts, pairwise_reid, timeline_repeat_check, full_outer_diff, run_visits, person_labels, nearest_tracks, half_match, risk_levels, label_rate, match_tracks, match_each_start, match_parts, synthetic_identities, candidate_report, identity_report, identity_presence, embedding_coverage, csv_sightings, glob_sightings, stream_visits, stream_identities, stream_candidates, half_report, graph_document, run_meta, persons, incident_rows, sql_file, source_reload]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _list}
 
 
@@ -533,6 +539,7 @@ ORACLE_SQL: dict[str, str] = {
     "topology_intervals": _surveyed(_INTERVALS) + "SELECT * FROM intervals",
     "topology_horizon": _surveyed(_INTERVALS) + "SELECT max(hi) AS max_gap FROM intervals",
     "track_pair_gate": _with(_INTERVALS, "tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts, embedding FROM embeddings JOIN obs ON vec_id = id)", recursive=True) + "SELECT DISTINCT a.vec_id AS track_a, b.vec_id AS track_b, b.ts - a.ts AS gap, CAST(CAST(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(18,6)) AS DOUBLE) AS distance FROM tr a JOIN tr b ON a.vec_id <> b.vec_id JOIN intervals i ON i.cam_a = a.cam AND i.cam_b = b.cam AND b.ts - a.ts BETWEEN i.lo AND i.hi",
+    "track_pair_counts": _with(_INTERVALS, "tr AS (SELECT vec_id, 'cam_' || path_id AS cam, ts FROM embeddings JOIN obs ON vec_id = id)", recursive=True) + "SELECT a.cam AS cam_a, b.cam AS cam_b, count(*) AS pairs FROM tr a JOIN tr b ON a.vec_id <> b.vec_id AND EXISTS (SELECT 1 FROM intervals i WHERE i.cam_a = a.cam AND i.cam_b = b.cam AND b.ts - a.ts BETWEEN i.lo AND i.hi) GROUP BY ALL",
     "track_summary": "WITH d AS (SELECT l_returnflag AS camera_id, l_suppkey AS track_id, epoch(l_shipdate) AS ts, l_quantity AS x, l_extendedprice AS y, 1.0::DOUBLE - l_discount AS c, row_number() OVER w AS up, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS down FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)) SELECT * FROM (SELECT camera_id, track_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_frames, CAST(sum(CAST(c AS DECIMAL(18,9))) AS DOUBLE) / count(c) AS mean_conf, max(x) FILTER (up = 1) AS entry_x, max(y) FILTER (up = 1) AS entry_y, max(x) FILTER (down = 1) AS exit_x, max(y) FILTER (down = 1) AS exit_y FROM d GROUP BY ALL) WHERE n_frames >= 15 AND mean_conf >= 0.4",
     "track_densify": "WITH s AS (SELECT o_custkey AS person_id, o_orderstatus AS path_id, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate)) AS b FROM orders GROUP BY ALL) SELECT DISTINCT person_id, 'cam_' || path_id AS camera_id, path_id, ts, 'track' AS source FROM (SELECT person_id, path_id, unnest(list_append(list_transform(range(0, CAST(ceil((b - a) / 2592000.0) AS BIGINT)), lambda i: a + i * 2592000.0::DOUBLE), b)) AS ts FROM s)",
     "identity_majority": f"WITH {_VOTES}, n AS (SELECT g, p, count(*) AS n FROM votes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, p) AS k, CAST(sum(n) OVER (PARTITION BY g) AS BIGINT) AS t FROM n) SELECT g AS global_person_id, p AS true_id, n / t::DOUBLE AS purity, t AS n_labelled, t AS n_tracks FROM r WHERE k = 1",
