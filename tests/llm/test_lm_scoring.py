@@ -1,8 +1,9 @@
-"""LM scoring: base score by hand, the model against exact counts, both ways of looking up."""
+"""LM scoring: base score by hand, the model against counts in dictionaries, sums of probabilities, both ways of looking up."""
 
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.common import in_fold
-from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, dequantised, levels_of, score
+from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, build, ngrams, probabilities, score, tokens
 from waymark.llm.queries import op3_lm_scoring
 
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -21,23 +22,85 @@ split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]  # noqa: E
 held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
 
 
+def middle(count):
+    """The count that a level stands for: 0 and 1 themselves, then 2-3, 4-7, 8-15, ..."""
+    if count < 2:
+        return float(count)
+    low = 2
+    while 2 * low <= count:
+        low *= 2
+    return low * math.sqrt(2) - (0.25 if low == 2 else 0)
+
+
+def middle_total(total, least):
+    """Totals in steps of half an octave from the smallest one on."""
+    unit, step = middle(least), 0
+    while unit * 2 ** ((step + 1) / 2) <= total * (1 + 1e-9):
+        step += 1
+    return unit * (2 ** (step / 2 + 0.25) if step else 1)
+
+
 def by_hand(docs, params=LmParams()):
-    """doc_id, n_tokens, n_known, tokens learned from, base and smoothed score with exact counts, quantised."""
+    """doc_id, n_tokens, n_known, tokens learned from, base and smoothed score from counts in dictionaries."""
     train = [split(t) for i, t, *_ in docs if not held(i)]
     gram = lambda d, k, order: tuple(d[j] if j >= 0 else "start" for j in range(k - order + 1, k + 1))
     counts = [Counter(gram(d, k, order) for d in train for k in range(len(d))) for order in range(1, params.order + 1)]
+    totals = [Counter() for _ in counts]
+    for order in range(3, params.order + 1):
+        for g, c in counts[order - 1].items():
+            if c >= params.least:
+                totals[order - 1][g[:-1]] += middle(c)
     n = sum(counts[0].values())
     below = n + 0.1 * (len(counts[0]) + 1)
-    level = lambda c: float(dequantised(levels_of(np.array([c])))[0]) if c else 0.0
     for i, t, *_ in docs:
         d = split(t)
-        base = [(counts[0][x,] + 0.1) / below for x in d]
-        full, history = base, [len(train), *(counts[0][x,] for x in d[:-1])]
-        for order in range(2, params.order + 1):
-            c = [level(seen if (seen := counts[order - 1][gram(d, k, order)]) >= params.least or order < 3 else 0) for k in range(len(d))]
-            full = [(min(x, h) + params.mass * p) / (h + params.mass) for x, h, p in zip(c, history, full, strict=True)]
-            history = [len(train), *c[:-1]]
-        yield i, len(d), sum(counts[0][x,] > 0 for x in d), n, sum(map(math.log10, base)), sum(map(math.log10, full))
+        base, full = 0.0, 0.0
+        for k, x in enumerate(d):
+            p = (counts[0][x,] + 0.1) / below
+            base += math.log10(p)
+            before = counts[0][d[k - 1],] if k else len(train)
+            p = (min(middle(counts[1][gram(d, k, 2)]), before, counts[0][x,]) + params.mass * p) / (before + params.mass)
+            for order in range(3, params.order + 1):
+                g = gram(d, k, order)
+                if g[:-1] in totals[order - 1]:
+                    total, c = middle_total(totals[order - 1][g[:-1]], params.least), counts[order - 1][g]
+                    p = (min(middle(c) if c >= params.least else 0, total) + params.mass * p) / (total + params.mass)
+            full += math.log10(p)
+        yield i, len(d), sum(counts[0][x,] > 0 for x in d), n, base, full
+
+
+def model_of(spark, texts, params):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    built, shards, totals = build(docs, F.lit(True), params)
+    return Model(built.collect(), shards, params), totals | {"starts": len(texts)}
+
+
+def next_words(model, totals, params, history, words):
+    """Probability of each word, and last of the end, after a history."""
+    data = [" ".join(d).encode() for d in [*([*history, w] for w in words), history]]
+    tok, bounds = tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    found = [model.found(k, tok if k == 1 else ngrams(tok, bounds, k)) for k in range(1, params.order + 1)]
+    return probabilities(tok, bounds, found, totals, params)[1][bounds[:-1] + len(history)]
+
+
+@pytest.mark.parametrize(("order", "least"), [(2, 1), (3, 1), (3, 2), (4, 2)])
+def test_probabilities_add_up(spark, order, least):
+    """After histories with one, few and 400 continuations the words of the vocabulary, the end and what is left for an unknown
+    word add up to 1. A filter of 40 bits an entry leaves the quantisers alone: a pair's count is off by half an octave at most
+    (0.71 to 1.41; "a" has one continuation, so nothing makes it good), a longer history's total by a quarter of one (0.84 to 1.19)."""
+    rng = random.Random(order)
+    words = [f"w{i}" for i in range(400)]
+    texts = [f"a b {w} c" for w in words] + [f"a b {rng.choice(words[:30])} d" for _ in range(600)] + [f"b {w} {w} c a" for w in words[:50]] + ["x y z"] * 9 + ["x y q", "x y q", "p q"]
+    params = LmParams(order=order, least=least, bits=40, probes=20)
+    model, totals = model_of(spark, texts, params)
+    known = sorted({w for t in texts for w in t.split()})
+    sums = {}
+    for history in (["a", "b"], ["b", "w3"], ["w3", "w3"], ["x", "y"], ["p", "q"], ["w300", "c"], ["z", "a"], ["never", "seen"]):
+        sums[tuple(history)] = next_words(model, totals, params, history, [*known, "unseen-word"]).sum()
+    print({h: round(float(x), 3) for h, x in sums.items()})
+    assert all(0.84 < x < 1.19 for h, x in sums.items() if h != ("z", "a")), sums
+    assert 0.7 < sums["z", "a"] < 1.42
+    assert sums["never", "seen"] == pytest.approx(1, abs=1e-6)
 
 
 def test_counts_and_scores(spark, tables, documents):

@@ -5,6 +5,10 @@ of one Bloom filter: an n-gram of count c enters at levels 1 .. 1 + floor(log2 c
 one is absent gives back the quantised count. Scores are hierarchical Dirichlet smoothing over these counts, with exact
 unigram counts at the bottom.
 
+From three words on an n-gram's name begins with its history's, so all continuations of a history meet in one shard. There
+the quantised counts of those that are kept are added up, and this total enters the filter too, in steps of half an octave.
+Scores divide by it, so the probabilities after any history add up to 1 but for the two quantisers and for false positives.
+
 If filter and unigram table stay below ``max_broadcast_mb`` they are broadcast to the workers. Beyond that the same
 slices stay where they are and the documents' distinct probes are shuffled to them and back, with equal results.
 """
@@ -25,12 +29,20 @@ from waymark.llm.common import ByteHash, lowered, mix64, spaces, stored, text_bl
 LOWER, SPACE = lowered(), spaces()
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _hash = ByteHash(11)
+#: The bits of a name that tell the continuations of one history apart, the bits of a name by number of words that are sent,
+#: and the bit that marks a total.
+WORD_BITS, PAIR_BYTES, GRAM_BYTES = np.uint64((1 << 20) - 1), 5, 6
+TOTAL = np.uint64(1 << 50)
+
+
+def _width(kind: int) -> int:
+    return 8 if kind == 1 else PAIR_BYTES if kind == 2 else GRAM_BYTES
 
 
 @dataclass(frozen=True)
 class LmParams:
     """order: longest n-gram (2 or more). least: n-grams of three words or more that occur fewer times are left to the shorter
-    ones, as is usual. mass: Dirichlet weight of the shorter history. bits, probes: filter bits an entry and hash functions
+    ones, and their counts are in no total either. mass: Dirichlet weight of the shorter history. bits, probes: filter bits an entry and hash functions
     a level. shard_mb: text that one shard of the counts stands for."""
 
     order: int = 3
@@ -61,14 +73,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def ngrams(tok: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram of this order that ends at each token; starts of rows are padded."""
-    out = tok.copy()
+    """Name of the n-gram of this order that ends at each token; starts of rows are padded. From three words on the upper 44
+    bits are the history's alone."""
     row_start = np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(1, order):
+    history = np.zeros(len(tok), np.uint64)
+    for back in range(order - 1, 0, -1):
         at = np.arange(len(tok)) - back
         previous = np.where(at >= row_start, tok[np.maximum(at, 0)], START)
-        out = mix64(out * np.uint64(0x100000001B3) + previous + np.uint64(back))
-    return mix64(out + np.uint64(order))
+        history = mix64(history * np.uint64(0x100000001B3) + previous + np.uint64(back))
+    whole = mix64(mix64(history + np.uint64(order)) + tok)
+    return whole if order < 3 else history & ~WORD_BITS | whole & WORD_BITS
 
 
 def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +122,7 @@ def _counter(shards: int, params: LmParams):
                 continue
             h, c = _merged(hs, cs)
             cut = np.searchsorted(h >> shift, np.arange(shards + 1).astype(np.uint64))
-            packed = [_pack(h[a:b], c[a:b], 8 if kind == 1 else 5) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            packed = [_pack(h[a:b], c[a:b], _width(kind)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             at = [i for i, (x, _) in enumerate(packed) if x]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array([packed[i][0] for i in at], pa.binary()), pa.array([packed[i][1] for i in at], pa.binary())], names=["shard", "kind", "hashes", "counts"])
 
@@ -135,6 +149,25 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return (np.frexp(counts.astype(np.float64))[1]).astype(np.int64)
 
 
+def dequantised(level: np.ndarray) -> np.ndarray:
+    """Middle of the counts of a level on the log scale; 0 and 1 are exact."""
+    return np.where(level < 2, level, np.exp2(level.astype(np.float64) - 1) * 1.4142135623730951 - 0.25 * (level == 2))
+
+
+def _smallest_total(least: int) -> float:
+    return float(dequantised(levels_of(np.array([least])))[0])
+
+
+def total_levels(totals: np.ndarray, least: int) -> np.ndarray:
+    """Two levels to the octave, the first one at the smallest total there can be."""
+    return 1 + np.floor(2 * np.log2(totals / _smallest_total(least)) + 1e-9).astype(np.int64)
+
+
+def dequantised_total(level: np.ndarray, least: int) -> np.ndarray:
+    """Middle of a level's totals on the log scale; the first level is nearly always the smallest total itself."""
+    return np.where(level < 2, level, np.exp2((level - 1) / 2 + 0.25)) * _smallest_total(least)
+
+
 def _bit_at(h: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
     x = mix64(h * np.uint64(0x9FB21C651E98DF25) + np.uint64(level * 64 + probe + 1))
     return (x % size).astype(np.int64) if np.isscalar(size) else (x % size.astype(np.uint64)).astype(np.int64)
@@ -147,12 +180,16 @@ def _shard_builder(shards: int, params: LmParams):
         shard = int(key[0])
         uni_h, uni_c, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for kind, part in frame.groupby("kind"):
-            h, c = _merged([_unpack(x, 8 if kind == 1 else 5) for x in part["hashes"]], [np.frombuffer(x, np.uint8).astype(np.int64) for x in part["counts"]])
+            h, c = _merged([_unpack(x, _width(kind)) for x in part["hashes"]], [np.frombuffer(x, np.uint8).astype(np.int64) for x in part["counts"]])
             if kind == 1:
                 uni_h, uni_c = h, c
-            else:
-                kept = c >= (params.least if kind > 2 else 1)
-                grams.append((h[kept], levels_of(c[kept])))
+            elif kind == 2:
+                grams.append((h, levels_of(c)))
+            elif (c >= params.least).any():
+                h, q = h[c >= params.least], levels_of(c[c >= params.least])
+                history = h & ~WORD_BITS
+                first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
+                grams += [(h, q), (history[first] | TOTAL, total_levels(np.add.reduceat(dequantised(q), first), params.least))]
         entries = sum(int(q.sum()) for _, q in grams)
         size = max(64, -(-entries * params.bits // 8) * 8)
         bits = np.zeros(size, bool)
@@ -208,12 +245,25 @@ class Model:
         count[large] = self.many[np.searchsorted(self.many_at, at[large])]
         return np.where(self.uni_h[at] == h, count, 0)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts: the highest level up to which every level's probes are all set."""
+    def found(self, kind: int, h: np.ndarray) -> np.ndarray:
+        """What is known of n-grams of this many words: exact counts; levels; from three words on levels, and 256 times the
+        level of the history's total."""
+        if kind == 1:
+            return self.unigrams(h)
+        if kind == 2:
+            return self.levels(h, h & np.uint64((1 << 8 * PAIR_BYTES) - 1)).astype(np.int64)
+        whole = np.uint64((1 << 8 * GRAM_BYTES) - 1)
+        histories, at = np.unique(h & ~WORD_BITS, return_inverse=True)
+        total = self.levels(histories, histories & whole | TOTAL).astype(np.int64)[at]
+        level, known = np.zeros(len(h), np.int64), np.flatnonzero(total)
+        level[known] = self.levels(h[known], h[known] & whole)
+        return level + 256 * total
+
+    def levels(self, h: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Quantised counts of names whose shard is that of ``h``: the highest level up to which every level's probes are set."""
         out = np.zeros(len(h), np.uint8)
         shard = (h >> self.shift).astype(np.int64)
         live = np.flatnonzero(self.sizes[shard] > 0)
-        low = h & np.uint64((1 << 40) - 1)
         level = 0
         while len(live):
             level += 1
@@ -228,27 +278,33 @@ class Model:
         return out
 
 
-def dequantised(level: np.ndarray) -> np.ndarray:
-    """Middle of the counts of a level on the log scale; 0 and 1 are exact."""
-    return np.where(level < 2, level, np.exp2(level.astype(np.float64) - 1) * 1.4142135623730951 - 0.25 * (level == 2))
+def probabilities(tok: np.ndarray, bounds: np.ndarray, found: list[np.ndarray], totals: dict, params: LmParams) -> tuple[np.ndarray, np.ndarray]:
+    """Base and smoothed probability of each token. found: for 1, 2, .. words what ``Model.found`` says of each token's n-gram.
 
-
-def _scores(tok: np.ndarray, bounds: np.ndarray, uni: np.ndarray, grams: list[np.ndarray], totals: dict, params: LmParams) -> dict:
+    A pair is counted at most as often as its words are; longer n-grams need the shorter one and their history's total.
+    """
+    uni, first = found[0], bounds[:-1]
+    base = p = (uni + 0.1) / (totals["n"] + 0.1 * (totals["v"] + 1))
+    seen = uni
+    for order, level in enumerate(found[1:], 2):
+        if order == 2:
+            below = np.empty(len(tok), np.float64)
+            below[1:], below[first] = uni[:-1], int(totals["starts"])
+            c = np.minimum(dequantised(level), uni)
+        else:
+            level, total = level % 256, level // 256
+            below = dequantised_total(total, params.least)
+            c = np.where((seen > 0) & (level >= levels_of(np.array(params.least))), dequantised(level), 0)
+        p = (np.minimum(c, below) + params.mass * p) / (below + params.mass)
+        seen = c
+    return base, p
+
+
+def _scores(tok: np.ndarray, bounds: np.ndarray, found: list[np.ndarray], totals: dict, params: LmParams) -> dict:
     """Row sums of the base and the smoothed log probabilities."""
-    below = totals["n"] + 0.1 * (totals["v"] + 1)
-    first = bounds[:-1]
-    p = (uni + 0.1) / below
-    sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-    base = sums(np.log10(p))
-    starts = int(totals["starts"])
-    history = np.empty(len(tok), np.float64)
-    history[1:], history[first] = uni[:-1], starts
-    for quantised in grams:
-        c = dequantised(quantised)
-        p = (np.minimum(c, history) + params.mass * p) / (history + params.mass)
-        history = np.empty(len(tok), np.float64)
-        history[1:], history[first] = c[:-1], starts
-    return {"n_tokens": np.diff(bounds), "n_known": sums((uni > 0).astype(np.int64)), "base_score": base, "score": sums(np.log10(p))}
+    base, p = probabilities(tok, bounds, found, totals, params)
+    sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+    return {"n_tokens": np.diff(bounds), "n_known": sums((found[0] > 0).astype(np.int64)), "base_score": sums(np.log10(base)), "score": sums(np.log10(p))}
 
 
 def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> DataFrame:
@@ -279,8 +335,8 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
                 for first, end, data, offsets in text_blocks(batch, "text"):
                     tok, bounds = tokens(data, offsets)
                     names, at = np.unique(tok, return_inverse=True)
-                    grams = [model.value.levels(ngrams(tok, bounds, k)) for k in range(2, params.order + 1)]
-                    yield rows(batch, first, end, _scores(tok, bounds, model.value.unigrams(names)[at], grams, totals, params))
+                    found = [model.value.found(1, names)[at]] + [model.value.found(k, ngrams(tok, bounds, k)) for k in range(2, params.order + 1)]
+                    yield rows(batch, first, end, _scores(tok, bounds, found, totals, params))
 
         return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, out)
     return _score_exchanged(docs, built, shards, totals, params, rows, out)
@@ -323,19 +379,19 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
         found = []
         for k, raw in zip(asked["kind"], asked["hashes"], strict=True):
             h = np.frombuffer(raw, np.uint64)
-            found.append((model.unigrams(h).astype("<i8") if k == 1 else model.levels(h)).tobytes())
+            found.append(model.found(k, h).astype("<i8" if k == 1 else "<u2").tobytes())
         return asked[["block", "kind", "shard"]].assign(found=found)
 
     def finish(key, frame, answers):
         told = {(k, i): raw for k, i, raw in zip(answers["kind"], answers["shard"], answers["found"], strict=True)}
         tables = {}
         for k, h in asked_by(frame).items():
-            value = [np.frombuffer(told[k, i], "<i8" if k == 1 else np.uint8) for i, (a, b) in enumerate(cuts(h)) if a < b]
+            value = [np.frombuffer(told[k, i], "<i8" if k == 1 else "<u2") for i, (a, b) in enumerate(cuts(h)) if a < b]
             tables[k] = h, np.concatenate(value).astype(np.int64)
         done = []
         for batch, first, end, tok, bounds, kinds in parts(frame):
             value = {k: tables[k][1][np.searchsorted(tables[k][0], h)] for k, h in kinds.items()}
-            done.append(rows(batch, first, end, _scores(tok, bounds, value[1], [value[k] for k in range(2, params.order + 1)], totals, params)).to_pandas())
+            done.append(rows(batch, first, end, _scores(tok, bounds, [value[k] for k in range(1, params.order + 1)], totals, params)).to_pandas())
         return pd.concat(done) if done else pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
 
     asked = placed.groupBy("block").applyInPandas(ask, "block long, kind int, shard int, hashes binary")
