@@ -9,7 +9,7 @@ import numpy as np
 
 from waymark.llm.license_scan import NOTICES, LicenseParams, Scanner, scan
 from waymark.llm.queries import op7_license_scan
-from waymark.llm.words import WordBlock
+from waymark.llm.words import WordBlock, rare_pieces
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -100,3 +100,29 @@ def test_fuzzy_labels_equal_all_word_spans():
         assert found == best, text
         hits += bool(best)
     assert 50 < hits < 240
+
+
+def test_pieces_are_cut_where_they_are_rare():
+    """Pieces are disjoint and cover the notice whatever text is shown; frequent words are cut through or joined to others."""
+    for phrase, _ in NOTICES:
+        for shown in (b"", b"under the mit license " * 9, b"the the the by by version 2 of 2 "):
+            cut = rare_pieces(phrase, -int(-len(phrase) * 0.1 // 1), shown)
+            assert b"".join(piece for _, piece in cut).decode() == phrase
+            assert [at for at, _ in cut] == [sum(len(p) for _, p in cut[:k]) for k in range(len(cut))]
+            assert len(cut) == 1 - int(-len(phrase) * 0.1 // 1) and min(len(p) for _, p in cut) >= len(phrase) // len(cut) - 2
+    shown = b"from the house to the river under a bridge; and the sun"
+    assert sum(shown.count(p) for _, p in rare_pieces("under the mit license", 3, shown)) <= 1
+    assert rare_pieces("é√é√", 1, b"") == [(0, "é√".encode()), (5, "é√".encode())]
+
+
+def test_any_cut_finds_the_same():
+    """Texts full of a notice's words, scanned with cuts chosen on each of several texts."""
+    rng = random.Random(4)
+    words = ["under", "the", "mit", "license", "licence", "mt", "teh", "apache", "version", "2", "cc", "by", "nc", "n"]
+    text = " ".join(rng.choice(words) for _ in range(6000)).encode()
+    found = []
+    for first in (b"a", text, b"under the mit license cc by nc apache license version 2"):
+        scanner = Scanner(LicenseParams())
+        scanner.fuzzy(WordBlock(np.frombuffer(first, np.uint8), np.array([0, len(first)])))
+        found.append({(row, label, start) for row, start, _, label, *_ in scanner.fuzzy(WordBlock(np.frombuffer(text, np.uint8), np.array([0, len(text)])))})
+    assert found[0] == found[1] == found[2] and found[0]

@@ -1,7 +1,8 @@
 """Fuzzy search for short licence notices.
 
 Each notice is split into one piece more than it may have errors; exact hits of the pieces are the candidates, and the
-``regex`` library's bounded-error matching verifies them and gives the edits and the span.
+``regex`` library's bounded-error matching verifies them and gives the edits and the span. Any cut finds the same notices;
+each task cuts where the pieces are rarest in the first text that it sees.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import text_blocks
-from waymark.llm.words import WordBlock, pieces, places
+from waymark.llm.words import WordBlock, places, rare_pieces
 
 #: Notices and their labels.
 NOTICES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
+#: Bytes of text that choose the cuts of the notices: they steer work, not results.
+SHOWN = 1 << 18
+
+
 @dataclass(frozen=True)
 class LicenseParams:
     """share: errors allowed for each character of a notice, rounded up."""
@@ -35,8 +40,9 @@ class Scanner:
         self.notices = []
         for phrase, label in params.notices:
             errors = min(len(phrase) - 1, -int(-len(phrase) * params.share // 1))
-            fuzzy = regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={errors}}}")
-            self.notices.append((phrase, label, errors, [(at, piece.encode()) for at, piece in pieces(phrase, errors)], fuzzy))
+            near = rf"(?:{regex.escape(phrase)}){{e<={errors}}}"
+            self.notices.append((phrase, label, errors, regex.compile(near), regex.compile(f"(?b){near}")))
+        self.seeds: list[list[tuple[int, bytes]]] | None = None
 
     def exact(self, block: WordBlock) -> list[tuple[int, int, str]]:
         """(row, start word, label) where a notice's words stand consecutively."""
@@ -52,28 +58,47 @@ class Scanner:
     def fuzzy(self, block: WordBlock) -> list[tuple[int, int, int, str, int, float]]:
         """(row, start word, end word, label, edits, similarity) of each verified candidate."""
         out, text = {}, block.text
-        for phrase, label, errors, seeds, match in self.notices:
+        if self.seeds is None:
+            self.seeds = [rare_pieces(phrase, errors, text[:SHOWN]) for phrase, _, errors, *_ in self.notices]
+        for (phrase, label, errors, plain, match), seeds in zip(self.notices, self.seeds, strict=True):
             size, reach = len(phrase.encode()), 4 * errors
             begins = sorted({p - at for at, seed in seeds for p in places(text, seed)})
-            for begin in begins:
-                row = block.row_of(max(0, min(begin + size // 2, len(text) - 1)))
-                low, high = int(block.bounds[row]), int(block.bounds[row + 1])
-                a, b = max(low, begin - reach - 1), min(high, begin + size + reach + 2)
+            for row, low, high, near in self._neighbours(block, begins, size, reach):
+                a, b = max(low, near[0] - reach - 1), min(high, near[-1] + size + reach + 2)
                 while a > low and text[a] & 0xC0 == 0x80:
                     a -= 1
                 while b < high and text[b] & 0xC0 == 0x80:
                     b += 1
-                if not match.search(text[a:b].decode()):
+                if not plain.search(text[a:b].decode()):
                     continue
-                found = self._whole_words(block, begin, begin + size, reach, (low, high), len(phrase), errors, match)
-                if found:
-                    edits, start, end = found
-                    first, last = block.word_of(start, row), block.word_of(end, row)
-                    key = row, first, label
-                    if key not in out or out[key][4] > edits:
-                        out[key] = row, first, last, label, edits, 1 - edits / len(phrase)
+                for begin in near:
+                    found = self._whole_words(block, begin, begin + size, reach, (low, high), len(phrase), errors, match)
+                    if found:
+                        edits, start, end = found
+                        first, last = block.word_of(start, row), block.word_of(end, row)
+                        key = row, first, label
+                        if key not in out or out[key][4] > edits:
+                            out[key] = row, first, last, label, edits, 1 - edits / len(phrase)
         return list(out.values())
 
+    @staticmethod
+    def _neighbours(block: WordBlock, begins: list[int], size: int, reach: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(row, its bounds, candidates) of candidates of one row whose windows meet: what no search finds in the whole, it
+        finds in no part."""
+        near: list[int] = []
+        here = (-1, 0, 0)
+        for begin in begins:
+            middle = max(0, min(begin + size // 2, len(block.text) - 1))
+            if near and middle < here[2] and begin - near[-1] <= size + 2 * reach:
+                near.append(begin)
+                continue
+            if near:
+                yield *here, near
+            row = block.row_of(middle)
+            here, near = (row, int(block.bounds[row]), int(block.bounds[row + 1])), [begin]
+        if near:
+            yield *here, near
+
     @staticmethod
     def _whole_words(block: WordBlock, begin: int, end: int, reach: int, row: tuple[int, int], length: int, errors: int, match: regex.Pattern) -> tuple[int, int, int] | None:
         """(edits, start, end) of the run of whole words near a candidate that matches with the fewest edits, if any does."""

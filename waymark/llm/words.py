@@ -66,3 +66,27 @@ def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     n = errors + 1
     cuts = [len(text) * i // n for i in range(n + 1)]
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def rare_pieces(text: str, errors: int, shown: bytes) -> list[tuple[int, bytes]]:
+    """errors + 1 pieces with their offsets in bytes, cut so that they occur least often in what is shown, all together.
+
+    Pieces are at most two characters shorter than equal ones; of equally rare cuts the one with the longer shortest piece is taken.
+    """
+    n, size = errors + 1, len(text)
+    least = max(1, size // n - 2)
+    counts: dict[str, int] = {}
+
+    def hits(piece: str) -> int:
+        if piece not in counts:
+            counts[piece] = shown.count(piece.encode())
+        return counts[piece]
+
+    best = {(0, 0): (0, 0, ())}  # (end, pieces so far): hits, minus the shortest length, cuts
+    for k in range(1, n + 1):
+        for end in range(k * least, size - (n - k) * least + 1 if k < n else size + 1):
+            ways = [(cost + hits(text[at:end]), max(short, at - end) if k > 1 else at - end, (*cuts, at)) for (at, j), (cost, short, cuts) in best.items() if j == k - 1 and end - at >= least]
+            if ways:
+                best[end, k] = min(ways)
+    cuts = [*best[size, n][2], size]
+    return [(len(text[:a].encode()), text[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
