@@ -10,11 +10,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.common import in_fold
-from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, build, ngrams, probabilities, score, tokens
+from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, build, ngrams, probabilities, score, token_blocks, tokens
 from waymark.llm.queries import op3_lm_scoring
 
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -148,3 +149,23 @@ def test_counts_above_four_bytes():
     known = np.array([7, 9, 11, 13], np.uint64)
     model = Model([{"shard": 0, "uni_h": known.tobytes(), "uni_c": bytes([255, 254, 255, 1]), "many": np.array([many, 255]).tobytes(), "bits": b"", "n_bits": 0}], 16, LmParams())
     assert model.unigrams(np.array([7, 8, 9, 11, 13, 14], np.uint64)).tolist() == [many, 0, 254, 255, 1, 0]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("limit", [3, 7, 40, 1000])
+def test_long_rows_in_pieces(order, limit):
+    """The n-grams of the pieces of a row, without what only stands for what comes before, are those of the whole row."""
+    rng = random.Random(limit)
+    rows = [b"", b"   ", b"one", b"x" * 60, b" lead and trail  ", *(b"".join(rng.choice([b" ", b"\n\t", b"a", b"bc", b"\xc3\xa4", b" w "]) for _ in range(rng.randint(0, 200))) for _ in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["text"])
+    for k in range(1, order + 1):
+        name = lambda tok, bounds, k=k: tok if k == 1 else ngrams(tok, bounds, k)
+        pieces = [[] for _ in rows]
+        ended = []
+        for first, end, tok, bounds, skip, last in token_blocks(batch, order, limit):
+            for row in range(first, end):
+                a, b = bounds[row - first], bounds[row - first + 1]
+                pieces[row] += name(tok, bounds)[a + (skip if row == first else 0) : b].tolist()
+            ended += [row for row in range(first, end) if last]
+        whole = [name(*tokens(np.frombuffer(r, np.uint8), np.array([0, len(r)]))).tolist() for r in rows]
+        assert pieces == whole and ended == list(range(len(rows)))

@@ -72,6 +72,30 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, bounds
 
 
+def token_blocks(batch: pa.RecordBatch, order: int, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
+    """Tokens of runs of rows of about ``limit`` bytes: first row, end row, tokens, their offsets by row, how many leading
+    tokens only stand for what comes before, and whether the rows end here.
+
+    A row longer than ``limit`` comes in several pieces, cut at white space; each but the first begins with the last order - 1
+    tokens before it, so that its n-grams are those of the whole row.
+    """
+    for first, end, data, offsets in text_blocks(batch, "text", limit):
+        if len(data) <= limit or end - first > 1:
+            yield first, end, *tokens(data, offsets), 0, True
+            continue
+        before, start = np.zeros(0, np.uint64), 0
+        while start < len(data):
+            stop = start + limit
+            while stop < len(data) and not (space := SPACE[data[stop : stop + limit]]).any():
+                stop += limit
+            stop = min(len(data), stop + int(space.argmax()) + 1) if stop < len(data) else len(data)
+            tok, _ = tokens(data[start:stop], np.array([0, stop - start]))
+            tok = np.concatenate([before, tok if stop == len(data) else tok[:-1]])
+            if len(tok):
+                yield first, end, tok, np.array([0, len(tok)]), len(before), stop == len(data)
+            before, start = tok[max(0, len(tok) - order + 1) :], stop
+
+
 def ngrams(tok: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     """Name of the n-gram of this order that ends at each token; starts of rows are padded. From three words on the upper 44
     bits are the history's alone."""
@@ -130,10 +154,9 @@ def _counter(shards: int, params: LmParams):
         kinds = {k: ([], []) for k in range(1, params.order + 1)}
         held = 0
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch, "text"):
-                tok, bounds = tokens(data, offsets)
+            for _, _, tok, bounds, skip, _ in token_blocks(batch, params.order):
                 for k, (hs, cs) in kinds.items():
-                    h, c = np.unique(tok if k == 1 else ngrams(tok, bounds, k), return_counts=True)
+                    h, c = np.unique((tok if k == 1 else ngrams(tok, bounds, k))[skip:], return_counts=True)
                     hs.append(h)
                     cs.append(c)
                     held += len(h)
@@ -300,18 +323,29 @@ def probabilities(tok: np.ndarray, bounds: np.ndarray, found: list[np.ndarray],
     return base, p
 
 
-def _scores(tok: np.ndarray, bounds: np.ndarray, found: list[np.ndarray], totals: dict, params: LmParams) -> dict:
-    """Row sums of the base and the smoothed log probabilities."""
-    base, p = probabilities(tok, bounds, found, totals, params)
-    sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
-    return {"n_tokens": np.diff(bounds), "n_known": sums((found[0] > 0).astype(np.int64)), "base_score": sums(np.log10(base)), "score": sums(np.log10(p))}
+class _Sums:
+    """Row sums of the base and the smoothed log probabilities, over the pieces of a long row."""
+
+    def __init__(self, totals: dict, params: LmParams):
+        self.totals, self.params = totals, params
+        self.held: list[np.ndarray] = []
+
+    def add(self, tok: np.ndarray, bounds: np.ndarray, skip: int, found: list[np.ndarray]) -> None:
+        base, p = probabilities(tok, bounds, found, self.totals, self.params)
+        each = np.stack([np.ones(len(tok)), found[0] > 0, np.log10(base), np.log10(p)])
+        each[:, :skip] = 0
+        self.held.append(np.add.reduceat(each, bounds[:-1], axis=1))
+
+    def done(self) -> dict:
+        sums, self.held = sum(self.held), []
+        return {"n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]}
 
 
 def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> DataFrame:
     """Log10 probability of every row's whole text under a model of the training rows.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text is one end token. Repeated rows are each
-    counted and scored. With no training rows every token has the probability that
+    counted and scored. Texts over half a megabyte are taken in pieces, with the result of the whole. With no training rows every token has the probability that
     the formula then gives, 0.1 / 0.1. Returns doc_id, training, n_tokens, n_known,
     train_tokens, base_score (add-0.1 unigram) and score (the smoothed model).
     """
@@ -325,18 +359,19 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
     def rows(batch, first, end, found):
         names = ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         ids = [batch.column(batch.schema.get_field_index(c)).slice(first, end - first) for c in names[:2]]
-        return pa.RecordBatch.from_arrays([ids[0].cast(pa.int64()), ids[1], pa.array(found["n_tokens"], pa.int64()), pa.array(found["n_known"].astype(np.int64)), pa.array(np.full(end - first, trained, np.int64)), pa.array(found["base_score"]), pa.array(found["score"])], names=names)
+        return pa.RecordBatch.from_arrays([ids[0].cast(pa.int64()), ids[1], pa.array(found["n_tokens"], pa.int64()), pa.array(found["n_known"]), pa.array(np.full(end - first, trained, np.int64)), pa.array(found["base_score"]), pa.array(found["score"])], names=names)
 
     if totals["bytes"] <= params.max_broadcast_mb << 20:
         model = spark.sparkContext.broadcast(Model(list(built.toLocalIterator()), shards, params))  # shard by shard, to keep the driver small
 
         def run(batches):
+            sums = _Sums(totals, params)
             for batch in batches:
-                for first, end, data, offsets in text_blocks(batch, "text"):
-                    tok, bounds = tokens(data, offsets)
+                for first, end, tok, bounds, skip, last in token_blocks(batch, params.order):
                     names, at = np.unique(tok, return_inverse=True)
-                    found = [model.value.found(1, names)[at]] + [model.value.found(k, ngrams(tok, bounds, k)) for k in range(2, params.order + 1)]
-                    yield rows(batch, first, end, _scores(tok, bounds, found, totals, params))
+                    sums.add(tok, bounds, skip, [model.value.found(1, names)[at]] + [model.value.found(k, ngrams(tok, bounds, k)) for k in range(2, params.order + 1)])
+                    if last:
+                        yield rows(batch, first, end, sums.done())
 
         return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, out)
     return _score_exchanged(docs, built, shards, totals, params, rows, out)
@@ -352,9 +387,8 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
 
     def parts(frame):
         batch = pa.RecordBatch.from_pandas(frame[["doc_id", "training", "text"]].sort_values(["doc_id", "text"], kind="stable"), preserve_index=False, schema=pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("text", pa.large_binary())]))
-        for first, end, data, offsets in text_blocks(batch, "text"):
-            tok, bounds = tokens(data, offsets)
-            yield batch, first, end, tok, bounds, {1: tok} | {k: ngrams(tok, bounds, k) for k in range(2, params.order + 1)}
+        for first, end, tok, bounds, skip, last in token_blocks(batch, params.order):
+            yield batch, first, end, tok, bounds, skip, last, {1: tok} | {k: ngrams(tok, bounds, k) for k in range(2, params.order + 1)}
 
     def ask(key, frame):
         sent = []
@@ -388,10 +422,12 @@ def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFram
         for k, h in asked_by(frame).items():
             value = [np.frombuffer(told[k, i], "<i8" if k == 1 else "<u2") for i, (a, b) in enumerate(cuts(h)) if a < b]
             tables[k] = h, np.concatenate(value).astype(np.int64)
-        done = []
-        for batch, first, end, tok, bounds, kinds in parts(frame):
+        done, sums = [], _Sums(totals, params)
+        for batch, first, end, tok, bounds, skip, last, kinds in parts(frame):
             value = {k: tables[k][1][np.searchsorted(tables[k][0], h)] for k, h in kinds.items()}
-            done.append(rows(batch, first, end, _scores(tok, bounds, [value[k] for k in range(1, params.order + 1)], totals, params)).to_pandas())
+            sums.add(tok, bounds, skip, [value[k] for k in range(1, params.order + 1)])
+            if last:
+                done.append(rows(batch, first, end, sums.done()).to_pandas())
         return pd.concat(done) if done else pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
 
     asked = placed.groupBy("block").applyInPandas(ask, "block long, kind int, shard int, hashes binary")
