@@ -17,6 +17,7 @@ from waymark.functions import scalar
 from waymark.operators import candidates as cand
 from waymark.operators import identity, matching, network, reports, routes, tracks
 from waymark.operators import visits as vis
+from waymark.operators.nearest import nearest
 from waymark.plans.config import SiteParams, VisitParams
 from waymark.session import attach, saved, shared_path
 from waymark.sources import files
@@ -290,7 +291,7 @@ def match_parts(spark, sf):
 def nearest_tracks(spark, sf):
     """The nearest of all other vectors to each vector whose id is divisible by 100."""
     rows = Site(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
-    return tracks.nearest_other(rows.where(F.col("id") % 100 == 0), rows.withColumnRenamed("id", "ref_id")).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
+    return nearest(rows.where(F.col("id") % 100 == 0), rows.withColumnRenamed("id", "ref_id")).select("id", "ref_id", F.col("similarity").cast("decimal(18,6)").cast("double").alias("similarity"))
 
 
 def half_match(spark, sf):
