@@ -104,6 +104,31 @@ def test_parts_hold_the_links_of_one_sequence(spark, seed, batch_s, cell_s, topo
     assert {r["site"] for r in sizes} == {"s", "t"} and all(r["parts"] > 2 and r["largest"] < r["tracks"] == 160 for r in sizes)
 
 
+def test_few_identities_are_weighed_one_by_one(monkeypatch):
+    """Tracks that look ahead together get the links of one sequence, and are weighed against few identities (before: all)."""
+
+    class Counting(matching.Gate):
+        weighed = 0
+
+        def allows(self, earlier, later, gaps):
+            Counting.weighed += len(gaps)
+            return super().allows(earlier, later, gaps)
+
+    rng, params = np.random.default_rng(4), matching.MatchParams(max_dist=0.6, batch_s=0.0, horizon_s=1e6)
+    emb = rng.normal(size=(1200, 64))
+    emb[600:900] += 2 * emb[:300]
+    emb /= np.linalg.norm(emb, axis=1, keepdims=True)
+    emb[7], emb[8] = 0.0, np.nan
+    rows = [("s", i, f"C{i % 3}", float(i // 2), float(i // 2) + i % 5, x) for i, x in enumerate(emb)]
+    batches = {t: [(f"{r[2]}/{r[1]}", *r[2:]) for r in batch] for t, batch in itertools.groupby(sorted(rows, key=lambda r: (r[3], r[2])), key=lambda r: r[3])}
+    monkeypatch.setattr(matching, "AHEAD", 50)
+    monkeypatch.setattr(matching, "ACROSS", 70)
+    found = [x for taken in matching.Gallery(Counting(None, params), 0.6).run(batches.items()) for x in taken]
+    keys = [("s", track[1], int(track[0].split("/")[1])) for batch in batches.values() for track in batch]
+    same(dict(zip(keys, found, strict=True)), one_sequence(rows, None, params))
+    assert sum(d is not None for _, d in found) > 250 and Counting.weighed < 10 * len(rows)
+
+
 def test_batches_are_those_of_one_pass(spark):
     rng = np.random.default_rng(5)
     rows = [(s, i, "C", float(t), float(t), [1.0]) for s in ("a", "b", None) for i, t in enumerate(np.round(np.cumsum(rng.exponential(2.0, 300)) - 50, 1))]

@@ -42,17 +42,17 @@ class SiteGallery(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         waiting = in_order([dict(zip(COLUMNS, row, strict=True)) for row in self.waiting.get()])
         gallery = Gallery(self.gate, self.params.max_dist, [Identity(r[0], np.array(r[1]), r[2], r[3]) for r in self.known.get()])
-        done = 0
+        batches, done = [], 0
         while done < len(waiting) and after(waiting[done]["start_time"] + self.params.batch_s) <= passed:
-            anchor = waiting[done]["start_time"]
-            end = done
+            anchor, end = waiting[done]["start_time"], done
             while end < len(waiting) and waiting[end]["start_time"] <= anchor + self.params.batch_s:
                 end += 1
-            gallery.forget(anchor)
-            batch = waiting[done:end]
-            for row, (name, dist) in zip(batch, gallery.take([as_track(r) for r in batch]), strict=True):
-                yield Row(site=key[0], **{c: row[c] for c in COLUMNS[:4]}, global_id=name, match_dist=dist)
+            batches.append((anchor, waiting[done:end]))
             done = end
+        found = gallery.run((anchor, [as_track(r) for r in batch]) for anchor, batch in batches)
+        for (_, batch), taken in zip(batches, found, strict=True):
+            for row, (name, dist) in zip(batch, taken, strict=True):
+                yield Row(site=key[0], **{c: row[c] for c in COLUMNS[:4]}, global_id=name, match_dist=dist)
         gallery.forget(passed / 1000, now=True)
         known = gallery.known()
         self._put(self.waiting, [tuple(row[c] for c in COLUMNS) for row in waiting[done:]])
