@@ -185,6 +185,26 @@ def test_gate_keeps_the_longest_gaps_allowed(spark, sf_dir):
     assert max(r["gap"] for r in found) > 129600
 
 
+def test_pairs_meet_in_blocks(spark, monkeypatch):
+    """Small blocks, overlapping intervals, gaps at their ends, a repeated row, vectors that are null, short or have a hole (before:
+    all pairs shuffled to be made distinct and to fetch their vectors)."""
+    monkeypatch.setattr(tracks, "EARLY", 3)
+    monkeypatch.setattr(tracks, "LATE", 4)
+    rng = np.random.default_rng(11)
+    rows = [(i, f"C{i % 2}", float(t), float(t + i % 3), [float(x) for x in v]) for i, (t, v) in enumerate(zip(rng.integers(0, 60, 40), rng.normal(size=(40, 3)), strict=True))]
+    rows[3], rows[4], rows[5] = (*rows[3][:4], None), (*rows[4][:4], [1.0]), (*rows[5][:4], [1.0, None, 0.0])
+    gaps = [("C0", "C1", 0.0, 20.0), ("C0", "C1", 10.0, 30.0), ("C1", "C1", -9.0, 3.0), ("C1", "C0", 50.0, 90.0)]
+    wanted = {}
+    for i, a, _, end, x in rows:
+        for j, b, start, _, y in rows:
+            if i != j and any(p == a and q == b and lo <= start - end <= min(hi, 55.0) for p, q, lo, hi in gaps):
+                whole = x and y and len(x) == len(y) and None not in x + y
+                wanted[i, j] = (start - end, pytest.approx(1 - float(np.dot(x, y))) if whole else None)
+    df = spark.createDataFrame([*rows, rows[0]], "track_id long, camera_id string, start_time double, end_time double, emb array<double>")
+    found = tracks.allowed_pairs(df, spark.createDataFrame(gaps, "cam_a string, cam_b string, lo double, hi double"), 55.0).collect()
+    assert {(r["track_a"], r["track_b"]): (r["gap"], r["distance"]) for r in found} == wanted and len(found) == len(wanted) > 100
+
+
 @pytest.mark.parametrize("grain", [1.0, 50.0, 1e6])
 def test_pairs_are_counted_without_being_made(spark, grain):
     """Overlapping intervals, gaps at their ends, a track that its own camera's interval would count."""
