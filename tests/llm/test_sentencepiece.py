@@ -62,3 +62,14 @@ def test_ids_column(spark, tables, library):
     rows = {r["doc_id"]: r for r in encoded(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_file(NAME)).collect()}
     assert rows[1]["ids"] == library.encode("Some words, twice.") and rows[1]["decoded"] == "Some words, twice."
     assert rows[2]["ids"] == [] and rows[2]["decoded"] == ""
+
+
+def test_memo_is_bounded_for_a_worker(library):
+    """Workers keep the memo for later tasks of any operator: it holds 150,000 units (before: 600,000), and ids stay exact beyond."""
+    codec = MergeCodec(tokenizer_file(NAME))
+    words = [f"w{i:x}" for i in range(160_000)]
+    for at in range(0, len(words), 10_000):
+        codec.digest(" ".join(words[at : at + 10_000]))
+    assert len(codec.memo) <= 150_000
+    text = " ".join(words[-200:])
+    assert codec.digest(text)[:2] == (len(ids := library.encode(text)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

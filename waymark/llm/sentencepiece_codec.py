@@ -4,8 +4,8 @@ The text is cut where no piece can reach across: before each run of word separat
 else. For every prefix of a unit the table stores the one token that the prefix's encoding ends with: of the pieces that an
 automaton finds to end there, the one that is compatible with the last token of what stands before it. Two tokens are
 compatible if the merge rules, applied to the two alone, leave them apart; a sequence whose neighbours are all compatible
-is the encoding. The ids are then read from the table backwards. Units are memoised in a table of bounded size per worker;
-once it is full it stays as it is, since frequent units come early.
+is the encoding. The ids are then read from the table backwards. Units are memoised in a table of bounded size per worker,
+which keeps it for later tasks; once it is full it stays as it is, since frequent units come early.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SPACE = "▁"
 class MergeCodec:
     """Encoder and decoder of one model; needs no SentencePiece code at run time beyond reading the model's pieces."""
 
-    def __init__(self, model: bytes, memo: int = 600_000):
+    def __init__(self, model: bytes, memo: int = 150_000):
         from sentencepiece import sentencepiece_model_pb2 as spec
 
         proto = spec.ModelProto()
