@@ -146,6 +146,7 @@ def test_gates_join_their_intervals():
     gate = matching.Gate([("a", "b", 5.0, 9.0), ("a", "b", 0.0, 5.0), ("a", "b", 20.0, 21.0), ("c", "b", 8.0, 12.0), ("a", "b", 3.0, 2.0)], matching.MatchParams())
     assert gate.allows("a", "b", np.array([-0.1, 0.0, 7.0, 9.0, 9.1, 20.5, 21.1])).tolist() == [False, True, True, True, False, True, False]
     assert gate.allows("c", "b", np.array([11.0, 1.0])).tolist() == [True, False] and not gate.allows("b", "b", np.zeros(1)).any() and gate.reach == 21.0 and gate.into([]) == [("b", 0.0, 12.0), ("b", 20.0, 21.0)]
+    assert gate.allows((("c", "a", "b"), np.array([0, 1, 1, 2, 1])), "b", np.array([11.0, 11.0, 20.5, 5.0, np.nan])).tolist() == [True, False, True, False, False]
 
 
 def test_parts_of_the_tree_of_links(spark):

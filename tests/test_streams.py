@@ -13,6 +13,7 @@ from waymark.operators.candidates import incident_candidates
 from waymark.plans.config import VisitParams
 from waymark.session import saved
 from waymark.sources.graph import graph_of
+from waymark.streaming import state
 from waymark.streaming.candidates import CandidateUpkeep, UpkeepParams
 from waymark.streaming.gallery import matched_stream
 from waymark.streaming.visits import extended, repaired, visit_stream
@@ -77,6 +78,25 @@ def test_stream_of_tracks_gives_the_identities_of_the_batch(spark, tmp_path, see
     assert feed.state("waiting").count() == 1
 
 
+def test_waiting_tracks_are_stored_in_blocks(spark, tmp_path):
+    """Not each by itself (before: 90 values); what waits over a restart, with no number in its vector, is what it was."""
+    rows, params = random_rows(23, n=45, sites=("s", "t")), matching.MatchParams(batch_s=0.0)
+    rows[3] = (*rows[3][:5], [None, *rows[3][5][1:]])
+    feed = Feed(spark, tmp_path, SCHEMA, lambda stream: matched_stream(stream, matching.Gate(None, params), params, "1 day"))
+    feed.give(rows)
+    assert feed.sent() == [] and feed.state("waiting").count() == 2
+    feed.give([("u", 1, "C1", max(r[3] for r in rows) + 1e6, 0.0, [1.0, 0.0, 0.0, 0.0])])
+    wanted = one_sequence([(*r[:5], [float("nan") if x is None else x for x in r[5]]) for r in rows], None, params)
+    same({(r["site"], r["camera_id"], r["track_id"]): (r["global_id"], r["match_dist"]) for r in feed.sent()}, wanted)
+
+
+def test_rows_come_back_from_blocks(monkeypatch):
+    monkeypatch.setattr(state, "BLOCK", 3)
+    rows = [(i, None if i % 2 else "P") for i in range(8)]
+    blocks = list(state.packed(rows))
+    assert [len(b[0]) for b in blocks] == [3, 3, 2] and list(state.unpacked(blocks)) == rows and list(state.packed([])) == []
+
+
 SEEN = "id long, person_id long, path_id string, ts double"
 
 

@@ -2,7 +2,7 @@
 
 The same gallery as in the batch operator, with the same names for identities. Tracks wait until the watermark has passed
 the end of their batch, so that late ones within its delay still find their place; an identity goes as soon as no later
-track can join it. State and timers are in Spark's checkpoint, so a query that starts again goes on where it was.
+track can join it. Waiting tracks are stored in blocks and vectors as the bytes of their doubles, since a value's and a number's way to the JVM costs more than the matching. State and timers are in Spark's checkpoint, so a query that starts again goes on where it was.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from waymark.operators.matching import MATCHED, Gallery, Gate, Identity, MatchParams, as_track, in_order
-from waymark.streaming.state import after, prepared, timed
+from waymark.streaming.state import after, packed, prepared, put, timed, unpacked
 
 COLUMNS = ["track_id", "camera_id", "start_time", "end_time", "emb"]
 
@@ -28,20 +28,20 @@ class SiteGallery(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "track_id long, camera_id string, start_time double, end_time double, emb array<double>")
-        self.known = handle.getListState("known", "name string, looks array<double>, camera string, until double")
+        self.waiting = handle.getListState("waiting", "track_id array<long>, camera_id array<string>, start_time array<double>, end_time array<double>, emb array<binary>")
+        self.known = handle.getListState("known", "name string, looks binary, camera string, until double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        more = [tuple(row[c] for c in COLUMNS) for row in rows]
+        more = list(packed((*(row[c] for c in COLUMNS[:4]), np.asarray(row["emb"], np.float64).tobytes()) for row in rows))
         if more:
-            self.waiting.appendList(more)  # in one exchange with the state server
-            self.handle.registerTimer(after(min(row[2] for row in more) + self.params.batch_s))
+            self.waiting.appendList(more)  # at once: each append reads what is there
+            self.handle.registerTimer(after(min(min(block[2]) for block in more) + self.params.batch_s))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = in_order([dict(zip(COLUMNS, row, strict=True)) for row in self.waiting.get()])
-        gallery = Gallery(self.gate, self.params.max_dist, [Identity(r[0], np.array(r[1]), r[2], r[3]) for r in self.known.get()])
+        waiting = in_order([dict(zip(COLUMNS, (*row[:4], np.frombuffer(row[4])), strict=True)) for row in unpacked(self.waiting.get())])
+        gallery = Gallery(self.gate, self.params.max_dist, [Identity(r[0], np.frombuffer(r[1]), r[2], r[3]) for r in self.known.get()])
         batches, done = [], 0
         while done < len(waiting) and after(waiting[done]["start_time"] + self.params.batch_s) <= passed:
             anchor, end = waiting[done]["start_time"], done
@@ -55,20 +55,13 @@ class SiteGallery(StatefulProcessor):
                 yield Row(site=key[0], **{c: row[c] for c in COLUMNS[:4]}, global_id=name, match_dist=dist)
         gallery.forget(passed / 1000, now=True)
         known = gallery.known()
-        self._put(self.waiting, [tuple(row[c] for c in COLUMNS) for row in waiting[done:]])
-        self._put(self.known, [(k.name, [float(x) for x in k.looks], k.camera, k.until) for k in known])
+        put(self.waiting, list(packed((*(row[c] for c in COLUMNS[:4]), row["emb"].tobytes()) for row in waiting[done:])))
+        put(self.known, [(k.name, k.looks.tobytes(), k.camera, k.until) for k in known])
         if done < len(waiting):
             self.handle.registerTimer(after(waiting[done]["start_time"] + self.params.batch_s))
         if known:
             self.handle.registerTimer(max(passed + 1, after(min(k.until for k in known) + self.gate.reach)))
 
-    @staticmethod
-    def _put(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
-
 
 def matched_stream(tracks: DataFrame, gate: Gate, params: MatchParams = MatchParams(), late: str = "60 seconds") -> DataFrame:
     """The rows of ``match_tracks`` for a stream of tracks (site, track_id, camera_id, start_time, end_time, emb), once each.

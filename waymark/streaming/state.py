@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from waymark.session import attach
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that are one value of a list state. Each value costs an exchange of pickled rows with the JVM, many times what it holds.
+BLOCK = 1024
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -28,3 +32,24 @@ def timed(rows: DataFrame, seconds: str, late: str) -> DataFrame:
 def after(seconds: float) -> int:
     """The first millisecond of event time at which no row of these seconds or earlier can come any more."""
     return math.floor(seconds * 1000) + 2
+
+
+def packed(rows: Iterable[tuple]) -> Iterator[tuple[list, ...]]:
+    """Rows as blocks of columns, in their order."""
+    rows = iter(rows)
+    while block := list(islice(rows, BLOCK)):
+        yield tuple(list(column) for column in zip(*block, strict=True))
+
+
+def unpacked(blocks: Iterable[tuple]) -> Iterator[tuple]:
+    """The rows of blocks of columns."""
+    for block in blocks:
+        yield from zip(*block, strict=True)
+
+
+def put(state, rows: list[tuple]) -> None:
+    """A list state's new values, if any."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
