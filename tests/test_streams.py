@@ -143,6 +143,19 @@ def test_stream_of_visits_gives_those_of_the_batch(spark, tmp_path, params):
     assert feed.state("runs").count() == 0
 
 
+def test_waiting_sightings_are_stored_in_blocks(spark, tmp_path):
+    """One value of a person's sightings in a micro-batch (before: 180 values); those not yet passed are written back."""
+    feed = Feed(spark, tmp_path, SEEN, lambda stream: visit_stream(stream, VisitParams(), "1 day"))
+    rows = [r for r in flickering(9, 60) if r[1] < 3] + [(None, 3, None, 1000.0), (500, 3, "P1", 2e4)]
+    feed.give(rows)
+    assert feed.sent() == [] and feed.state("waiting").count() == 3
+    feed.give([(501, 9, "P1", 15_000.0 + 86_400.0)])
+    assert {r["person_id"] for r in feed.sent()} == {1, 2, 3} and feed.state("waiting").count() == 2
+    feed.give([(9000, 9, "P1", 1e6)])
+    told = {(r["person_id"], r["visit_idx"]): (r["path_id"], r["enter_ts"], r["exit_ts"], r["n_obs"]) for r in feed.sent() if r["person_id"] != 9}
+    assert told == batch_visits(spark, rows, VisitParams())
+
+
 def test_a_flip_at_the_edge_of_the_watermark(spark, tmp_path):
     """The watermark passes a short visit of another path, but not yet the return: nothing is sent until it is known."""
     feed = Feed(spark, tmp_path, SEEN, lambda stream: visit_stream(stream, VisitParams(), "10 seconds"))
