@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.common import in_fold
-from waymark.llm.lm_scoring import LmParams, Model, _shard_builder, build, ngrams, probabilities, score, token_blocks, tokens
+from waymark.llm.lm_scoring import LmParams, Model, _low, _shard_builder, _width, answers_of, build, ngrams, probabilities, score, token_blocks, tokens
 from waymark.llm.queries import op3_lm_scoring
 
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -133,6 +133,35 @@ def test_exchanged_equals_broadcast(spark, sf_dir, order):
     assert all(a[:5] == b[:5] and np.allclose(a[5:], b[5:]) for a, b in zip(one, other, strict=True))
 
 
+def test_shard_looks_equal_names_up_once(spark):
+    """A shard's answers to many blocks are those of the whole model, from one look for all of them; there were as many as
+    blocks, so time grew with blocks times shards."""
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c{i % 13} d") for i in range(300)], "doc_id long, text string")
+    params = LmParams()
+    built, shards, _ = build(docs, F.lit(True), params)
+    built = built.collect()
+    whole, bits = Model(list(built), shards, params), shards.bit_length() - 1
+    tok, bounds = tokens(np.frombuffer(b"".join(r["text"].encode() for r in docs.collect()), np.uint8), np.cumsum([0, *(len(r["text"]) for r in docs.collect())]))
+    looks, asked_in_all = 0, 0
+
+    class Counted(Model):
+        def found(self, kind, h):
+            nonlocal looks
+            looks += 1
+            return super().found(kind, h)
+
+    for kind in (1, 2, 3):
+        h = np.unique(tok if kind == 1 else ngrams(tok, bounds, kind))
+        h = np.concatenate([h, np.random.default_rng(kind).integers(0, 2**63, 999, dtype=np.uint64) * np.uint64(2)])
+        for row in built:
+            mine = h[h >> np.uint64(64 - bits) == row["shard"]]
+            asked = [mine[i::3] if i % 2 else mine for i in range(20)]
+            asked_in_all += 1
+            found = answers_of(Counted([row], shards, params, row["shard"]), kind, [_low(x, _width(kind)) for x in asked])
+            assert [np.frombuffer(x, "<i8" if kind == 1 else "<u2").tolist() for x in found] == [whole.found(kind, x).tolist() for x in asked]
+    assert looks == asked_in_all
+
+
 def test_no_training_rows(spark, tables):
     """The formula's own result: log10(0.1 / 0.1) for each token."""
     alone = next(i for i in range(100) if held(i))

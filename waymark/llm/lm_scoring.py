@@ -109,9 +109,15 @@ def ngrams(tok: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     return whole if order < 3 else history & ~WORD_BITS | whole & WORD_BITS
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted different values. ``np.unique`` without counts goes through a hash table, some twenty times slower than this."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     h, c = np.concatenate(hashes), np.concatenate(counts)
-    by = np.argsort(h, kind="stable")
+    by = np.argsort(h)
     h, c = h[by], c[by]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
     return h[first], np.add.reduceat(c, first) if len(h) else c
@@ -125,7 +131,11 @@ def _pack(h: np.ndarray, c: np.ndarray, width: int) -> tuple[bytes, bytes]:
         rest = c - (times - 1) * 255
         c = np.full(len(h), 255, np.int64)
         c[last] = rest
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), c.astype(np.uint8).tobytes()
+    return _low(h, width), c.astype(np.uint8).tobytes()
+
+
+def _low(h: np.ndarray, width: int) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(raw: bytes, width: int) -> np.ndarray:
@@ -193,7 +203,7 @@ def dequantised_total(level: np.ndarray, least: int) -> np.ndarray:
 
 def _bit_at(h: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
     x = mix64(h * np.uint64(0x9FB21C651E98DF25) + np.uint64(level * 64 + probe + 1))
-    return (x % size).astype(np.int64) if np.isscalar(size) else (x % size.astype(np.uint64)).astype(np.int64)
+    return (x - x // size * size).astype(np.int64) if np.isscalar(size) else (x % size.astype(np.uint64)).astype(np.int64)
 
 
 def _shard_builder(shards: int, params: LmParams):
@@ -230,20 +240,22 @@ BUILT = "shard int, uni_h binary, uni_c binary, many binary, bits binary, n_bits
 
 
 def build(docs: DataFrame, training: Column, params: LmParams) -> tuple[DataFrame, int, dict]:
-    """Shards of unigram counts and filter slices over the training rows, stored; the number of shards; the totals."""
+    """Shards of unigram counts and filter slices over the training rows, stored; the number of shards; the totals, with the
+    bytes of all rows' texts."""
     train = docs.where(training).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 << max(4, int(size // (params.shard_mb << 20)).bit_length())
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    size = docs.agg(F.sum(length).alias("all"), F.sum(F.when(training, length)).alias("train"), F.count_if(training).alias("starts")).first()
+    shards = 1 << max(4, int((size["train"] or 0) // (params.shard_mb << 20)).bit_length())
     counted = train.mapInArrow(_counter(shards, params), "shard int, kind int, hashes binary, counts binary")
     built = stored(counted.groupBy("shard").applyInPandas(_shard_builder(shards, params), BUILT), "lm")
     total = built.agg(F.sum("train_tokens").alias("n"), F.sum("vocabulary").alias("v"), F.sum("n_bytes").alias("bytes")).first()
-    return built, shards, {"n": total["n"] or 0, "v": total["v"] or 0, "bytes": total["bytes"] or 0}
+    return built, shards, {"n": total["n"] or 0, "v": total["v"] or 0, "bytes": total["bytes"] or 0, "starts": size["starts"], "text": size["all"] or 0}
 
 
 class Model:
-    """Unigram counts and filter slices of some shards; looks hashes up."""
+    """Unigram counts and filter slices of some shards; looks hashes up. ``only``: the shard that all names looked up belong to, if it is one."""
 
-    def __init__(self, rows: list, shards: int, params: LmParams):
+    def __init__(self, rows: list, shards: int, params: LmParams, only: int | None = None):
         self.shift, self.params = np.uint64(64 - max(1, shards.bit_length() - 1)), params
         rows.sort(key=lambda r: r["shard"])
         self.uni_h = np.concatenate([np.frombuffer(r["uni_h"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
@@ -258,6 +270,7 @@ class Model:
             at += len(r["bits"])
         self.sizes, self.starts = sizes, starts * 8
         self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8)
+        self.only = only
 
     def unigrams(self, h: np.ndarray) -> np.ndarray:
         if not len(self.uni_h):
@@ -284,6 +297,8 @@ class Model:
 
     def levels(self, h: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Quantised counts of names whose shard is that of ``h``: the highest level up to which every level's probes are set."""
+        if self.only is not None:  # a size for all, and pieces that stay in the processor's cache
+            return np.concatenate([np.zeros(0, np.uint8), *(self._levels_of_only(low[a : a + NEAR]) for a in range(0, len(low), NEAR))])
         out = np.zeros(len(h), np.uint8)
         shard = (h >> self.shift).astype(np.int64)
         live = np.flatnonzero(self.sizes[shard] > 0)
@@ -300,6 +315,18 @@ class Model:
             out[live] = level
         return out
 
+    def _levels_of_only(self, low: np.ndarray) -> np.ndarray:
+        """``levels`` of names that are all in the one shard there is."""
+        out, size, level = np.zeros(len(low), np.uint8), np.uint64(self.sizes[self.only]), 0
+        live = np.arange(len(low) if size else 0)
+        while len(live):
+            level += 1
+            for probe in range(self.params.probes):
+                at = _bit_at(low[live], level, probe, size)
+                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            out[live] = level
+        return out
+
 
 def probabilities(tok: np.ndarray, bounds: np.ndarray, found: list[np.ndarray], totals: dict, params: LmParams) -> tuple[np.ndarray, np.ndarray]:
     """Base and smoothed probability of each token. found: for 1, 2, .. words what ``Model.found`` says of each token's n-gram.
@@ -352,7 +379,6 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
     built, shards, totals = build(docs, F.col("training"), params)
-    totals["starts"] = docs.where("training").count()
     trained = totals["n"]
     out = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -377,55 +403,75 @@ def score(docs: DataFrame, training: Column, params: LmParams = LmParams()) -> D
     return _score_exchanged(docs, built, shards, totals, params, rows, out)
 
 
+def answers_of(model: Model, kind: int, asked: list[bytes]) -> list[bytes]:
+    """What the one shard of the model says to the low bytes of names that blocks ask for; equal names are looked up together."""
+    sizes, top, out = np.array([len(raw) // _width(kind) for raw in asked]), np.uint64(model.only) << model.shift, []
+    for at in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1):
+        names, places = np.unique(_unpack(b"".join(asked[i] for i in at), _width(kind)), return_inverse=True)
+        value = model.found(kind, names | top).astype("<i8" if kind == 1 else "<u2")[places]
+        out += [x.tobytes() for x in np.split(value, np.cumsum(sizes[at])[:-1])]
+    return out
+
+
+#: Names that a shard looks up together, those of them that are probed together, and text of a block whose tokens are kept.
+TOGETHER, NEAR, KEPT = 1 << 20, 1 << 14, 16 << 20
+
+
 def _score_exchanged(docs, built, shards, totals, params, rows, out) -> DataFrame:
-    """As above without a broadcast: each block of rows asks the shards for its distinct probes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, size // (4 << 20))
-    placed = stored(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(blocks))), "lm-docs")
-    placed = placed.select("doc_id", "training", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), "block")
+    """As above without a broadcast: each block of rows asks the shards for its distinct probes.
+
+    A probe goes as the bytes of its name that the shard's place does not say, and a shard looks up equal ones of all blocks once.
+    """
+    blocks = max(1, totals["text"] // (4 << 20))
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(blocks))
+    placed = docs.select("doc_id", "training", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), block.alias("block"))
     shift = np.uint64(64 - max(1, shards.bit_length() - 1))
+    orders = range(1, params.order + 1)
 
     def parts(frame):
         batch = pa.RecordBatch.from_pandas(frame[["doc_id", "training", "text"]].sort_values(["doc_id", "text"], kind="stable"), preserve_index=False, schema=pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("text", pa.large_binary())]))
         for first, end, tok, bounds, skip, last in token_blocks(batch, params.order):
-            yield batch, first, end, tok, bounds, skip, last, {1: tok} | {k: ngrams(tok, bounds, k) for k in range(2, params.order + 1)}
+            yield batch, first, end, tok, bounds, skip, last, {k: tok if k == 1 else ngrams(tok, bounds, k) for k in orders}
 
     def ask(key, frame):
-        sent = []
-        for k, h in asked_by(frame).items():
-            sent += [(int(key[0]), k, i, h[a:b].tobytes()) for i, (a, b) in enumerate(cuts(h)) if a < b]
-        return pd.DataFrame(sent, columns=["block", "kind", "shard", "hashes"])
-
-    def asked_by(frame):
-        """Sorted distinct probes of a block, by order of the n-gram."""
-        held = {k: [np.zeros(0, np.uint64)] for k in range(1, params.order + 1)}
+        held = {k: [np.zeros(0, np.uint64)] for k in orders}
         for *_, kinds in parts(frame):
             for k, h in kinds.items():
-                held[k].append(np.unique(h))
-        return {k: np.unique(np.concatenate(hs)) for k, hs in held.items()}
+                held[k].append(distinct(h))
+        sent = []
+        for k, hs in held.items():
+            h = distinct(np.concatenate(hs))
+            sent += [(int(key[0]), k, i, _low(h[a:b], _width(k))) for i, (a, b) in enumerate(cuts(h)) if a < b]
+        return pd.DataFrame(sent, columns=["block", "kind", "shard", "hashes"])
 
     def cuts(h):
         cut = np.searchsorted(h >> shift, np.arange(shards + 1).astype(np.uint64))
         return list(zip(cut[:-1], cut[1:], strict=True))
 
     def answer(key, asked, shard):
-        model = Model(shard.to_dict("records"), shards, params)
-        found = []
-        for k, raw in zip(asked["kind"], asked["hashes"], strict=True):
-            h = np.frombuffer(raw, np.uint64)
-            found.append(model.found(k, h).astype("<i8" if k == 1 else "<u2").tobytes())
+        model, asked = Model(shard.to_dict("records"), shards, params, int(key[0])), asked.sort_values("kind", kind="stable")
+        found = [x for k, raws in asked.groupby("kind")["hashes"] for x in answers_of(model, k, list(raws))]
         return asked[["block", "kind", "shard"]].assign(found=found)
 
     def finish(key, frame, answers):
         told = {(k, i): raw for k, i, raw in zip(answers["kind"], answers["shard"], answers["found"], strict=True)}
-        tables = {}
-        for k, h in asked_by(frame).items():
+
+        def named():
+            for *piece, kinds in parts(frame):
+                yield *piece, {k: np.unique(h, return_inverse=True) for k, h in kinds.items()}
+
+        kept = list(named()) if frame["text"].map(len).sum() <= KEPT else None  # else a long row's are made twice
+        tables, names = {}, {k: [np.zeros(0, np.uint64)] for k in orders}
+        for *_, kinds in kept or named():
+            for k, (h, _) in kinds.items():
+                names[k].append(h)
+        for k in orders:
+            h = distinct(np.concatenate(names.pop(k)))
             value = [np.frombuffer(told[k, i], "<i8" if k == 1 else "<u2") for i, (a, b) in enumerate(cuts(h)) if a < b]
             tables[k] = h, np.concatenate(value).astype(np.int64)
         done, sums = [], _Sums(totals, params)
-        for batch, first, end, tok, bounds, skip, last, kinds in parts(frame):
-            value = {k: tables[k][1][np.searchsorted(tables[k][0], h)] for k, h in kinds.items()}
-            sums.add(tok, bounds, skip, [value[k] for k in range(1, params.order + 1)])
+        for batch, first, end, tok, bounds, skip, last, kinds in kept or named():
+            sums.add(tok, bounds, skip, [tables[k][1][np.searchsorted(tables[k][0], h)][at] for k, (h, at) in kinds.items()])
             if last:
                 done.append(rows(batch, first, end, sums.done()).to_pandas())
         return pd.concat(done) if done else pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
