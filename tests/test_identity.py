@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -93,6 +94,36 @@ def test_matching_follows_looks_and_topology(spark):
     assert len({v[0] for v in matched(spark, rows, None, params).values()}) == 3
 
 
+def test_a_part_passes_through_its_task():
+    """Rows of two parts come in many batches; the first are sent on while most are still to come, and all are those of galleries of
+    their own. A task held its whole part before."""
+    rng, read = np.random.default_rng(3), 0
+    looks = rng.normal(size=(30_000, 4))
+    looks /= np.linalg.norm(looks, axis=1, keepdims=True)
+    rows = [("s", k, f"C{k % 3}", float(k // 2), float(k // 2), looks[k].tolist(), float(k // 8 * 4), k // 20_000) for k in range(len(looks))]
+    names = [*matching.TRACK, "anchor", "part"]
+
+    def batches():
+        nonlocal read
+        for at in range(0, len(rows), 500):
+            read += 1
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 500]])
+
+    gate, found = matching.Gate(GAPS, matching.MatchParams()), []
+    for batch in matching._sequences(batches(), gate, 0.05):
+        assert batch.num_rows < 10_000 and (found or read < 30)
+        found += batch.to_pylist()
+    wanted = []
+    for part in range(2):
+        gallery = matching.Gallery(gate, 0.05)
+        for _, group in itertools.groupby((r for r in rows if r[7] == part), key=lambda r: r[6]):
+            group = list(group)
+            wanted += [(*r[:5], *x) for r, x in zip(group, gallery.take([(f"{r[2]}/{r[1]}", r[2], r[3], r[4], np.array(r[5])) for r in group]), strict=True)]
+    assert [tuple(r.values())[:6] for r in found] == [w[:6] for w in wanted]
+    assert [r["match_dist"] for r in found] == pytest.approx([w[6] for w in wanted], abs=1e-9)
+    assert sum(r["match_dist"] is not None for r in found) > 1000
+
+
 @pytest.mark.parametrize(("seed", "batch_s", "cell_s", "topology"), [(1, 50.0, 1.0, True), (2, 5.0, 1.0, True), (3, 0.0, 7.0, True), (4, 100.0, 60.0, False)])
 def test_parts_hold_the_links_of_one_sequence(spark, seed, batch_s, cell_s, topology):
     rows, gaps, params = random_rows(seed, sites=("s", "t")), GAPS if topology else None, matching.MatchParams(batch_s=batch_s, cell_s=cell_s)
