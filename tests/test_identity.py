@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.evaluation import truth
 from waymark.operators import identity, matching, routes, tracks
+from waymark.plans import queries
 from waymark.plans.queries import QUERIES, Site
 
 
@@ -124,6 +125,15 @@ def test_a_part_passes_through_its_task():
     assert sum(r["match_dist"] is not None for r in found) > 1000
 
 
+def test_quality_matches_each_configuration_once(spark, sf_dir, monkeypatch):
+    """What is counted three times is matched once."""
+    names = []
+    kept = queries.saved
+    monkeypatch.setattr(queries, "saved", lambda df, name: names.append(name) or kept(df, name))
+    assert QUERIES["synthetic_identities"](spark, sf_dir).count() == 2
+    assert names.count("matched") == 2
+
+
 @pytest.mark.parametrize(("seed", "batch_s", "cell_s", "topology"), [(1, 50.0, 1.0, True), (2, 5.0, 1.0, True), (3, 0.0, 7.0, True), (4, 100.0, 60.0, False)])
 def test_parts_hold_the_links_of_one_sequence(spark, seed, batch_s, cell_s, topology):
     rows, gaps, params = random_rows(seed, sites=("s", "t")), GAPS if topology else None, matching.MatchParams(batch_s=batch_s, cell_s=cell_s)
