@@ -247,6 +247,33 @@ def test_pairs_meet_in_blocks(spark, monkeypatch):
     assert {(r["track_a"], r["track_b"]): (r["gap"], r["distance"]) for r in found} == wanted and len(found) == len(wanted) > 100
 
 
+def test_pairs_of_a_block_are_sent_on_as_they_are_found(monkeypatch):
+    """Two blocks of all pairs: the first leave while earlier tracks are still to come, in batches of bounded size. A block's earlier
+    tracks and all its pairs were one frame before."""
+    monkeypatch.setattr(tracks, "SENT", 5000)
+    rng, read = np.random.default_rng(5), 0
+    looks = rng.normal(size=(1200, 3)).astype(np.float32)
+    row = lambda block, k, late: {"cam_b": "C1", "bucket": block, "_i": 0, "_j": 0, "track_id": k, "cam_a": None if late else "C0", "at": float(k % 7), "size": 3, "emb": looks[k].tolist(), "late": late}
+    rows = [row(b, k, late) for b in (0, 1) for late, ks in ((True, range(200)), (False, range(200, 1200))) for k in sorted(ks, key=lambda k: k % 7)]
+    schema = pa.schema([("cam_b", pa.string()), ("bucket", pa.int64()), ("_i", pa.int64()), ("_j", pa.int64()), ("track_id", pa.int64()), ("cam_a", pa.string()), ("at", pa.float64()), ("size", pa.int32()), ("emb", pa.list_(pa.float32())), ("late", pa.bool_())])
+
+    def batches():
+        nonlocal read
+        for at in range(0, len(rows), 70):
+            read += 1
+            yield pa.RecordBatch.from_pylist(rows[at : at + 70], schema=schema)
+
+    found: dict = {}
+    for batch in tracks._pairs(batches(), {("C0", "C1"): [(-6.0, -3.0), (-1.0, 6.0)]}):
+        assert batch.num_rows < 5200 and (found or read < 6)
+        for r in batch.to_pylist():
+            found.setdefault((r["track_a"], r["track_b"]), []).append((r["gap"], r["distance"]))
+    exact = looks.astype(np.float64)
+    wanted = {(a, b): b % 7 - a % 7 for a in range(200, 1200) for b in range(200) if (b % 7 - a % 7) in (-6, -5, -4, -3, *range(-1, 7))}
+    assert found.keys() == wanted.keys()
+    assert all(x == [(wanted[a, b], pytest.approx(1 - exact[a] @ exact[b]))] * 2 for (a, b), x in found.items())
+
+
 @pytest.mark.parametrize("grain", [1.0, 50.0, 1e6])
 def test_pairs_are_counted_without_being_made(spark, grain):
     """Overlapping intervals, gaps at their ends, a track that its own camera's interval would count."""
