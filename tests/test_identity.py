@@ -126,7 +126,7 @@ def test_a_part_passes_through_its_task():
 
 
 def test_quality_matches_each_configuration_once(spark, sf_dir, monkeypatch):
-    """What is counted three times is matched once."""
+    """One configuration's matching is done and stored before the other's begins; before, both could run at once in one executor."""
     names = []
     kept = queries.saved
     monkeypatch.setattr(queries, "saved", lambda df, name: names.append(name) or kept(df, name))
